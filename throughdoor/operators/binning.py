@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import SPANS, Binning
 from ..runtime import localize, materialize
-from .ordered import quantiles
+from .ordered import quantiles, short_keys
 
 MISSING_LEVEL = "__MISSING__"
 OTHER_LEVEL = "__OTHER__"
@@ -45,17 +45,16 @@ def pre_bins(hist: DataFrame, keys, spec: Binning) -> DataFrame:
     """Pre-bin totals between distinct quantile cuts; bin -1 holds the missing."""
     by = [*keys, "feature"]
     probs = [k * (1.0 / (3 * spec.max_bins)) for k in range(1, 3 * spec.max_bins)]
-    cuts = quantiles(hist, by, "value", probs, _span(), rows="n_rows")
+    cuts = quantiles(hist, by, "value", probs, _span(), rows="n_rows", short=short_keys(hist, by))
     cuts = localize(cuts.select(*by, F.array_distinct("q").alias("cuts")), "cuts")
     return to_bins(hist, cuts, by, len(probs))
 
 
 def to_bins(hist: DataFrame, cuts: DataFrame, by, max_cuts: int) -> DataFrame:
-    at = sum((F.coalesce((F.col("value") > F.get("cuts", F.lit(i))).cast("int"), F.lit(0))
-              for i in range(max_cuts)), F.lit(0))
-    at = F.when(F.col("value").isNull(), F.lit(-1)).otherwise(at)
-    return hist.join(cuts, list(by), "left").withColumn("bin_no", at).groupBy(*by, "bin_no").agg(
-        F.first("cuts").alias("cuts"), F.sum("sw").alias("sw"), F.sum("swy").alias("swy"))
+    at = F.when(F.col("value").isNull(), F.lit(-1)).otherwise(bin_index("value", "cuts", max_cuts + 1))
+    totals = hist.join(cuts, list(by), "left").withColumn("bin_no", at).groupBy(*by, "bin_no").agg(
+        F.sum("sw").alias("sw"), F.sum("swy").alias("swy"))
+    return totals.join(cuts, list(by), "left")
 
 
 class _Ladder:
@@ -109,29 +108,35 @@ def numeric_bins(hist: DataFrame, keys, spec: Binning) -> DataFrame:
             ("bin_no", T.IntegerType()), ("lo", T.DoubleType()), ("hi", T.DoubleType()),
             ("is_missing", T.BooleanType()), ("n", T.DoubleType()), ("bad", T.DoubleType())]])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        who = {k: pdf[k].iloc[0] for k in by}
-        gap, seen = pdf[pdf["bin_no"] < 0], pdf[pdf["bin_no"] >= 0]
-        out = []
-        if len(seen):
-            tops = [*seen["cuts"].iloc[0], np.inf]
-            weight, bad = np.zeros(len(tops)), np.zeros(len(tops))
-            weight[seen["bin_no"]] = seen["sw"]
-            bad[seen["bin_no"]] = seen["swy"]
-            got = coarsen(tops, weight, bad, pdf["sw"].sum(), spec)
-            bottoms = [None, *got.tops[:-1]]
-            for i, (a, b) in enumerate(zip(bottoms, got.tops)):
-                out.append({"bin_no": i, "lo": a, "hi": None if np.isinf(b) else b,
-                            "is_missing": False, "n": got.weight[i], "bad": got.bad[i]})
-        if len(gap):
-            out.append({"bin_no": len(out), "lo": None, "hi": None, "is_missing": True,
-                        "n": gap["sw"].iloc[0], "bad": gap["swy"].iloc[0]})
-        got = pd.DataFrame(out).assign(**who)
-        got[["lo", "hi"]] = got[["lo", "hi"]].astype("float64")
-        return got[schema.names]
-
-    # at most 3 * max_bins + 1 rows per (keys, feature)
-    merged = pre.groupBy(*by).applyInPandas(merge, schema)
+    def merge(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                who = [row[k] for k in by]
+                at, sw, swy = row["at"], np.asarray(row["sw"]), np.asarray(row["swy"])
+                seen = at >= 0
+                if seen.any():
+                    tops = [*row["cuts"], np.inf]
+                    weight, bad = np.zeros(len(tops)), np.zeros(len(tops))
+                    weight[at[seen]], bad[at[seen]] = sw[seen], swy[seen]
+                    got = coarsen(tops, weight, bad, sw.sum(), spec)
+                    bottoms = [np.nan, *got.tops[:-1]]
+                    out += [(*who, i, a, np.nan if np.isinf(b) else b, False, n, m) for i, (a, b, n, m)
+                            in enumerate(zip(bottoms, got.tops, got.weight, got.bad))]
+                if not seen.all():
+                    i = int(np.argmin(at))
+                    out.append((*who, len(got.tops) if seen.any() else 0, np.nan, np.nan, True,
+                                sw[i], swy[i]))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    # one row per (keys, feature), holding at most 3 * max_bins + 1 pre-bins
+    rungs = pre.groupBy(*by).agg(
+        F.expr("array_sort(collect_list(struct(bin_no, sw, swy)))").alias("r"),
+        F.max("cuts").alias("cuts"))
+    rungs = rungs.select(*by, "cuts", F.expr("r.bin_no").alias("at"), F.expr("r.sw").alias("sw"),
+                         F.expr("r.swy").alias("swy"))
+    tasks = max(pre.sparkSession.sparkContext.defaultParallelism, 1)
+    merged = rungs.repartition(tasks, *by).mapInPandas(merge, schema)
     sided = merged.select(
         *by, "bin_no", F.nanvl("lo", F.lit(None).cast("double")).alias("lo"),
         F.nanvl("hi", F.lit(None).cast("double")).alias("hi"), "is_missing", "n", "bad")
@@ -225,17 +230,17 @@ def lookup_row(bins: DataFrame, keys, numeric, categorical) -> DataFrame:
     return bins.groupBy(*keys).agg(*cols)
 
 
-def bin_index(value, edges, max_bins: int):
-    """Number of edges below ``value``: bins are (lo, hi]."""
-    return sum((F.coalesce((value > F.get(edges, F.lit(i))).cast("int"), F.lit(0))
-                for i in range(max_bins - 1)), F.lit(0))
+def bin_index(value: str, edges: str, max_bins: int):
+    """Number of edges below ``value``: bins are (lo, hi]. Both are column names."""
+    return F.expr(" + ".join(
+        f"coalesce(int(`{value}` > get(`{edges}`, {i})), 0)" for i in range(max_bins - 1)))
 
 
 def woe_columns(numeric, categorical, max_bins: int):
     """WOE of each feature, for rows joined with their ``lookup_row``."""
     out = []
     for f in numeric:
-        at = bin_index(F.col(f), F.col(f"{f}__edges"), max_bins)
+        at = bin_index(f, f"{f}__edges", max_bins)
         seen = F.coalesce(F.get(f"{f}__woes", at), F.lit(0.0))
         gap = F.coalesce(F.col(f"{f}__gap"), F.lit(0.0))
         out.append(F.when(F.col(f).isNull(), gap).otherwise(seen).alias(f"{f}__woe"))

@@ -1,18 +1,21 @@
 """Penalised logistic regression for many keys at once.
 
-Rows collapse to cells (keys, design vector) first. Every round is one
-aggregation over the cells of all keys; the driver only sees one small system
-per key, and keys are few (one portfolio, or a configured scenario grid).
+Rows collapse to cells (keys, design vector) first. Keys whose cells were
+counted and are few are solved one key per task. Otherwise every round is one
+aggregation over the cells of all keys, and the driver only sees one small
+system per key (one portfolio, or a configured scenario grid).
 """
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize, small_table
+from ..runtime import localize, materialize, small_table
+from .ordered import short_keys
 
 TOLERANCE = 1e-10
 MAX_ROUNDS = 40
@@ -30,54 +33,88 @@ def _totals(cell: DataFrame, coefs: DataFrame, keys, xs):
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("eta")))
     # log(1 + exp(eta)) without overflow
     soft = F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("eta"))))
-    at = (cell.join(coefs, list(keys)).withColumn("eta", eta).withColumn("p", p)
+    at = (cell.join(coefs, list(keys)).withColumn("eta", eta).withColumn("p", p).withColumn("soft", soft)
           .withColumn("r", F.col("swy") - F.col("sw") * F.col("p"))
           .withColumn("v", F.col("sw") * F.col("p") * (1.0 - F.col("p"))))
-    full = [F.lit(1.0)] + [F.col(x) for x in xs]
-    sums = [F.sum(F.col("swy") * F.col("eta") - F.col("sw") * soft).alias("ll")]
+    full = ["1D"] + [f"`{x}`" for x in xs]
+    sums = ["sum(swy * eta - sw * soft) AS ll"]
     for i, a in enumerate(full):
-        sums.append(F.sum(F.col("r") * a).alias(f"g{i}"))
-        sums += [F.sum(F.col("v") * a * full[j]).alias(f"h{i}_{j}") for j in range(i + 1)]
+        sums.append(f"sum(r * {a}) AS g{i}")
+        sums += [f"sum(v * {a} * {full[j]}) AS h{i}_{j}" for j in range(i + 1)]
+    sums = [F.expr(x) for x in sums]
     return at.groupBy(*keys).agg(*sums)
 
 
-def fit_logits(cell: DataFrame, keys, xs, C: float = 1.0) -> DataFrame:
-    """Coefficients (keys, beta array, intercept first) by damped Newton.
+class Newton:
+    """Damped Newton descent on |b|^2 / 2 + C * weighted log loss."""
 
-    Minimises |b|^2 / 2 + C * weighted log loss with a free intercept.
-    """
+    def __init__(self, k: int, C: float):
+        self.C, self.ridge = C, np.diag([0.0] + [1.0] * (k - 1))
+        self.at, self.best, self.loss, self.done = np.zeros(k), None, np.inf, False
+
+    def see(self, ll, grad, hess):
+        """Move on the totals (log-likelihood, gradient, information) at ``at``."""
+        b = self.at
+        loss = 0.5 * b @ self.ridge @ b - self.C * ll
+        if loss > self.loss + 1e-9 * (1.0 + abs(loss)):
+            self.at = 0.5 * (b + self.best)
+            return
+        self.best, self.loss = b, loss
+        step = np.linalg.lstsq(self.ridge + self.C * hess, self.ridge @ b - self.C * grad,
+                               rcond=None)[0]
+        self.at = b - step
+        self.done = bool(np.max(np.abs(step)) < TOLERANCE * (1.0 + np.max(np.abs(b))))
+
+
+def _solve_here(cell: DataFrame, keys, xs, C: float) -> DataFrame:
+    """One task per key, for keys with at most ``ONE_TASK_ROWS`` cells."""
+    xs, keys = list(xs), list(keys)
+    schema = T.StructType([cell.schema[c] for c in keys]
+                          + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.hstack([np.ones((len(pdf), 1)), pdf[xs].to_numpy("float64")])
+        sw, swy = pdf["sw"].to_numpy("float64"), pdf["swy"].to_numpy("float64")
+        fit = Newton(X.shape[1], C)
+        for _ in range(MAX_ROUNDS):
+            eta = X @ fit.at
+            p = 1.0 / (1.0 + np.exp(-eta))
+            ll = swy @ eta - sw @ np.logaddexp(0.0, eta)
+            fit.see(ll, X.T @ (swy - sw * p), X.T @ (X * (sw * p * (1.0 - p))[:, None]))
+            if fit.done:
+                break
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "beta": [fit.at.tolist()]})
+
+    tasks = max(cell.sparkSession.sparkContext.defaultParallelism, 1)
+    return localize(cell.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema), "coefs")
+
+
+def fit_logits(cell: DataFrame, keys, xs, C: float = 1.0, together: bool | None = None) -> DataFrame:
+    """Coefficients (keys, beta array, intercept first) by damped Newton."""
+    if together is None:
+        together = not short_keys(cell, keys)
+    if not together:
+        return _solve_here(cell, keys, xs, C)
     spark = cell.sparkSession
     cell = cell.persist(StorageLevel.MEMORY_AND_DISK)
-    ridge = np.diag([0.0] + [1.0] * len(xs))
     k = len(xs) + 1
     schema = T.StructType([cell.schema[c] for c in keys]
                           + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
     who = [tuple(r) for r in cell.select(*keys).distinct().collect()]
-    state = {key: {"at": np.zeros(k), "best": None, "loss": np.inf, "done": False} for key in who}
+    fits = {key: Newton(k, C) for key in who}
     for _ in range(MAX_ROUNDS):
-        live = [key for key in who if not state[key]["done"]]
+        live = [key for key in who if not fits[key].done]
         if not live:
             break
         coefs = small_table(
-            spark, [(*key, [float(b) for b in state[key]["at"]]) for key in live], schema)
+            spark, [(*key, [float(b) for b in fits[key].at]) for key in live], schema)
         for row in _totals(cell, coefs, keys, xs).collect():
-            key = tuple(row[c] for c in keys)
-            s = state[key]
-            b = s["at"]
-            loss = 0.5 * b @ ridge @ b - C * row["ll"]
-            if loss > s["loss"] + 1e-9 * (1.0 + abs(loss)):
-                s["at"] = 0.5 * (b + s["best"])
-                continue
-            s["best"], s["loss"] = b, loss
-            grad = ridge @ b - C * np.array([row[f"g{i}"] for i in range(k)])
-            hess = ridge.copy()
+            hess = np.zeros((k, k))
             for i in range(k):
                 for j in range(i + 1):
-                    hess[i, j] += C * row[f"h{i}_{j}"]
-                    hess[j, i] = hess[i, j]
-            step = np.linalg.lstsq(hess, grad, rcond=None)[0]
-            s["at"] = b - step
-            s["done"] = bool(np.max(np.abs(step)) < TOLERANCE * (1.0 + np.max(np.abs(b))))
+                    hess[i, j] = hess[j, i] = row[f"h{i}_{j}"]
+            fits[tuple(row[c] for c in keys)].see(
+                row["ll"], np.array([row[f"g{i}"] for i in range(k)]), hess)
     cell.unpersist()
     return small_table(
-        spark, [(*key, [float(b) for b in state[key]["at"]]) for key in who], schema)
+        spark, [(*key, [float(b) for b in fits[key].at]) for key in who], schema)

@@ -17,7 +17,7 @@ from ..functions import normal as N
 from ..functions.draws import uniform
 from ..runtime import localize, materialize
 from . import binning, measures, scorecard, selection
-from .ordered import quantiles
+from .ordered import cumulate, quantiles
 
 METHOD_COLUMN = "method"
 NEGLIGIBLE = 1e-9
@@ -43,6 +43,9 @@ class Context:
     scale: Column | None = None
     exclusion: list = field(default_factory=list)
     row_id: str = "app_id"
+    # fits that a caller already holds for these keys
+    propensity: scorecard.Scorecards | None = None
+    outcome_bins: DataFrame | None = None
 
     @property
     def features(self):
@@ -106,16 +109,16 @@ def score_bands(ctx: Context) -> DataFrame:
     acc = ctx.scored.where("s = 1")
     edges = quantiles(acc, ctx.keys, "pd", [k * (1.0 / n) for k in range(1, n)], (0.0, 1.0))
     edges = localize(edges.select(*ctx.keys, F.array_distinct("q").alias("edges")), "band-edges")
-    banded = acc.join(edges, ctx.keys).withColumn("band", band_index(F.col("pd"), "edges", n - 1))
+    banded = acc.join(edges, ctx.keys).withColumn("band", band_index("pd", "edges", n - 1))
     stats = banded.groupBy(*ctx.keys, "band").agg(
-        F.first("edges").alias("edges"), F.count(F.lit(1)).alias("n"), F.avg("bad").alias("own"))
+        F.count(F.lit(1)).alias("n"), F.avg("bad").alias("own"))
     rate = F.when(F.col("n") >= ctx.spec.inference.min_band_rows, F.col("own")).otherwise(F.col("obs"))
-    return stats.join(ctx.sides, ctx.keys).select(
+    return stats.join(ctx.sides, ctx.keys).join(edges, ctx.keys).select(
         *ctx.keys, "band", "n", rate.alias("band_rate"), "obs", "edges")
 
 
-def band_index(value: Column, edges: str, max_edges: int) -> Column:
-    return binning.bin_index(value, F.col(edges), max_edges + 1)
+def band_index(value: str, edges: str, max_edges: int) -> Column:
+    return binning.bin_index(value, edges, max_edges + 1)
 
 
 def parcelling(ctx: Context) -> View:
@@ -126,7 +129,7 @@ def parcelling(ctx: Context) -> View:
         F.first("edges").alias("edges"), F.first("obs").alias("overall"),
         F.map_from_entries(F.collect_list(F.struct("band", "band_rate"))).alias("rates")), "bands")
     dec = ctx.scored.where("s = 0").join(table, [*ctx.keys])
-    band = band_index(F.col("pd"), "edges", n - 1)
+    band = band_index("pd", "edges", n - 1)
     rate = F.coalesce(F.try_element_at("rates", band), F.col("overall"))
     target = F.least(F.lit(1.0), ctx.multiple * rate)
     u = uniform(ctx.row_id, F.concat(F.lit("parcel:"), F.col("salt")))
@@ -181,8 +184,6 @@ def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
 
 def _cap(ranked, keys, share):
     """Percentile of 1/p, interpolated between the neighbouring weights."""
-    from .ordered import cumulate
-
     hist = ranked.groupBy(*keys, "minus_p").agg(F.count(F.lit(1)).alias("n"))
     run = cumulate(hist, keys, "minus_p", ["n"], (-1.0, 0.0))
     place = F.lit(share) * (F.col("n_all") - 1).cast("double")
@@ -198,7 +199,7 @@ def _cap(ranked, keys, share):
 
 def ipw(ctx: Context) -> View:
     """Weight accepted rows by the inverse of their approval probability."""
-    card = propensity_card(ctx)
+    card = ctx.propensity or propensity_card(ctx)
     acc = card.score(ctx.scored.where("s = 1").drop("pd"), "propensity")
     weighted = materialize(
         inverse_weights(acc, ctx.keys, "propensity", ctx.spec.inference).select(
@@ -258,10 +259,18 @@ def heckman(ctx: Context) -> SelectionResult:
     dec = ctx.declined.select(*cols, F.lit(None).cast("double").alias("bad"),
                               F.lit(0.0).alias("s"))
     both = acc.unionByName(dec)
+    size = localize(both.groupBy(*keys).agg(
+        (F.count(F.lit(1)) / F.sum("design_w")).alias("unit")), "mean-weight")
+    both = both.join(size, keys).withColumn("unit_w", F.col("design_w") * F.col("unit")).drop("unit")
     sel_num = ctx.numeric + [c for c in extra if c not in ctx.categorical]
-    sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "design_w", spec.binning)
-    out_bins = binning.fit_bins(acc.withColumn("one", F.lit(1.0)), keys, ctx.numeric,
-                                ctx.categorical, "bad", "one", spec.binning)
+    if ctx.propensity and not extra:
+        sel_bins = ctx.propensity.bins
+    else:
+        sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "unit_w", spec.binning)
+    out_bins = ctx.outcome_bins
+    if out_bins is None:
+        out_bins = binning.fit_bins(acc.withColumn("one", F.lit(1.0)), keys, ctx.numeric,
+                                    ctx.categorical, "bad", "one", spec.binning)
     top = spec.binning.max_bins
     sel_look = localize(binning.lookup_row(sel_bins, keys, sel_num, ctx.categorical), "sel-lookup")
     out_look = localize(binning.lookup_row(out_bins, keys, ctx.numeric, ctx.categorical), "out-lookup")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 512
+ONE_TASK_ROWS = 200_000
 
 
 def _slice(order: str, span) -> Column:
@@ -18,13 +19,26 @@ def _slice(order: str, span) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)).cast("int")
 
 
-def cumulate(df: DataFrame, keys, order: str, sums, span, descending: bool = False) -> DataFrame:
+def short_keys(table: DataFrame, keys) -> bool:
+    """Whether every key of a written table is small enough to order in one task."""
+    most = table.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (most or 0) <= ONE_TASK_ROWS
+
+
+def cumulate(df: DataFrame, keys, order: str, sums, span, descending: bool = False,
+             short: bool = False) -> DataFrame:
     """Add ``<c>_through`` (running total) and ``<c>_all`` (key total) for each ``c``.
 
     ``df`` has one row per (keys, order). ``span`` only balances the slices.
+    ``short`` says the keys were found small, which skips the slicing.
     """
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    cut = df.withColumn("_slice", _slice(order, span))
+    if short:
+        of = Window.partitionBy(*keys)
+        upto = of.orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(upto).alias(f"{c}_through") for c in sums],
+                         *[F.sum(c).over(of).alias(f"{c}_all") for c in sums])
+    cut = df.withColumn("_slice", _slice(order, span)).repartition(*keys, "_slice")
     by_slice = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,31 +59,39 @@ def cumulate(df: DataFrame, keys, order: str, sums, span, descending: bool = Fal
 
 
 def quantiles(df: DataFrame, keys, value: str, probs, span, rows: str | None = None,
-              name: str = "q") -> DataFrame:
+              name: str = "q", short: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles: one array per key.
 
-    ``rows`` names a column of row counts when ``df`` is already a histogram.
+    ``rows`` names the row counts when ``df`` is already a histogram with one
+    row per (keys, value).
     """
-    n = F.count(F.lit(1)) if rows is None else F.sum(rows)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
-    run = cumulate(hist, keys, value, ["n"], span)
-    first, through, v = F.col("n_through") - F.col("n"), F.col("n_through"), F.col(value)
-
-    def wanted(p, i):
-        place = p * (F.col("n_all") - 1).cast("double")
-        return F.struct(i.alias("i"), F.floor(place).alias("r"), (place - F.floor(place)).alias("part"))
-
-    asked = F.transform(F.array(*[F.lit(float(p)) for p in probs]), wanted)
-    mine = F.filter(asked, lambda s: (first <= s["r"] + 1) & (s["r"] < through))
-    hit = run.select(*keys, v.alias("v"), first.alias("a"), through.alias("b"),
-                     F.explode(mine).alias("s"))
-    r = F.col("s.r")
-    low = F.max(F.when((F.col("a") <= r) & (r < F.col("b")), F.col("v")))
-    high = F.max(F.when((F.col("a") <= r + 1) & (r + 1 < F.col("b")), F.col("v")))
+    seen = df.where(F.col(value).isNotNull())
+    if rows is None:
+        hist = seen.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        hist = seen.select(*keys, value, F.col(rows).alias("n"))
+    run = cumulate(hist, keys, value, ["n"], span, short=short)
+    # rows that hold a wanted rank (or the one above it), found by counting ranks
+    ranks = [f"floor({float(p)!r}D * (n_all - 1))" for p in probs]
+
+    def ranks_below(x):
+        return " + ".join(f"int({r} < {x})" for r in ranks)
+
+    run = run.where(f"{ranks_below('n_through')} > {ranks_below('n_through - n - 1')}")
+    asked = ", ".join(
+        f"struct({i} AS i, {r} AS r, {float(p)!r}D * (n_all - 1) - {r} AS part)"
+        for i, (p, r) in enumerate(zip(probs, ranks)))
+    hit = run.select(*keys, F.col(value).alias("v"), F.expr("n_through - n").alias("a"),
+                     F.col("n_through").alias("b"), F.explode(F.expr(
+                         f"filter(array({asked}), s -> n_through - n <= s.r + 1 AND s.r < n_through)"
+                     )).alias("s"))
     each = hit.groupBy(*keys, F.col("s.i").alias("i")).agg(
-        (low + F.coalesce(high - low, F.lit(0.0)) * F.max("s.part")).alias("x"))
-    return each.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
+        F.expr("max(CASE WHEN a <= s.r AND s.r < b THEN v END)").alias("low"),
+        F.expr("max(CASE WHEN s.r + 1 < b THEN v END)").alias("high"),
+        F.max("s.part").alias("part"))
+    spot = F.expr("struct(i, low + coalesce(high - low, 0D) * part AS x)")
+    return each.withColumn("spot", spot).groupBy(*keys).agg(
+        F.expr("transform(array_sort(collect_list(spot)), s -> s.x)").alias(name))
 
 
 def weighted_quantile(df: DataFrame, keys, value: str, weight: str, row_id: str,

@@ -29,6 +29,16 @@ class Scorecards:
     def features(self):
         return self.numeric + self.categorical
 
+    def where(self, key: str, value: str) -> "Scorecards":
+        """The scorecards of one value of a key, without that key."""
+        rest = [k for k in self.keys if k != key]
+
+        def only(df):
+            return df.where(F.col(key) == value).drop(key)
+
+        return Scorecards(rest, self.numeric, self.categorical, only(self.bins), only(self.coefs),
+                          only(self.lookup), self.max_bins, only(self.cells))
+
     def training_scores(self) -> DataFrame:
         """(keys, pd, tp, fp): training weight of bads and goods per design."""
         eta = F.get("beta", F.lit(0))
