@@ -43,3 +43,24 @@ def fixed_size(df: DataFrame, keys, row_id: str, size, salt) -> DataFrame:
     return (kept.withColumn("_rank", rank)
             .where(whole | (F.col("_rank") + F.col("_before") <= F.col("_size")))
             .select(*df.columns))
+
+
+def capped_two_sided(df: DataFrame, keys, side: str, row_id: str, weight: str, max_rows: int,
+                     min_side: int, salt) -> DataFrame:
+    """Proportional subsample of both sides with re-based weights.
+
+    Keys above ``max_rows`` keep the same fraction of either side, at least
+    ``min_side`` rows of it; weights grow so each side keeps its total.
+    """
+    by = [*keys, side]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.groupBy(*keys).agg(F.sum("_rows").alias("_all"))
+    share = F.lit(float(max_rows)) / F.col("_all")
+    part = F.floor(F.col("_rows") * share).cast("bigint")
+    keep = F.when(F.col("_all") <= max_rows, F.col("_rows")).otherwise(
+        F.least(F.col("_rows"), F.greatest(part, F.lit(min_side).cast("bigint"))))
+    plan = localize(sizes.join(total, list(keys)).select(*by, "_rows", keep.alias("_keep")), "caps")
+    sized = df.join(plan, by)
+    kept = fixed_size(sized, by, row_id, "_keep", salt)
+    return kept.select(*[c for c in df.columns if c != weight],
+                       (F.col(weight) * F.col("_rows") / F.col("_keep")).alias(weight))
