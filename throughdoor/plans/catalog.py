@@ -14,6 +14,7 @@ from ..operators import (backtest, binning, economics, inference, measures, orde
                          population, regions, sampling, scorecard, selection)
 from ..runtime import localize, materialize, scratch_root, small_table
 from ..sources import applications
+from . import audit
 from .frames import KEY, KEYS, SAMPLED, WHOLE, frames, proxy_pd
 
 QUERIES: dict = {}
@@ -82,27 +83,15 @@ def write_table(f):
     return back.csv(path)
 
 
-def long_form(df: DataFrame, section: str, key: str | None = None) -> DataFrame:
-    """Numeric columns of a result table as (section, metric, key, value) rows."""
-    who = F.col(key).cast("string") if key else F.lit("")
-    names = [c for c, t in df.dtypes if t in ("double", "bigint", "int") and c != key]
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                      for c in names])
-    return df.select(F.lit(section).alias("section"), who.alias("key"), F.explode(pairs).alias("m")).select(
-        "section", "m.metric", "key", "m.value")
-
-
 @query
 def headline_metrics(f):
     rates = f.panel.audit.select("n_accepted_total", "n_accepted_terminal", "n_declined_total",
                                  "indeterminate_frac", "unscored_frac", "population_accept_rate")
-    cov = population.field_coverage(
-        applications.harmonise_accepted(f.accepted_raw, fill=False).where("bad IS NOT NULL"),
-        applications.harmonise_declined(f.declined_raw, fill=False))
+    cov = audit.coverage(f)
     pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.economics)
     even = economics.breakeven(pooled, WHOLE.economics).drop(KEY)
-    rows = (long_form(rates, "data").unionByName(long_form(cov, "coverage", "field"))
-            .unionByName(long_form(even, "yields")))
+    rows = (audit.long_form(rates, "data").unionByName(audit.long_form(cov, "coverage", "field"))
+            .unionByName(audit.long_form(even, "yields")))
     path = f"{scratch_root(f.spark)}/headline-{uuid.uuid4().hex}"
     rows.write.json(path)
     back = f.spark.read.schema("section string, metric string, key string, value double").json(path)
@@ -285,9 +274,7 @@ def interval_lookup(f):
 
 @query
 def field_coverage(f):
-    return population.field_coverage(
-        applications.harmonise_accepted(f.accepted_raw, fill=False).where("bad IS NOT NULL"),
-        applications.harmonise_declined(f.declined_raw, fill=False))
+    return audit.coverage(f)
 
 
 @query
@@ -533,12 +520,7 @@ def claimed_gini(f):
 
 @query
 def method_table(f):
-    rows = f.inferred.estimates().select("method", "est_reject_bad_rate", "est_ttd_bad_rate",
-                                         F.col("claimed_gini").alias("claimed_ttd_gini"))
-    more = f.excluded.estimates.select(
-        F.lit("heckman_with_exclusion").alias("method"), "est_reject_bad_rate", "est_ttd_bad_rate",
-        F.lit(None).cast("double").alias("claimed_ttd_gini"))
-    return tidy(rows.unionByName(more))
+    return tidy(audit.method_table(f))
 
 
 @query

@@ -33,19 +33,24 @@ def proxy_corrected():
          + F.coalesce("amount_requested", F.lit(20000.0)) / 500.0 - 500.0) / 40.0))
 
 
-class Frames:
-    """One data folder's tables, written once per session and reused."""
+class Portfolio:
+    """Every stage of one portfolio's audit, computed when first asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    Shared stages are written once, so tables that build on them do not
+    compute them again.
+    """
+
+    def __init__(self, spark: SparkSession, accepted_raw, declined_raw, spec: Audit):
+        self.spark, self.spec = spark, spec
+        self._accepted, self._declined = accepted_raw, declined_raw
 
     @cached_property
     def accepted_raw(self) -> DataFrame:
-        return materialize(warehouse.accepted_raw(self.spark, self.sf_dir), "accepted-raw")
+        return materialize(self._accepted(), "accepted-raw")
 
     @cached_property
     def declined_raw(self) -> DataFrame:
-        return materialize(warehouse.declined_raw(self.spark, self.sf_dir), "declined-raw")
+        return materialize(self._declined(), "declined-raw")
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -57,11 +62,7 @@ class Frames:
 
     @cached_property
     def panel(self) -> population.Panel:
-        return population.build_panel(self.accepted, self.declined, WHOLE)
-
-    @cached_property
-    def sampled(self) -> population.Panel:
-        return population.build_panel(self.accepted, self.declined, SAMPLED)
+        return population.build_panel(self.accepted, self.declined, self.spec)
 
     @cached_property
     def terminal(self) -> DataFrame:
@@ -74,18 +75,18 @@ class Frames:
     @cached_property
     def split(self) -> DataFrame:
         """Accepted rows with the train/test flag."""
-        test = sampling.split_flag("app_id", WHOLE.scaling.test_frac, f"split:{WHOLE.seed}")
+        test = sampling.split_flag("app_id", self.spec.scaling.test_frac, f"split:{self.spec.seed}")
         return materialize(self.panel.accepted.withColumn("is_test", test)
                            .withColumn("w", F.lit(1.0)), "split")
 
     @cached_property
     def baseline(self) -> scorecard.Scorecards:
         return scorecard.fit(self.split.where("NOT is_test"), KEYS, NUMERIC, CATEGORICAL, "bad", "w",
-                             WHOLE.binning, WHOLE.scaling)
+                             self.spec.binning, self.spec.scaling)
 
     @cached_property
     def context(self) -> inference.Context:
-        ctx = inference.Context(self.panel.accepted, self.panel.declined, self.baseline, KEYS, WHOLE)
+        ctx = inference.Context(self.panel.accepted, self.panel.declined, self.baseline, KEYS, self.spec)
         ctx.propensity = inference.propensity_card(ctx)
         return ctx
 
@@ -109,7 +110,7 @@ class Frames:
 
     @cached_property
     def backtest(self) -> DataFrame:
-        return backtest.run(self.terminal, WHOLE)
+        return backtest.run(self.terminal, self.spec)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -117,9 +118,21 @@ class Frames:
 
     @cached_property
     def sensitivity(self) -> DataFrame:
-        return localize(backtest.scale_sensitivity(self.terminal, WHOLE), "sensitivity")
+        return localize(backtest.scale_sensitivity(self.terminal, self.spec), "sensitivity")
+
+
+class Frames(Portfolio):
+    """The portfolio derived from a data folder, and inputs for single operators."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, lambda: warehouse.accepted_raw(spark, sf_dir),
+                         lambda: warehouse.declined_raw(spark, sf_dir), WHOLE)
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def sampled(self) -> population.Panel:
+        return population.build_panel(self.accepted, self.declined, SAMPLED)
 
-    # --- operators on a given score -------------------------------------------
     @cached_property
     def proxy_accepted(self) -> DataFrame:
         """Terminal accepted rows with a stand-in PD and the amount as weight."""
