@@ -58,14 +58,22 @@ def to_bins(hist: DataFrame, cuts: DataFrame, by, max_cuts: int) -> DataFrame:
 
 
 class _Ladder:
-    """Adjacent bins of one feature; ``fuse(i)`` joins rung i with rung i + 1."""
+    """Adjacent bins of one feature; ``fuse(i)`` joins rung i with rung i + 1.
 
-    def __init__(self, tops, weight, bad):
-        self.tops, self.weight, self.bad = list(tops), list(weight), list(bad)
+    Sums of fractional weights depend on row order in their last digits, so
+    comparisons are made on shares and rates rounded to nine places: equal bins
+    stay equal however the rows were partitioned.
+    """
+
+    def __init__(self, tops, weight, bad, total):
+        self.tops, self.weight, self.bad, self.total = list(tops), list(weight), list(bad), total
 
     def __len__(self):
         return len(self.tops)
 
+    def shares(self):
+        return np.round(np.array(self.weight) / self.total, 9)
+
     def rates(self):
         return np.array(self.bad) / np.maximum(np.array(self.weight), 1e-12)
 
@@ -77,25 +85,25 @@ class _Ladder:
 
 def coarsen(tops, weight, bad, total: float, spec: Binning) -> _Ladder:
     """Merge pre-bins: too-small ones first, then trend breaks, then to size."""
-    ladder = _Ladder(tops, weight, bad)
-    while len(ladder) > 2 and min(ladder.weight) < spec.min_bin_frac * total:
-        i = int(np.argmin(ladder.weight))
-        left = ladder.weight[i - 1] if i > 0 else np.inf
-        right = ladder.weight[i + 1] if i + 1 < len(ladder) else np.inf
+    ladder = _Ladder(tops, weight, bad, max(total, 1e-300))
+    while len(ladder) > 2 and min(ladder.shares()) < spec.min_bin_frac:
+        share = ladder.shares()
+        i = int(np.argmin(share))
+        left = share[i - 1] if i > 0 else np.inf
+        right = share[i + 1] if i + 1 < len(ladder) else np.inf
         ladder.fuse(i - 1 if left <= right else i)
     if spec.monotonic and len(ladder) > 2:
         rates = ladder.rates()
-        with np.errstate(all="ignore"):
-            trend = np.corrcoef(np.arange(len(rates)), rates)[0, 1]
-        trend = np.sign(trend) if np.isfinite(trend) else 0.0
+        place = np.arange(len(rates)) - (len(rates) - 1) / 2.0
+        trend = np.sign(np.round(place @ rates, 9))  # sign of the correlation with the bin number
         for _ in range(100 if trend else 0):
-            moves = np.diff(ladder.rates()) * trend
+            moves = np.round(np.diff(ladder.rates()) * trend, 9)
             if len(ladder) <= 2 or moves.min() >= 0:
                 break
             ladder.fuse(int(np.argmin(moves)))
     while len(ladder) > spec.max_bins:
-        pairs = np.add(ladder.weight[:-1], ladder.weight[1:])
-        ladder.fuse(int(np.argmin(pairs)))
+        share = ladder.shares()
+        ladder.fuse(int(np.argmin(np.round(share[:-1] + share[1:], 9))))
     return ladder
 
 
@@ -236,20 +244,20 @@ def bin_index(value: str, edges: str, max_bins: int):
         f"coalesce(int(`{value}` > get(`{edges}`, {i})), 0)" for i in range(max_bins - 1)))
 
 
-def woe_columns(numeric, categorical, max_bins: int):
+def woe_columns(numeric, categorical, max_bins: int, suffix: str = "__woe"):
     """WOE of each feature, for rows joined with their ``lookup_row``."""
     out = []
     for f in numeric:
         at = bin_index(f, f"{f}__edges", max_bins)
         seen = F.coalesce(F.get(f"{f}__woes", at), F.lit(0.0))
         gap = F.coalesce(F.col(f"{f}__gap"), F.lit(0.0))
-        out.append(F.when(F.col(f).isNull(), gap).otherwise(seen).alias(f"{f}__woe"))
+        out.append(F.when(F.col(f).isNull(), gap).otherwise(seen).alias(f + suffix))
     for f in categorical:
         levels = F.col(f"{f}__levels")
         level = F.coalesce(F.col(f).cast("string"), F.lit(MISSING_LEVEL))
         out.append(F.coalesce(F.try_element_at(levels, level),
                               F.try_element_at(levels, F.lit(OTHER_LEVEL)),
-                              F.lit(0.0)).alias(f"{f}__woe"))
+                              F.lit(0.0)).alias(f + suffix))
     return out
 
 

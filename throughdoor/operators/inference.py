@@ -187,14 +187,14 @@ def _cap(ranked, keys, share):
     hist = ranked.groupBy(*keys, "minus_p").agg(F.count(F.lit(1)).alias("n"))
     run = cumulate(hist, keys, "minus_p", ["n"], (-1.0, 0.0))
     place = F.lit(share) * (F.col("n_all") - 1).cast("double")
-    r, first = F.floor(place), F.col("n_through") - F.col("n")
+    r, first = F.floor(place + 1e-9), F.col("n_through") - F.col("n")
 
     def at(k):
         return F.max(F.when((first <= k) & (k < F.col("n_through")), -1.0 / F.col("minus_p")))
 
     low, high = at(r), at(r + 1)
     return run.groupBy(*keys).agg(
-        (low + F.coalesce(high - low, F.lit(0.0)) * F.max(place - r)).alias("cap"))
+        (low + F.coalesce(high - low, F.lit(0.0)) * F.greatest(F.lit(0.0), F.max(place - r))).alias("cap"))
 
 
 def ipw(ctx: Context) -> View:
@@ -242,11 +242,11 @@ class SelectionResult:
         on = [k for k in self.keys if k in rows.columns]
         extra = [k for k in self.keys if k not in on]
         feats = self.numeric + self.categorical
-        woes = binning.woe_columns(self.numeric, self.categorical, self.max_bins)
+        woes = binning.woe_columns(self.numeric, self.categorical, self.max_bins, "__own")
         got = rows.join(self.lookup, on).select(
             *[rows[c] for c in keep], *extra, F.col("beta").alias("_beta"), *woes)
-        got = got.withColumn("_v", selection.linear("_beta", [f"{f}__woe" for f in feats]))
-        return got.select(*keep, *extra, N.normal_cdf(F.col("_v")).alias(pd_name))
+        got = got.withColumn("_v", selection.linear("_beta", [f"{f}__own" for f in feats]))
+        return got.select(*keep, *extra, scorecard.settled(N.normal_cdf(F.col("_v"))).alias(pd_name))
 
 
 def heckman(ctx: Context) -> SelectionResult:
@@ -303,7 +303,7 @@ def heckman(ctx: Context) -> SelectionResult:
         ((F.col("wa") * obs + F.col("wr") * rej) / (F.col("wa") + F.col("wr"))).alias("est_ttd_bad_rate"),
         obs.alias("accepted_bad_rate"))
     share_bad = F.when(F.col("s") > 0.5, F.col("y")).otherwise(F.col("p"))
-    view = at.select(*keys, N.normal_cdf(F.col("v")).alias("pd"),
+    view = at.select(*keys, scorecard.settled(N.normal_cdf(F.col("v"))).alias("pd"),
                      (F.col("w") * share_bad).alias("tp"), (F.col("w") * (1.0 - share_bad)).alias("fp"))
     lookup = localize(out_look.join(fit.params.select(*keys, "beta"), keys), "selection-card")
     return SelectionResult(keys, fit, out_bins, ctx.numeric, ctx.categorical, estimates,

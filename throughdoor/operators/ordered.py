@@ -71,15 +71,16 @@ def quantiles(df: DataFrame, keys, value: str, probs, span, rows: str | None = N
     else:
         hist = seen.select(*keys, value, F.col(rows).alias("n"))
     run = cumulate(hist, keys, value, ["n"], span, short=short)
-    # rows that hold a wanted rank (or the one above it), found by counting ranks
-    ranks = [f"floor({float(p)!r}D * (n_all - 1))" for p in probs]
+    # rows that hold a wanted rank (or the one above it), found by counting ranks;
+    # a rank that misses an integer by float noise is that integer
+    ranks = [f"floor({float(p)!r}D * (n_all - 1) + 1e-9D)" for p in probs]
 
     def ranks_below(x):
         return " + ".join(f"int({r} < {x})" for r in ranks)
 
     run = run.where(f"{ranks_below('n_through')} > {ranks_below('n_through - n - 1')}")
     asked = ", ".join(
-        f"struct({i} AS i, {r} AS r, {float(p)!r}D * (n_all - 1) - {r} AS part)"
+        f"struct({i} AS i, {r} AS r, greatest(0D, {float(p)!r}D * (n_all - 1) - {r}) AS part)"
         for i, (p, r) in enumerate(zip(probs, ranks)))
     hit = run.select(*keys, F.col(value).alias("v"), F.expr("n_through - n").alias("a"),
                      F.col("n_through").alias("b"), F.explode(F.expr(

@@ -12,6 +12,11 @@ from ..runtime import localize
 from . import binning, glm
 
 
+def settled(pd):
+    """Scores to twelve places, so that equal scores tie however they were summed."""
+    return F.rint(pd * F.lit(1e12)) / F.lit(1e12)
+
+
 @dataclass
 class Scorecards:
     """Fitted scorecards of all keys: bins, coefficients, one lookup row each."""
@@ -45,25 +50,25 @@ class Scorecards:
         for i, f in enumerate(self.features, 1):
             eta = eta + F.get("beta", F.lit(i)) * F.col(f"{f}__woe")
         return self.cells.join(self.coefs, self.keys).select(
-            *self.keys, (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).alias("pd"),
+            *self.keys, settled(F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).alias("pd"),
             F.col("swy").alias("tp"), (F.col("sw") - F.col("swy")).alias("fp"))
 
     def score(self, rows: DataFrame, pd_name: str = "pd", keep=None, logit: str | None = None):
         """Rows with P(bad); rows may lack some keys and then fan out over them."""
         on = [k for k in self.keys if k in rows.columns]
         extra = [k for k in self.keys if k not in on]
-        woes = binning.woe_columns(self.numeric, self.categorical, self.max_bins)
+        woes = binning.woe_columns(self.numeric, self.categorical, self.max_bins, "__own")
         keep = rows.columns if keep is None else keep
         got = rows.join(self.lookup, on).select(
             *[rows[c] for c in keep], *extra, F.col("beta").alias("_beta"), *woes)
         eta = F.get("_beta", F.lit(0))
         for i, f in enumerate(self.features, 1):
-            eta = eta + F.get("_beta", F.lit(i)) * F.col(f"{f}__woe")
+            eta = eta + F.get("_beta", F.lit(i)) * F.col(f"{f}__own")
         got = got.select(*keep, *extra, eta.alias("_eta"))
         out = [F.col(c) for c in keep + extra]
         if logit:
             out.append(F.col("_eta").alias(logit))
-        return got.select(*out, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta")))).alias(pd_name))
+        return got.select(*out, settled(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta")))).alias(pd_name))
 
     def terms(self) -> DataFrame:
         names = F.array(*[F.lit(x) for x in ["intercept", *self.features]])

@@ -562,34 +562,68 @@ def backtest_truth(f):
     return tidy(m.facts.drop("scenario"))
 
 
+def _labelling(f):
+    """Backtest rows of the methods that label rows, and of no correction."""
+    return f.backtest.where("method <> 'heckman'").drop("rho", "se_rho", "lr_p")
+
+
+def _labelling_summary(f):
+    return f.summary.where("method <> 'heckman'")
+
+
 @query
 def backtest_rows(f):
-    return tidy(f.backtest.drop("scenario"))
+    return tidy(_labelling(f).drop("scenario"))
+
+
+@query
+def backtest_selection_rows(f):
+    return tidy(f.backtest.where("method = 'heckman'").drop("scenario"))
 
 
 @query
 def backtest_summary(f):
+    return tidy(_labelling_summary(f))
+
+
+@query
+def backtest_summary_all(f):
     return tidy(f.summary)
 
 
 @query
 def method_ranking(f):
+    return tidy(backtest.rank_methods(_labelling_summary(f)))
+
+
+@query
+def method_ranking_all(f):
     return tidy(backtest.rank_methods(f.summary))
 
 
 @query
 def null_case(f):
+    return tidy(backtest.null_case(_labelling(f)))
+
+
+@query
+def null_case_all(f):
     return tidy(backtest.null_case(f.backtest))
 
 
 @query
 def breaking_point(f):
+    return backtest.breaking_point(_labelling_summary(f))
+
+
+@query
+def breaking_point_all(f):
     return backtest.breaking_point(f.summary)
 
 
 @query
 def holds_up_to(f):
-    return backtest.holds_up_to(f.summary)
+    return backtest.holds_up_to(_labelling_summary(f))
 
 
 @query
@@ -742,5 +776,6 @@ def model_zip_residuals(f):
 def z_histogram(f):
     """Density of z in 50 bins between the smallest and largest residual."""
     res = materialize(_residuals(f), "residuals")
-    ends = res.agg(F.min("z").alias("lo"), F.max("z").alias("hi")).first()
+    ends = res.agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("lo"),
+                   F.coalesce(F.max("z"), F.lit(1.0)).alias("hi")).first()
     return tidy(measures.histogram(res, KEYS, "z", ends["lo"], ends["hi"], 50).drop(KEY))

@@ -6,7 +6,7 @@ the merge and the Newton rounds are recursive CTEs.
 """
 from __future__ import annotations
 
-from ..config import CONTEXT, FEATURES, NUMERIC
+from ..config import CONTEXT, FEATURES, NO_CORRECTION, NUMERIC
 from ..functions import normal
 from ..functions.fields import BAD_STATUSES, EMPLOYMENT_YEARS, GOOD_STATUSES
 from ..sources.warehouse import ACCEPTED_RAW, APPLICATIONS, DECLINED_RAW
@@ -192,7 +192,16 @@ oracle("scale_grid", """SELECT cutoff_type, CAST(rejection_rate AS DOUBLE) AS re
 
 
 def doubles(values):
-    return "[" + ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in values) + "]"
+    # as text, so that no decimal type rounds the literal on its way to a double
+    return "[" + ", ".join(f"CAST('{float(v)!r}' AS DOUBLE)" for v in values) + "]"
+
+
+def quants(v, probs):
+    """Linear quantiles from the sorted list ``v``, as a list."""
+    x = f"p * (len({v}) - 1)"
+    at = f"CAST(floor({x} + CAST('1e-9' AS DOUBLE)) AS BIGINT)"
+    return (f"list_transform({probs}, lambda p: {v}[{at} + 1] + coalesce({v}[{at} + 2] - {v}[{at} + 1], 0)"
+            f" * greatest(0, {x} - {at}))")
 
 
 def above(value, edges):
@@ -202,7 +211,8 @@ def above(value, edges):
 
 # --- lookups, aggregates -----------------------------------------------------------
 oracle("interval_lookup", f"""SELECT app_id, round(dti, 6) AS dti, {above('dti', 'q')} AS band FROM term,
-  (SELECT quantile_cont(dti, {doubles([0.1, 0.25, 0.5, 0.75, 0.9])}) AS q FROM term) WHERE dti IS NOT NULL""")
+  (SELECT {quants('v', doubles([0.1, 0.25, 0.5, 0.75, 0.9]))} AS q FROM (
+    SELECT list(dti ORDER BY dti) AS v FROM term WHERE dti IS NOT NULL)) WHERE dti IS NOT NULL""")
 _COV = [*FEATURES, *CONTEXT]
 def _missing(table, c):
     gone = f"{c} IS NULL" + (" OR state = 'XX'" if c == "state" else "")
@@ -315,8 +325,8 @@ def numeric_ctes(p, src, features, y, w, keys=(), max_bins=8, frac=0.05):
 
     return [
         f"{p}_long AS MATERIALIZED ({long_rows(src, features, y, w, keys)})",
-        f"""{p}_cuts AS MATERIALIZED (SELECT {by}, list_sort(list_distinct(quantile_cont(value, {doubles(probs)}))) AS cuts,
-          sum(w) AS total FROM {p}_long WHERE value IS NOT NULL GROUP BY {by})""",
+        f"""{p}_cuts AS MATERIALIZED (SELECT {by}, list_sort(list_distinct({quants('v', doubles(probs))})) AS cuts FROM (
+          SELECT {by}, list(value ORDER BY value) AS v FROM {p}_long WHERE value IS NOT NULL GROUP BY {by}))""",
         f"""{p}_tot AS (SELECT {by}, sum(w) AS all_w FROM {p}_long GROUP BY {by})""",
         f"""{p}_pre AS MATERIALIZED (SELECT {by}, bin_no, sum(w) AS sw, sum(wy) AS swy FROM (
           SELECT {by}, w, wy, CASE WHEN value IS NULL THEN -1 ELSE {above('value', 'cuts')} END AS bin_no
@@ -326,24 +336,25 @@ def numeric_ctes(p, src, features, y, w, keys=(), max_bins=8, frac=0.05):
           list(coalesce(sw, 0.0) ORDER BY bin_no) AS n, list(coalesce(swy, 0.0) ORDER BY bin_no) AS b
           FROM {p}_slot LEFT JOIN {p}_pre USING ({by}, bin_no) GROUP BY {by})""",
         f"""{p}_lad AS (
-          SELECT {by}, tops, n, b, 1 AS phase, CAST(0 AS DOUBLE) AS dir, all_w * {frac} AS least_n, 0 AS it
+          SELECT {by}, tops, n, b, 1 AS phase, CAST(0 AS DOUBLE) AS dir, all_w, 0 AS it
           FROM {p}_init JOIN {p}_tot {using}
           UNION ALL
           SELECT {by}, CASE WHEN k IS NULL THEN tops ELSE {fuse('tops', False)} END,
             CASE WHEN k IS NULL THEN n ELSE {fuse('n', True)} END,
             CASE WHEN k IS NULL THEN b ELSE {fuse('b', True)} END,
             CASE WHEN k IS NULL THEN phase + 1 ELSE phase END,
-            CASE WHEN k IS NULL AND phase = 1 THEN trend ELSE dir END, least_n, it + 1
+            CASE WHEN k IS NULL AND phase = 1 THEN trend ELSE dir END, all_w, it + 1
           FROM (SELECT *, CASE
-              WHEN phase = 1 AND len(n) > 2 AND list_min(n) < least_n THEN
-                CASE WHEN i = len(n) OR (i > 1 AND n[i - 1] <= n[i + 1]) THEN i - 1 ELSE i END
+              WHEN phase = 1 AND len(n) > 2 AND list_min(sh) < {frac} THEN
+                CASE WHEN i = len(n) OR (i > 1 AND sh[i - 1] <= sh[i + 1]) THEN i - 1 ELSE i END
               WHEN phase = 2 AND len(n) > 2 AND dir <> 0 AND list_min(moves) < 0 THEN list_position(moves, list_min(moves))
               WHEN phase = 3 AND len(n) > {max_bins} THEN list_position(pairs, list_min(pairs)) END AS k
-            FROM (SELECT *, list_position(n, list_min(n)) AS i,
-                [(rates[j + 1] - rates[j]) * dir for j in range(1, len(n))] AS moves,
-                [n[j] + n[j + 1] for j in range(1, len(n))] AS pairs,
-                CASE WHEN len(n) < 3 THEN 0 ELSE sign(list_sum([(j - (len(n) + 1) / 2.0) * rates[j] for j in range(1, len(n) + 1)])) END AS trend
-              FROM (SELECT *, [b[j] / greatest(n[j], 1e-12) for j in range(1, len(n) + 1)] AS rates FROM {p}_lad WHERE phase < 4))))""",
+            FROM (SELECT *, list_position(sh, list_min(sh)) AS i,
+                [round((rates[j + 1] - rates[j]) * dir, 9) for j in range(1, len(n))] AS moves,
+                [round(sh[j] + sh[j + 1], 9) for j in range(1, len(n))] AS pairs,
+                CASE WHEN len(n) < 3 THEN 0 ELSE sign(round(list_sum([(j - (len(n) + 1) / 2.0) * rates[j] for j in range(1, len(n) + 1)]), 9)) END AS trend
+              FROM (SELECT *, [b[j] / greatest(n[j], 1e-12) for j in range(1, len(n) + 1)] AS rates,
+                [round(n[j] / all_w, 9) for j in range(1, len(n) + 1)] AS sh FROM {p}_lad WHERE phase < 4))))""",
         f"""{p}_done AS MATERIALIZED (SELECT * FROM {p}_lad WHERE phase = 4)""",
         f"""{p}_num AS MATERIALIZED (
           SELECT {by}, j - 1 AS bin_no, CASE WHEN j > 1 THEN tops[j - 1] END AS lo,
@@ -452,6 +463,11 @@ def eta(k):
     return "(" + " + ".join(["b0"] + [f"b{i} * x{i}" for i in range(1, k + 1)]) + ")"
 
 
+def logistic(k):
+    """P(bad) of a coded row, to twelve places."""
+    return f"round(1 / (1 + exp(-{eta(k)})) * CAST('1e12' AS DOUBLE)) / CAST('1e12' AS DOUBLE)"
+
+
 def card_ctes(p, src, numeric, categorical, y="bad", w="1.0", keys=()):
     """Everything of one scorecard: bins, coded training rows, coefficients."""
     k = len(numeric) + len(categorical)
@@ -466,7 +482,7 @@ def score_cte(name, src, p, numeric, categorical, keys=(), out="pd"):
     join = f"JOIN {p}_beta USING ({', '.join(keys)})" if keys else f", {p}_beta"
     drop = ", ".join([f"x{i}" for i in range(1, k + 1)] + [f"b{i}" for i in range(k + 1)] + ["it"])
     return [coded, f"""{name} AS MATERIALIZED (SELECT * EXCLUDE ({drop}), {eta(k)} AS {out}_eta,
-      1 / (1 + exp(-{eta(k)})) AS {out} FROM {name}_x {join})"""]
+      {logistic(k)} AS {out} FROM {name}_x {join})"""]
 
 
 CATS = ["state"]
@@ -515,7 +531,7 @@ SCORED = CARD + score_cte("scored", "stacked", "a", NUMERIC, CATS) + [
       avg(bad) FILTER (accepted = 1) AS obs FROM scored)"""]
 TENTHS = doubles([k * (1.0 / 10) for k in range(1, 10)])
 BANDS = [
-    f"edges AS MATERIALIZED (SELECT list_sort(list_distinct(quantile_cont(pd, {TENTHS}))) AS e FROM scored WHERE accepted = 1)",
+    f"edges AS MATERIALIZED (SELECT list_sort(list_distinct({quants('v', TENTHS)})) AS e FROM (SELECT list(pd ORDER BY pd) AS v FROM scored WHERE accepted = 1))",
     f"""bands AS MATERIALIZED (SELECT band, n, CASE WHEN n >= 50 THEN own ELSE obs END AS band_rate FROM (
       SELECT {above('pd', 'e')} AS band, count(*) AS n, avg(bad) AS own FROM scored, edges WHERE accepted = 1 GROUP BY band), sides)""",
 ]
@@ -537,7 +553,7 @@ VIEWS = {
        f"view AS MATERIALIZED (SELECT {ROWCOLS}, bad, least(1 / p, cap) * design_w AS w, p, 1 / p > cap AS hit FROM capped, cap)"],
 }
 REFIT = {m: card_ctes("v", "view", NUMERIC, CATS, "bad", "w") + [
-    f"vs AS MATERIALIZED (SELECT {eta(5)} AS sc, swy AS tp, sw - swy AS fp FROM v_cells, v_beta)"]
+    f"vs AS MATERIALIZED (SELECT {logistic(5)} AS sc, swy AS tp, sw - swy AS fp FROM v_cells, v_beta)"]
     + areas("z", "vs", [], "sc", "tp", "fp") for m in VIEWS}
 TTD = "(wa * obs + wr * rej) / (wa + wr)"
 
@@ -556,7 +572,7 @@ oracle("fuzzy_augment", estimate("fuzzy", """(SELECT avg(least(1.0, 2.0 * pd)) A
                                  ", round(raw, 6) AS mean_raw_pd_rejects, round(clipped, 6) AS frac_pd_clipped_at_1"),
        VIEWS["fuzzy"], REFIT["fuzzy"])
 oracle("fuzzy_rows", "SELECT state, bad, count(*) AS n, round(sum(w), 6) AS w FROM view GROUP BY state, bad", VIEWS["fuzzy"])
-PROP_AUC = ["qs AS (SELECT " + eta(5) + " AS sc, swy AS tp, sw - swy AS fp FROM q_cells, q_beta)"] + areas("za", "qs", [], "sc", "tp", "fp")
+PROP_AUC = ["qs AS (SELECT " + logistic(5) + " AS sc, swy AS tp, sw - swy AS fp FROM q_cells, q_beta)"] + areas("za", "qs", [], "sc", "tp", "fp")
 IPW_STATS = """istats AS MATERIALIZED (SELECT sum(bad * w) / sum(w) AS ttd, avg(p) AS mean_p, min(p) AS min_p,
   avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS hits, sum(w) * sum(w) / sum(w * w) / count(*) AS ess FROM view)"""
 oracle("ipw", """SELECT 'ipw' AS method, round(greatest(0, least(1, (ttd - wa / (wa + wr) * obs) / greatest(1 - wa / (wa + wr), 1e-9))), 6) AS est_reject_bad_rate,
@@ -606,9 +622,12 @@ oracle("selection_llk", f"""SELECT CAST(accepted AS BIGINT) AS accepted, round(s
   coalesce(dti, 40) / 50.0 AS y FROM stacked)) GROUP BY accepted""")
 
 # --- policies -----------------------------------------------------------------------------------
-SCEN = """scen AS (SELECT *, concat(cutoff_type, '|', printf('%.6f', rejection_rate), '|', replicate) AS scenario FROM (
+def scen(where="true"):
+    return f"""scen AS (SELECT *, concat(cutoff_type, '|', printf('%.6f', rejection_rate), '|', replicate) AS scenario FROM (
   SELECT cutoff_type, CAST(rate AS DOUBLE) AS rejection_rate, replicate FROM
-  (VALUES ('risk_hard'), ('risk_soft'), ('random')) c(cutoff_type), (VALUES (0.1), (0.3), (0.5), (0.7)) g(rate), reps))"""
+  (VALUES ('risk_hard'), ('risk_soft'), ('random')) c(cutoff_type), (VALUES (0.1), (0.3), (0.5), (0.7)) g(rate), reps) WHERE {where})"""
+
+
 POOL = f"pool AS MATERIALIZED (SELECT *, {EVAL} AS is_eval FROM term, reps)"
 RANKED = """ranked AS MATERIALIZED (SELECT p.*, coalesce(risk_score, low - 1) AS sc FROM pool p
   JOIN (SELECT replicate, min(risk_score) AS low FROM pool GROUP BY replicate) USING (replicate))"""
@@ -620,7 +639,8 @@ HARD = f"""hard AS MATERIALIZED (SELECT scenario, thr, CASE WHEN tied > 0 AND re
   sum(CASE WHEN sc = thr THEN n ELSE 0 END) AS tied FROM (
     SELECT scenario, rejection_rate, replicate, CASE rejection_rate WHEN CAST(0.1 AS DOUBLE) THEN q[1]
       WHEN CAST(0.3 AS DOUBLE) THEN q[2] WHEN CAST(0.5 AS DOUBLE) THEN q[3] ELSE q[4] END AS thr
-    FROM (SELECT replicate, quantile_cont(sc, {doubles([0.1, 0.3, 0.5, 0.7])}) AS q FROM ranked GROUP BY replicate)
+    FROM (SELECT replicate, {quants('v', doubles([0.1, 0.3, 0.5, 0.7]))} AS q FROM (
+      SELECT replicate, list(sc ORDER BY sc) AS v FROM ranked GROUP BY replicate))
     JOIN scen USING (replicate) WHERE cutoff_type = 'risk_hard') JOIN vals USING (replicate) JOIN shape USING (replicate)
   GROUP BY scenario, rejection_rate, thr))"""
 SOFT = [
@@ -639,7 +659,7 @@ MASKED = f"""masked AS MATERIALIZED (SELECT r.*, s.scenario, s.cutoff_type, s.re
   FROM (SELECT x.*, c.scenario AS sid, {u('app_id', f"concat('mask:{SEED}:', c.scenario)")} AS u FROM ranked x JOIN scen c USING (replicate)) r
   JOIN scen s ON s.scenario = r.sid LEFT JOIN hard h ON h.scenario = s.scenario LEFT JOIN soft f ON f.scenario = s.scenario
   JOIN shape g ON g.replicate = r.replicate)"""
-MASK = [REPS, SCEN, POOL, RANKED, SHAPE, VALS, HARD, *SOFT, MASKED]
+MASK = [REPS, scen(), POOL, RANKED, SHAPE, VALS, HARD, *SOFT, MASKED]
 for _kind in ("random", "risk_hard", "risk_soft"):
     oracle({"random": "mask_random", "risk_hard": "mask_hard", "risk_soft": "mask_soft"}[_kind],
            f"""SELECT cutoff_type, rejection_rate, replicate, count(*) AS n, CAST(sum(CASE WHEN seen THEN 0 ELSE 1 END) AS BIGINT) AS n_declined,
@@ -657,7 +677,7 @@ oracle("backtest_truth", f"""SELECT cutoff_type, rejection_rate, replicate, n_po
 oracle("loan_returns", "SELECT app_id, round(net, 6) AS net, round(lgd, 6) AS lgd FROM pcal", PROXIES)
 DRAG = "(0.03 + 0.01) * 0.55 * {t} / 12"
 YIELDS = [
-    f"yedges AS MATERIALIZED (SELECT list_sort(list_distinct(quantile_cont(pd_baseline, {TENTHS}))) AS e FROM pcal)",
+    f"yedges AS MATERIALIZED (SELECT list_sort(list_distinct({quants('v', TENTHS)})) AS e FROM (SELECT list(pd_baseline ORDER BY pd_baseline) AS v FROM pcal))",
     f"""yb AS MATERIALIZED (SELECT *, CASE WHEN good_yield > bad_yield THEN (good_yield - {DRAG.format(t='mean_term')}) / (good_yield - bad_yield) END
       AS breakeven_bad_rate FROM (SELECT {above('pd_baseline', 'e')} AS band, count(*) AS n, avg(bad) AS bad_rate,
       avg(net) FILTER (bad = 0) AS good_yield, avg(net) FILTER (bad = 1) AS bad_yield,
@@ -797,10 +817,157 @@ oracle("zip_dispersion", f"""SELECT j AS n_zip3, round(chi2, 6) AS chi2, round(s
   round(2 * {cdf('(-3.0)')} * j, 6) AS n_flagged_expected_by_chance, round(nf - 2 * {cdf('(-3.0)')} * j, 6) AS excess_flags,
   round(q[2] - q[1], 6) AS iqr_excess_decline_pp FROM (SELECT count(z) AS j, sum(z * z) AS chi2, stddev_pop(z) AS sd,
   CAST(sum(CASE WHEN abs(z) > 3 THEN 1 ELSE 0 END) AS BIGINT) AS nf, max(excess_rate_pp) AS mx, min(excess_rate_pp) AS mn,
-  quantile_cont(excess_rate_pp, {doubles([0.25, 0.75])}) AS q FROM res)""", RES)
+  quantile_cont(excess_rate_pp, {doubles([0.25, 0.75])}) AS q FROM res HAVING count(z) > 0)""", RES)
 oracle("zip_top_k", """(SELECT 'top' AS "end", zip3, round(z, 6) AS z FROM res ORDER BY res.z DESC, zip3 LIMIT 10)
   UNION ALL (SELECT 'bottom', zip3, round(z, 6) FROM res ORDER BY res.z, zip3 LIMIT 10)""", RES)
 oracle("zip_largest_gaps", """SELECT zip3, round(excess_rate_pp, 6) AS excess_rate_pp FROM res ORDER BY abs(res.excess_rate_pp) DESC, zip3 LIMIT 15""", RES)
 oracle("z_histogram", """SELECT bin_no, round(lo + bin_no * width, 6) AS left_edge, n, round(n / (sum(n) OVER () * width), 6) AS density FROM (
   SELECT CAST(least(floor((z - lo) / width), 49) AS BIGINT) AS bin_no, count(*) AS n, any_value(lo) AS lo, any_value(width) AS width
   FROM (SELECT z, lo, (hi - lo) / 50 AS width FROM res, (SELECT min(z) AS lo, max(z) AS hi FROM res)) GROUP BY 1)""", RES)
+
+
+# --- keyed backtest (labelling methods) ---------------------------------------------------------------
+def backtest_ctes(scenarios: str, replicates: int, scales, with_ipw: bool) -> list:
+    """CTEs of the whole backtest, ending in ``est`` and the Gini tables.
+
+    Every fit is keyed by scenario (and by assumed scale and method).
+    """
+    one, three = ["scenario"], ["scenario", "scale", "method"]
+    cols = f"scenario, replicate, app_id, {ROWCOLS}, bad"
+    scale_rows = ", ".join(f"({x})" for x in scales)
+    views = [f"""SELECT scenario, scale, 'parcelling' AS method, {ROWCOLS}, bad, 1.0 AS w FROM scored, scales WHERE seen
+        UNION ALL SELECT scenario, scale, 'parcelling', {ROWCOLS}, y, 1.0 FROM drawn_bad""",
+             f"""SELECT * FROM (SELECT scenario, scale, 'fuzzy', {ROWCOLS}, bad, 1.0 AS w FROM scored, scales WHERE seen
+        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, 1.0, least(1.0, scale * pd) FROM scored, scales WHERE NOT seen
+        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, 0.0, 1 - least(1.0, scale * pd) FROM scored, scales WHERE NOT seen) WHERE w > 1e-9"""]
+    est = ["SELECT scenario, scale, 'parcelling' AS method, avg(y) AS rej, CAST(NULL AS DOUBLE) AS ttd0 FROM drawn_bad GROUP BY ALL",
+           "SELECT scenario, scale, 'fuzzy', avg(least(1.0, scale * pd)), NULL FROM scored, scales WHERE NOT seen GROUP BY ALL"]
+    out = [
+        f"reps AS (SELECT unnest(range(0, {replicates})) AS replicate)",
+        scen(scenarios),
+        POOL, RANKED, SHAPE, VALS, HARD, *SOFT, MASKED, FACTS,
+        "kept AS MATERIALIZED (SELECT * FROM masked SEMI JOIN facts USING (scenario))",
+        f"bfit AS MATERIALIZED (SELECT {cols} FROM kept WHERE NOT is_eval AND seen)",
+        f"fits AS MATERIALIZED (SELECT {cols}, seen FROM kept WHERE NOT is_eval)",
+        f"evs AS MATERIALIZED (SELECT {cols}, seen FROM kept WHERE is_eval)",
+        f"scales AS (SELECT CAST(s AS DOUBLE) AS scale FROM (VALUES {scale_rows}) t(s))",
+        *card_ctes("a", "bfit", NUMERIC, CATS, keys=one),
+        *score_cte("scored", "fits", "a", NUMERIC, CATS, keys=one),
+        """sides AS MATERIALIZED (SELECT scenario, CAST(count(*) FILTER (seen) AS DOUBLE) AS wa,
+          CAST(count(*) FILTER (NOT seen) AS DOUBLE) AS wr, avg(bad) FILTER (seen) AS obs FROM scored GROUP BY scenario)""",
+        f"""edges AS MATERIALIZED (SELECT scenario, list_sort(list_distinct({quants('v', TENTHS)})) AS e FROM (
+          SELECT scenario, list(pd ORDER BY pd) AS v FROM scored WHERE seen GROUP BY scenario))""",
+        f"""bands AS MATERIALIZED (SELECT scenario, band, CASE WHEN n >= 50 THEN own ELSE obs END AS band_rate FROM (
+          SELECT scenario, {above('pd', 'e')} AS band, count(*) AS n, avg(bad) AS own FROM scored JOIN edges USING (scenario)
+          WHERE seen GROUP BY ALL) JOIN sides USING (scenario))""",
+        f"""drawn_bad AS MATERIALIZED (SELECT *, CASE WHEN uu < least(1.0, scale * coalesce(band_rate, obs)) THEN 1.0 ELSE 0.0 END AS y
+          FROM (SELECT s.*, {above('pd', 'e')} AS band, obs, {u('app_id', f"concat('parcel:{SEED}#', replicate)")} AS uu
+            FROM scored s JOIN edges USING (scenario) JOIN sides USING (scenario) WHERE NOT seen)
+          LEFT JOIN bands USING (scenario, band), scales)""",
+    ]
+    if with_ipw:
+        out += ["ufits AS MATERIALIZED (SELECT *, CASE WHEN seen THEN 1.0 ELSE 0.0 END AS y FROM fits)"]
+        out += card_ctes("q", "ufits", NUMERIC, CATS, "y", "1.0", one)
+        out += score_cte("approved", "fits", "q", NUMERIC, CATS, keys=one)
+        out += ["capped AS MATERIALIZED (SELECT *, greatest(1e-4, least(1.0, pd)) AS p FROM approved WHERE seen)",
+                "cap AS MATERIALIZED (SELECT scenario, quantile_cont(1 / p, CAST(0.99 AS DOUBLE)) AS cap FROM capped GROUP BY scenario)",
+                "iview AS MATERIALIZED (SELECT *, least(1 / p, cap) AS w FROM capped JOIN cap USING (scenario))"]
+        views.append(f"SELECT scenario, scale, 'ipw', {ROWCOLS}, bad, w FROM iview, scales")
+        est.append("""SELECT scenario, scale, 'ipw', greatest(0, least(1, (ttd - wa / (wa + wr) * obs) / greatest(1 - wa / (wa + wr), 1e-9))), ttd
+          FROM (SELECT scenario, sum(bad * w) / sum(w) AS ttd FROM iview GROUP BY scenario) JOIN sides USING (scenario), scales""")
+    out += [
+        f"view AS MATERIALIZED ({' UNION ALL '.join(views)})",
+        f"""est AS MATERIALIZED (SELECT scenario, scale, method, rej, coalesce(ttd0, (wa * obs + wr * rej) / (wa + wr)) AS ttd
+          FROM ({' UNION ALL '.join(est)}) JOIN sides USING (scenario))""",
+        *card_ctes("v", "view", NUMERIC, CATS, "bad", "w", three),
+        f"""vs AS MATERIALIZED (SELECT scenario, scale, method, {logistic(5)} AS sc, swy AS tp, sw - swy AS fp
+          FROM v_cells JOIN v_beta USING (scenario, scale, method))""",
+        *areas("claimed", "vs", three, "sc", "tp", "fp"),
+        "evm AS MATERIALIZED (SELECT evs.*, scale, method FROM evs JOIN (SELECT scenario, scale, method FROM est) USING (scenario))",
+        *score_cte("evp", "evm", "v", NUMERIC, CATS, keys=three),
+        *areas("actual", "evp", three, "pd", "bad", "1 - bad"),
+    ]
+    return out
+
+
+BT = backtest_ctes("true", 5, [2.0], True) + score_cte("evb", "evs", "a", NUMERIC, CATS, keys=["scenario"]) + [
+    *areas("bact", "evb", ["scenario"], "pd", "bad", "1 - bad"),
+    "evbs AS (SELECT * FROM evb WHERE seen)",
+    *areas("brep", "evbs", ["scenario"], "pd", "bad", "1 - bad"),
+    f"pfit AS MATERIALIZED (SELECT replicate, {ROWCOLS}, bad FROM pool WHERE NOT is_eval)",
+    *card_ctes("o", "pfit", NUMERIC, CATS, keys=["replicate"]),
+    f"pev AS MATERIALIZED (SELECT replicate, {ROWCOLS}, bad FROM pool WHERE is_eval)",
+    *score_cte("pevp", "pev", "o", NUMERIC, CATS, keys=["replicate"]),
+    *areas("best", "pevp", ["replicate"], "pd", "bad", "1 - bad"),
+    """common AS MATERIALIZED (SELECT facts.*, CAST(n_rejected AS DOUBLE) / (n_accepted + n_rejected) AS realised_rejection_rate,
+      bact.gini AS baseline_actual_ttd_gini, brep.gini AS baseline_reported_gini, best.gini AS oracle_ttd_gini
+      FROM facts JOIN bact USING (scenario) JOIN brep USING (scenario) JOIN best USING (replicate))""",
+    f"""bt AS MATERIALIZED (SELECT *, est_ttd_bad_rate - truth_ttd_bad_rate AS bad_rate_bias,
+      est_reject_bad_rate - truth_reject_bad_rate AS reject_bad_rate_bias, claimed_gini - actual_ttd_gini AS gini_bias,
+      CASE WHEN method = '{NO_CORRECTION}' THEN 0 ELSE actual_ttd_gini - baseline_actual_ttd_gini END AS gini_uplift FROM (
+      SELECT common.*, '{NO_CORRECTION}' AS method, truth_accepted_bad_rate AS est_ttd_bad_rate, CAST(NULL AS DOUBLE) AS est_reject_bad_rate,
+        baseline_reported_gini AS claimed_gini, baseline_actual_ttd_gini AS actual_ttd_gini FROM common
+      UNION ALL SELECT common.*, method, ttd, rej, claimed.gini, actual.gini FROM common JOIN est USING (scenario)
+        JOIN claimed USING (scenario, scale, method) JOIN actual USING (scenario, scale, method)))""",
+]
+_BT = ["truth_ttd_bad_rate", "truth_reject_bad_rate", "truth_accepted_bad_rate", "realised_rejection_rate", "baseline_actual_ttd_gini",
+       "baseline_reported_gini", "oracle_ttd_gini", "est_ttd_bad_rate", "est_reject_bad_rate", "claimed_gini", "actual_ttd_gini",
+       "bad_rate_bias", "reject_bad_rate_bias", "gini_bias", "gini_uplift"]
+oracle("backtest_rows", f"""SELECT cutoff_type, rejection_rate, replicate, n_pool, n_accepted, n_rejected, CAST(2 AS DOUBLE) AS reject_bad_scale,
+  method, {', '.join(r(c) for c in _BT)} FROM bt""", BT)
+
+
+def _spread(c):
+    return f"avg({c}) AS {c}, stddev_samp({c}) AS {c}_sd"
+
+
+SUMMARY = f"""summ AS MATERIALIZED (SELECT cutoff_type, rejection_rate, method, {_spread('bad_rate_bias')}, avg(abs(bad_rate_bias)) AS abs_bad_rate_bias,
+  {_spread('gini_bias')}, avg(abs(gini_bias)) AS abs_gini_bias, {_spread('gini_uplift')}, avg(actual_ttd_gini) AS actual_ttd_gini,
+  avg(truth_ttd_bad_rate) AS truth_ttd_bad_rate, avg(oracle_ttd_gini) AS oracle_ttd_gini, avg(realised_rejection_rate) AS realised_rejection_rate,
+  count(DISTINCT replicate) AS n_reps FROM bt GROUP BY cutoff_type, rejection_rate, method)"""
+_SUM = ["bad_rate_bias", "bad_rate_bias_sd", "abs_bad_rate_bias", "gini_bias", "gini_bias_sd", "abs_gini_bias", "gini_uplift",
+        "gini_uplift_sd", "actual_ttd_gini", "truth_ttd_bad_rate", "oracle_ttd_gini", "realised_rejection_rate"]
+oracle("backtest_summary", f"SELECT cutoff_type, rejection_rate, method, {', '.join(r(c) for c in _SUM)}, n_reps FROM summ", BT, SUMMARY)
+RISKY = "cutoff_type IN ('risk_hard', 'risk_soft')"
+oracle("method_ranking", f"""SELECT method, round(avg(abs_bad_rate_bias), 6) AS mean_abs_bad_rate_bias, round(avg(abs_gini_bias), 6) AS mean_abs_gini_bias,
+  round(avg(gini_uplift), 6) AS mean_gini_uplift, round(avg(gini_bias_sd), 6) AS instability FROM summ WHERE {RISKY} GROUP BY method""", BT, SUMMARY)
+HOLDS = f"""steps AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY rejection_rate) AS step FROM (
+  SELECT method, rejection_rate, avg(abs_bad_rate_bias) AS bias FROM summ WHERE {RISKY} GROUP BY method, rejection_rate)),
+holds AS MATERIALIZED (SELECT method, max(CASE WHEN so_far AND step = seen THEN rejection_rate END) AS holds_up_to FROM (
+  SELECT *, bool_and(100 * bias <= 2) OVER w AS so_far, count(*) OVER w AS seen FROM steps
+  WINDOW w AS (PARTITION BY method ORDER BY step ROWS UNBOUNDED PRECEDING)) GROUP BY method)"""
+oracle("holds_up_to", "SELECT method, holds_up_to FROM holds", BT, SUMMARY, HOLDS)
+oracle("breaking_point", f"""SELECT CAST(2 AS DOUBLE) AS tolerance_pp, best AS best_rate, base AS baseline_holds_up_to, CASE WHEN best IS NULL THEN
+  concat('No method held its estimate of the through-the-door bad rate within 2 pp even at the mildest rejection rate swept (',
+    CAST(CAST(round(100 * low) AS INT) AS VARCHAR), '%).')
+  ELSE concat(names, ' held within 2 pp up to a ', CAST(CAST(round(100 * best) AS INT) AS VARCHAR), '% rejection rate, ',
+    CASE WHEN best < high THEN 'beyond which every method exceeds it' ELSE 'and holds across the whole swept range' END, '.',
+    CASE WHEN base >= best THEN concat(' Applying no correction at all held equally far (', CAST(CAST(round(100 * base) AS INT) AS VARCHAR),
+      '%), so on this evidence none of the four earned its place.') ELSE '' END) END AS verdict
+  FROM (SELECT best, base, low, high, (SELECT string_agg(method, ' and ' ORDER BY method) FROM holds
+    WHERE method <> '{NO_CORRECTION}' AND holds_up_to = best) AS names FROM (SELECT max(holds_up_to) FILTER (method <> '{NO_CORRECTION}') AS best,
+    max(holds_up_to) FILTER (method = '{NO_CORRECTION}') AS base, (SELECT min(rejection_rate) FROM steps) AS low,
+    (SELECT max(rejection_rate) FROM steps) AS high FROM holds))""", BT, SUMMARY, HOLDS)
+
+# Student's t with odd or even integer degrees of freedom, as a finite cosine series
+_TH = "atan(t / sqrt(df))"
+TAIL = f"""(1 - CASE WHEN df % 2 = 1 THEN 2 / pi() * ({_TH} + CASE WHEN df > 1 THEN sin({_TH}) * list_sum(
+    [cos({_TH}) ** (2 * i + 1) * list_product(list_concat([CAST(1 AS DOUBLE)], [CAST(2 * j AS DOUBLE) / (2 * j + 1) for j in range(1, i + 1)])) for i in range(0, (df - 3) // 2 + 1)]) ELSE 0 END)
+  ELSE sin({_TH}) * list_sum([cos({_TH}) ** (2 * i) * list_product(list_concat([CAST(1 AS DOUBLE)], [CAST(2 * j - 1 AS DOUBLE) / (2 * j) for j in range(1, i + 1)])) for i in range(0, df // 2)]) END) / 2"""
+oracle("null_case", f"""SELECT method, round(e, 6) AS mean_abs_bad_rate_bias, round(e0, 6) AS baseline_abs_bad_rate_bias, round(d, 6) AS excess_over_baseline,
+  round(p, 6) AS p_one_sided, n AS n_pairs, round(g, 6) AS mean_abs_gini_bias, fails AS hallucinates,
+  CASE WHEN fails THEN 'FAILS null: manufactures a correction where none exists' ELSE 'passes null: no correction reported, as there should not be' END AS verdict
+  FROM (SELECT *, d > 0.01 AND p < 0.05 AND method <> '{NO_CORRECTION}' AS fails FROM (SELECT *, CASE WHEN flat THEN 1 ELSE {TAIL} END AS p FROM (
+    SELECT *, n - 1 AS df, d / nullif(sd / sqrt(n), 0) AS t, method = '{NO_CORRECTION}' OR n < 3 OR most <= 1e-8 OR coalesce(sd, 0) <= 0 AS flat FROM (
+      SELECT a.method, avg(abs(a.bad_rate_bias)) AS e, avg(abs(b.bad_rate_bias)) AS e0, avg(abs(a.bad_rate_bias) - abs(b.bad_rate_bias)) AS d,
+        stddev_samp(abs(a.bad_rate_bias) - abs(b.bad_rate_bias)) AS sd, max(abs(abs(a.bad_rate_bias) - abs(b.bad_rate_bias))) AS most,
+        count(*) AS n, avg(abs(a.gini_bias)) AS g FROM bt a JOIN bt b ON a.cutoff_type = b.cutoff_type AND a.rejection_rate = b.rejection_rate
+        AND a.replicate = b.replicate WHERE a.cutoff_type = 'random' AND b.method = '{NO_CORRECTION}' GROUP BY a.method))))""", BT)
+SENS = backtest_ctes("cutoff_type IN ('risk_hard', 'random') AND rejection_rate BETWEEN 0.2 AND 0.6", 2, [1.0, 1.5, 2.0, 3.0], False) + [
+    """sens AS MATERIALIZED (SELECT method, scale, cutoff_type, avg(abs(ttd - truth_ttd_bad_rate)) AS abs_bad_rate_bias,
+      avg(ttd - truth_ttd_bad_rate) AS bad_rate_bias, avg(abs(claimed.gini - actual.gini)) AS abs_gini_bias FROM facts JOIN est USING (scenario)
+      JOIN claimed USING (scenario, scale, method) JOIN actual USING (scenario, scale, method) GROUP BY method, scale, cutoff_type)"""]
+oracle("scale_sensitivity", f"""SELECT method, scale AS reject_bad_scale, cutoff_type, {r('abs_bad_rate_bias')}, {r('bad_rate_bias')}, {r('abs_gini_bias')}
+  FROM sens""", SENS)
+oracle("best_scale", """SELECT cutoff_type, method, arg_min(scale, abs_bad_rate_bias) AS reject_bad_scale,
+  round(min(abs_bad_rate_bias), 6) AS abs_bad_rate_bias FROM sens GROUP BY cutoff_type, method""", SENS)
