@@ -45,6 +45,7 @@ class Context:
     row_id: str = "app_id"
     # fits that a caller already holds for these keys
     propensity: scorecard.Scorecards | None = None
+    selection_bins: DataFrame | None = None
     outcome_bins: DataFrame | None = None
 
     @property
@@ -263,9 +264,8 @@ def heckman(ctx: Context) -> SelectionResult:
         (F.count(F.lit(1)) / F.sum("design_w")).alias("unit")), "mean-weight")
     both = both.join(size, keys).withColumn("unit_w", F.col("design_w") * F.col("unit")).drop("unit")
     sel_num = ctx.numeric + [c for c in extra if c not in ctx.categorical]
-    if ctx.propensity and not extra:
-        sel_bins = ctx.propensity.bins
-    else:
+    sel_bins = None if extra else ctx.selection_bins
+    if sel_bins is None:
         sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "unit_w", spec.binning)
     out_bins = ctx.outcome_bins
     if out_bins is None:

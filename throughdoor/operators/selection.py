@@ -162,7 +162,7 @@ class _Climb:
         step = np.zeros(p)
         step[move] = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), floor))
         rise = float(g @ step[move])
-        if rise < 1e-10 * (1 + abs(ll)) * 1e-2 or (0 <= gain < 1e-13 * (1 + abs(ll))):
+        if rise < 1e-16 * (1 + abs(ll)) or 0 <= gain < 1e-14 * (1 + abs(ll)):
             self.done, self.converged = True, True
             return
         size = max(np.max(np.abs(step[:-1])) / 2.0, abs(step[-1]) / 0.5, 1.0)

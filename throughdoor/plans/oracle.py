@@ -540,48 +540,56 @@ PARCELLED = [f"""drawn_bad AS MATERIALIZED (SELECT *, CASE WHEN {u('app_id', rep
   LEFT JOIN (SELECT band, band_rate FROM bands) USING (band))"""]
 oracle("parcel_bands", "SELECT band, n, round(band_rate, 6) AS band_rate FROM bands", SCORED, BANDS)
 ROWCOLS = ", ".join(FEATURES)
-VIEWS = {
-    "parcelling": SCORED + BANDS + PARCELLED + [f"""view AS MATERIALIZED (SELECT {ROWCOLS}, bad, design_w AS w FROM scored WHERE accepted = 1
+PROPENSITY = [
+    *card_ctes("q", "scored", NUMERIC, CATS, "accepted", "design_w"),
+    *score_cte("approved", "(SELECT * EXCLUDE (pd, pd_eta) FROM scored)", "q", NUMERIC, CATS),
+    "capped AS MATERIALIZED (SELECT *, greatest(1e-4, least(1.0, pd)) AS p FROM approved WHERE accepted = 1)",
+    "cap AS MATERIALIZED (SELECT quantile_cont(1 / p, CAST(0.99 AS DOUBLE)) AS cap FROM capped)",
+    f"view_ipw AS MATERIALIZED (SELECT {ROWCOLS}, bad, least(1 / p, cap) * design_w AS w, p, 1 / p > cap AS hit FROM capped, cap)",
+    f"qs AS (SELECT {logistic(5)} AS sc, swy AS tp, sw - swy AS fp FROM q_cells, q_beta)", *areas("za", "qs", [], "sc", "tp", "fp"),
+    """istats AS MATERIALIZED (SELECT sum(bad * w) / sum(w) AS ttd, avg(p) AS mean_p, min(p) AS min_p,
+      avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS hits, sum(w) * sum(w) / sum(w * w) / count(*) AS ess FROM view_ipw)""",
+]
+OWN = {  # what each method adds to the scored rows: a labelled view, and its estimates
+    "parcelling": BANDS + PARCELLED + [f"""view_parcelling AS MATERIALIZED (SELECT {ROWCOLS}, bad, design_w AS w FROM scored WHERE accepted = 1
       UNION ALL SELECT {ROWCOLS}, y, design_w FROM drawn_bad)"""],
-    "fuzzy": SCORED + [f"""view AS MATERIALIZED (SELECT * FROM (SELECT {ROWCOLS}, bad, design_w AS w FROM scored WHERE accepted = 1
+    "fuzzy": [f"""view_fuzzy AS MATERIALIZED (SELECT * FROM (SELECT {ROWCOLS}, bad, design_w AS w FROM scored WHERE accepted = 1
       UNION ALL SELECT {ROWCOLS}, 1.0, design_w * least(1.0, 2.0 * pd) FROM scored WHERE accepted = 0
       UNION ALL SELECT {ROWCOLS}, 0.0, design_w * (1 - least(1.0, 2.0 * pd)) FROM scored WHERE accepted = 0) WHERE w > 1e-9)"""],
-    "ipw": SCORED + card_ctes("q", "scored", NUMERIC, CATS, "accepted", "design_w")
-    + score_cte("approved", "(SELECT * EXCLUDE (pd, pd_eta) FROM scored)", "q", NUMERIC, CATS)
-    + ["""capped AS MATERIALIZED (SELECT *, greatest(1e-4, least(1.0, pd)) AS p FROM approved WHERE accepted = 1)""",
-       "cap AS MATERIALIZED (SELECT quantile_cont(1 / p, CAST(0.99 AS DOUBLE)) AS cap FROM capped)",
-       f"view AS MATERIALIZED (SELECT {ROWCOLS}, bad, least(1 / p, cap) * design_w AS w, p, 1 / p > cap AS hit FROM capped, cap)"],
+    "ipw": PROPENSITY,
 }
-REFIT = {m: card_ctes("v", "view", NUMERIC, CATS, "bad", "w") + [
-    f"vs AS MATERIALIZED (SELECT {logistic(5)} AS sc, swy AS tp, sw - swy AS fp FROM v_cells, v_beta)"]
-    + areas("z", "vs", [], "sc", "tp", "fp") for m in VIEWS}
 TTD = "(wa * obs + wr * rej) / (wa + wr)"
+EST = {
+    "parcelling": f"SELECT rej, {TTD} AS ttd FROM sides, (SELECT avg(y) AS rej FROM drawn_bad)",
+    "fuzzy": f"SELECT rej, {TTD} AS ttd FROM sides, (SELECT avg(least(1.0, 2.0 * pd)) AS rej FROM scored WHERE accepted = 0)",
+    "ipw": """SELECT greatest(0, least(1, (ttd - wa / (wa + wr) * obs) / greatest(1 - wa / (wa + wr), 1e-9))) AS rej, ttd
+      FROM sides, istats""",
+}
+
+
+def refit(m):
+    return OWN[m] + card_ctes(f"v{m}", f"view_{m}", NUMERIC, CATS, "bad", "w") + [
+        f"s{m} AS MATERIALIZED (SELECT {logistic(5)} AS sc, swy AS tp, sw - swy AS fp FROM v{m}_cells, v{m}_beta)",
+        *areas(f"z{m}", f"s{m}", [], "sc", "tp", "fp"), f"e{m} AS MATERIALIZED ({EST[m]})"]
+
 
+def estimate(m, extra="", more=""):
+    return f"""SELECT '{m}' AS method, round(rej, 6) AS est_reject_bad_rate, round(e{m}.ttd, 6) AS est_ttd_bad_rate,
+      round(obs, 6) AS accepted_bad_rate, round(z{m}.gini, 6) AS claimed_gini, round(z{m}.ks, 6) AS claimed_ks{extra}
+      FROM sides, e{m}, z{m}{more}"""
 
-def estimate(m, rej, extra, ttd=TTD, more=""):
-    return f"""SELECT '{m}' AS method, round(rej, 6) AS est_reject_bad_rate, round({ttd}, 6) AS est_ttd_bad_rate,
-      round(obs, 6) AS accepted_bad_rate, round(gini, 6) AS claimed_gini, round(ks, 6) AS claimed_ks{extra}
-      FROM sides, z, {rej}{more}"""
-
-
-oracle("parcelling", estimate("parcelling", "(SELECT avg(y) AS rej FROM drawn_bad)",
-                              ", CAST(len(e) + 1 AS BIGINT) AS n_bands", more=", edges"),
-       VIEWS["parcelling"], REFIT["parcelling"])
-oracle("fuzzy_augment", estimate("fuzzy", """(SELECT avg(least(1.0, 2.0 * pd)) AS rej, avg(pd) AS raw,
-  avg(CASE WHEN 2 * pd > 1 THEN 1.0 ELSE 0.0 END) AS clipped FROM scored WHERE accepted = 0)""",
-                                 ", round(raw, 6) AS mean_raw_pd_rejects, round(clipped, 6) AS frac_pd_clipped_at_1"),
-       VIEWS["fuzzy"], REFIT["fuzzy"])
-oracle("fuzzy_rows", "SELECT state, bad, count(*) AS n, round(sum(w), 6) AS w FROM view GROUP BY state, bad", VIEWS["fuzzy"])
-PROP_AUC = ["qs AS (SELECT " + logistic(5) + " AS sc, swy AS tp, sw - swy AS fp FROM q_cells, q_beta)"] + areas("za", "qs", [], "sc", "tp", "fp")
-IPW_STATS = """istats AS MATERIALIZED (SELECT sum(bad * w) / sum(w) AS ttd, avg(p) AS mean_p, min(p) AS min_p,
-  avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS hits, sum(w) * sum(w) / sum(w * w) / count(*) AS ess FROM view)"""
-oracle("ipw", """SELECT 'ipw' AS method, round(greatest(0, least(1, (ttd - wa / (wa + wr) * obs) / greatest(1 - wa / (wa + wr), 1e-9))), 6) AS est_reject_bad_rate,
-  round(ttd, 6) AS est_ttd_bad_rate, round(obs, 6) AS accepted_bad_rate, round(z.gini, 6) AS claimed_gini, round(z.ks, 6) AS claimed_ks,
-  round(mean_p, 6) AS mean_propensity_accepted, round(min_p, 6) AS min_propensity_accepted, round(hits, 6) AS frac_weights_capped,
-  round(ess, 6) AS ess_ratio, round(za.auc, 6) AS propensity_auc FROM sides, istats, z, za""",
-       VIEWS["ipw"], REFIT["ipw"], PROP_AUC, IPW_STATS)
+
+oracle("parcelling", estimate("parcelling", ", CAST(len(e) + 1 AS BIGINT) AS n_bands", ", edges"), SCORED, refit("parcelling"))
+oracle("fuzzy_augment", estimate(
+    "fuzzy", ", round(raw, 6) AS mean_raw_pd_rejects, round(clipped, 6) AS frac_pd_clipped_at_1",
+    ", (SELECT avg(pd) AS raw, avg(CASE WHEN 2 * pd > 1 THEN 1.0 ELSE 0.0 END) AS clipped FROM scored WHERE accepted = 0)"),
+       SCORED, refit("fuzzy"))
+oracle("fuzzy_rows", "SELECT state, bad, count(*) AS n, round(sum(w), 6) AS w FROM view_fuzzy GROUP BY state, bad", SCORED, OWN["fuzzy"])
+oracle("ipw", estimate("ipw", """, round(mean_p, 6) AS mean_propensity_accepted, round(min_p, 6) AS min_propensity_accepted,
+  round(hits, 6) AS frac_weights_capped, round(ess, 6) AS ess_ratio, round(za.auc, 6) AS propensity_auc""", ", istats, za"),
+       SCORED, refit("ipw"))
 oracle("positivity", """SELECT round(auc, 6) AS propensity_auc, round(min_p, 6) AS min_propensity_accepted, round(ess, 6) AS ess_ratio,
-  round(hits, 6) AS frac_weights_capped FROM istats, za""", VIEWS["ipw"], PROP_AUC, IPW_STATS)
+  round(hits, 6) AS frac_weights_capped FROM istats, za""", SCORED, PROPENSITY)
 oracle("ipw_weights", """SELECT app_id, round(1 / p, 6) AS raw_w, round(cap, 6) AS cap, round(least(1 / p, cap), 6) AS weight FROM pw,
   (SELECT quantile_cont(1 / p, CAST(0.99 AS DOUBLE)) AS cap FROM pw)""", PROXIES,
        "pw AS MATERIALIZED (SELECT app_id, greatest(1e-4, least(1.0, 1 - pd)) AS p FROM pacc)")
@@ -621,6 +629,124 @@ oracle("selection_llk", f"""SELECT CAST(accepted AS BIGINT) AS accepted, round(s
   0.4 + 0.9 * x - 0.3 * y AS h, -1.1 - 0.6 * x + 0.2 * y AS v FROM (SELECT *, (risk_score - 650) / 100.0 AS x,
   coalesce(dti, 40) / 50.0 AS y FROM stacked)) GROUP BY accepted""")
 
+# --- selection model ----------------------------------------------------------------------------
+PROBIT_ROUNDS, FULL_ROUNDS = 12, 14
+
+
+def selection_ctes(p, extra=()):
+    """Newton for the probit with selection: first rho = 0, then all parameters.
+
+    Ends in ``{p}_fit`` (parameters, log-likelihoods, variance of atanh rho)
+    and ``{p}_view`` (score, bads, goods).
+    """
+    z_num = [*NUMERIC, *extra]
+    kz, kx = len(z_num) + 1, len(FEATURES)
+    last = kz + 1 + kx + 1  # index of atanh rho
+    src = f"""{p}_src AS MATERIALIZED (SELECT * EXCLUDE (accepted), accepted, design_w * ((SELECT count(*) FROM stacked)
+      / (SELECT sum(design_w) FROM stacked)) AS unit_w FROM stacked)"""
+    bins = bin_ctes(f"{p}z", f"{p}_src", z_num, CATS, "accepted", "unit_w") + bin_ctes(f"{p}x", "term", NUMERIC, CATS)
+    zs, xs = [f"z{i}" for i in range(1, kz + 1)], [f"x{i}" for i in range(1, kx + 1)]
+    rename = ", ".join(f"x{i} AS z{i}" for i in range(1, kz + 1))
+    drop = ", ".join(f"x{i}" for i in range(1, kz + 1))
+    coded = [
+        code_cte(f"{p}_z0", f"{p}_src", f"{p}z", z_num, CATS),
+        f"{p}_z AS MATERIALIZED (SELECT * EXCLUDE ({drop}), {rename} FROM {p}_z0)",
+        code_cte(f"{p}_zx", f"{p}_z", f"{p}x", NUMERIC, CATS),
+        f"""{p}_cell AS MATERIALIZED (SELECT {', '.join(zs + xs)}, accepted AS s, coalesce(bad, 0) AS y, sum(unit_w) AS w,
+          sum(design_w) AS dw, count(*) AS n FROM {p}_zx GROUP BY ALL)""",
+    ]
+    t = [f"t{i}" for i in range(last + 1)]
+    h = " + ".join(["t0"] + [f"t{i} * z{i}" for i in range(1, kz + 1)])
+    v = " + ".join([f"t{kz + 1}"] + [f"t{kz + 1 + i} * x{i}" for i in range(1, kx + 1)])
+    names = ["1", *zs, "1", *xs]  # design value of each coefficient
+    one = f"SELECT *, {h} AS h, {v} AS v, tanh(t{last}) AS rho FROM {p}_nb, {p}_cell WHERE it < {PROBIT_ROUNDS + FULL_ROUNDS}"
+    two = f"SELECT *, 2 * y - 1 AS q, 1 - rho * rho AS gone, -h AS mh FROM ({one})"
+    three = f"SELECT *, q * v AS k, q * rho AS r FROM ({two})"
+    four = f"SELECT *, (k - r * h) / sqrt(gone) AS u1, (h - r * k) / sqrt(gone) AS u2 FROM ({three})"
+    five = f"""SELECT *, CASE WHEN s = 1 THEN {cdf2('h', 'k', 'r')} ELSE greatest(1e-12, {cdf('mh')}) END AS L FROM ({four})"""
+    pdf = "exp(-{x} * {x} / 2) / " + repr(normal.ROOT_2PI)
+    six = f"""SELECT *, CASE WHEN s = 1 THEN {pdf.format(x='h')} * {cdf('u1')} / L ELSE -{pdf.format(x='h')} / L END AS lh,
+      CASE WHEN s = 1 THEN {pdf.format(x='k')} * {cdf('u2')} / L ELSE 0 END AS lk,
+      CASE WHEN s = 1 THEN exp(-(h * h - 2 * r * h * k + k * k) / (2 * gone)) / (2 * pi() * sqrt(gone)) / L ELSE 0 END AS lr FROM ({five})"""
+    seven = f"""SELECT *, lh AS gh, q * lk AS gv, q * gone * lr AS ga,
+      CASE WHEN s = 1 THEN -h * lh - r * lr - lh * lh ELSE -h * lh - lh * lh END AS hh, q * (lr - lh * lk) AS hv,
+      -k * lk - r * lr - lk * lk AS vv, q * gone * (-(h - r * k) / gone * lr - lh * lr) AS ha,
+      gone * (-(k - r * h) / gone * lr - lk * lr) AS va,
+      gone * gone * (lr * (r / gone + (h * k * (1 + r * r) - r * (h * h + k * k)) / (gone * gone)) - lr * lr)
+        - 2 * rho * gone * q * lr AS aa FROM ({six})"""
+    full = f"it >= {PROBIT_ROUNDS}"
+
+    def kind(i):
+        return "a" if i == last else ("h" if i <= kz else "v")
+
+    sums = [f"sum(w * ln(L)) AS ll"]
+    for i in range(last):
+        sums.append(f"sum(w * g{kind(i)} * {names[i]}) AS r{i}")
+    sums.append(f"CASE WHEN {full} THEN sum(w * ga) ELSE 0 END AS r{last}")
+    for i in range(last):
+        for j in range(i, last):
+            pair = kind(i) + kind(j)
+            sums.append(f"-sum(w * {pair} * {names[i]} * {names[j]}) AS a{i}_{j}")
+        sums.append(f"CASE WHEN {full} THEN -sum(w * {kind(i)}a * {names[i]}) ELSE 0 END AS a{i}_{last}")
+    sums.append(f"CASE WHEN {full} THEN -sum(w * aa) ELSE 1 END AS a{last}_{last}")
+    group = "it, " + ", ".join(t)
+    sql = f"SELECT {group}, {', '.join(sums)} FROM ({seven}) GROUP BY {group}"
+    for c in range(last):
+        cols = ["it", *t, "ll"]
+        for i in range(c + 1):
+            cols += [f"r{i}"] + [f"a{i}_{j}" for j in range(i, last + 1)]
+        for i in range(c + 1, last + 1):
+            cols.append(f"r{i} - a{c}_{i} * r{c} / a{c}_{c} AS r{i}")
+            cols += [f"a{i}_{j} - a{c}_{i} * a{c}_{j} / a{c}_{c} AS a{i}_{j}" for j in range(i, last + 1)]
+        sql = f"SELECT {', '.join(cols)} FROM ({sql})"
+    for i in range(last, -1, -1):
+        known = "".join(f" - a{i}_{j} * d{j}" for j in range(i + 1, last + 1))
+        sql = f"SELECT *, (r{i}{known}) / a{i}_{i} AS d{i} FROM ({sql})"
+    start = "SELECT 0 AS it, " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in t) + ", CAST(0 AS DOUBLE) AS ll, CAST(0 AS DOUBLE) AS var"
+    step = f"SELECT it + 1, {', '.join(f't{i} + d{i}' for i in range(last + 1))}, ll, 1 / a{last}_{last} FROM ({sql})"
+    end = PROBIT_ROUNDS + FULL_ROUNDS
+    fit = [
+        f"{p}_nb AS ({start} UNION ALL {step})",
+        f"""{p}_fit AS MATERIALIZED (SELECT *, tanh(t{last}) AS rho, t{last} AS alpha, sqrt(greatest(var, 0)) AS se,
+          (SELECT ll FROM {p}_nb WHERE it = {PROBIT_ROUNDS + 1}) AS ll0, greatest(0, 2 * (ll - (SELECT ll FROM {p}_nb WHERE it = {PROBIT_ROUNDS + 1}))) AS lr
+          FROM {p}_nb WHERE it = {end})""",
+        f"""{p}_at AS MATERIALIZED (SELECT *, -h AS mh, -rho AS mr FROM (SELECT {p}_cell.*, {h} AS h, {v} AS v, rho FROM {p}_cell, {p}_fit))""",
+        f"""{p}_p AS MATERIALIZED (SELECT *, CASE WHEN s = 1 THEN y ELSE greatest(0, least(1, {cdf2('mh', 'v', 'mr')} / greatest({cdf('mh')}, 1e-9))) END AS b,
+          round({cdf('v')} * CAST('1e12' AS DOUBLE)) / CAST('1e12' AS DOUBLE) AS sc FROM {p}_at)""",
+        f"{p}_view AS MATERIALIZED (SELECT sc, dw * b AS tp, dw * (1 - b) AS fp FROM {p}_p)",
+        f"""{p}_est AS MATERIALIZED (SELECT rej, obs, (wa * obs + wr * rej) / (wa + wr) AS ttd, n, ns FROM (
+          SELECT sum(n * b) FILTER (s = 0) / sum(n) FILTER (s = 0) AS rej, sum(n * b) FILTER (s = 1) / sum(n) FILTER (s = 1) AS obs,
+          sum(dw) FILTER (s = 1) AS wa, sum(dw) FILTER (s = 0) AS wr, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) FILTER (s = 1) AS BIGINT) AS ns FROM {p}_p))""",
+    ]
+    return [src, *bins, *coded, *fit]
+
+
+def selection_select(p):
+    z = f"(-abs(alpha / se))"
+    lr_p = f"(2 * {cdf('mlr')})"
+    return f"""SELECT *, round({lr_p}, 4) AS lr_p, coalesce({lr_p} < 0.05, false) AS rho_significant_5pct, round(2 * {cdf('mz')}, 4) AS wald_p FROM (
+      SELECT round(rho, 4) AS rho, round(alpha, 4) AS atanh_rho, round(se * (1 - rho * rho), 4) AS se_rho, round(tanh(alpha - 1.96 * se), 4) AS rho_lo,
+      round(tanh(alpha + 1.96 * se), 4) AS rho_hi, round(alpha / se, 4) AS wald_z, round(lr, 4) AS lr_stat, round(ll, 4) AS loglik,
+      round(ll0, 4) AS loglik_restricted, true AS converged, n, ns AS n_selected, -sqrt(lr) AS mlr, {z} AS mz, round(rej, 4) AS est_reject_bad_rate,
+      round(ttd, 4) AS est_ttd_bad_rate, round(obs, 4) AS accepted_bad_rate FROM {p}_fit, {p}_est)"""
+
+
+SELECTION, EXCLUDED = selection_ctes("h"), selection_ctes("w", ("app_year",))
+oracle("selection_model", f"SELECT * EXCLUDE (mlr, mz) FROM ({selection_select('h')})", SELECTION)
+oracle("selection_exclusion", f"SELECT * EXCLUDE (mlr, mz) FROM ({selection_select('w')})", EXCLUDED)
+LABELLED = SCORED + [c for m in OWN for c in refit(m)]
+SELECTED = [*SELECTION, *areas("zheckman", "h_view", [], "sc", "tp", "fp")]
+_TABLE = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, round(rej, 6) AS est_reject_bad_rate, round(e{m}.ttd, 6) AS est_ttd_bad_rate, round(gini, 6) AS claimed_ttd_gini FROM e{m}, z{m}"
+    for m in OWN)
+oracle("method_table", f"""{_TABLE} UNION ALL SELECT 'heckman', round(rej, 6), round(ttd, 6), round(gini, 6) FROM h_est, zheckman
+  UNION ALL SELECT 'heckman_with_exclusion', round(rej, 6), round(ttd, 6), NULL FROM w_est""", LABELLED, SELECTED, EXCLUDED)
+REPORTED = ["tested AS (SELECT * FROM scored WHERE accepted = 1 AND " + TEST + ")", *areas("ztest", "tested", [], "pd", "bad", "1 - bad")]
+oracle("claimed_gini", " UNION ALL ".join(
+    f"""SELECT '{m}' AS method, round(z{m}.gini, 6) AS claimed_gini, round(z{m}.ks, 6) AS claimed_ks,
+    round(z{m}.gini - ztest.gini, 6) AS gini_vs_baseline_reported FROM z{m}, ztest""" for m in [*OWN, "heckman"]),
+       LABELLED, SELECTED, REPORTED)
+
 # --- policies -----------------------------------------------------------------------------------
 def scen(where="true"):
     return f"""scen AS (SELECT *, concat(cutoff_type, '|', printf('%.6f', rejection_rate), '|', replicate) AS scenario FROM (
@@ -753,13 +879,13 @@ SWAP_FACTS = f"""sf AS MATERIALIZED (SELECT method, CAST(count(*) FILTER (swap =
   round(sum(CASE WHEN profit > 0 THEN design_w ELSE 0 END) {CAME} / sum(design_w) {CAME}, 6) AS frac_swap_in_profitable,
   {_mean.format(x='pd', s='out', n=6, a='swap_out_inferred_bad_rate')},
   round(-sum(wp) FILTER (swap = 'out'), 2) AS profit_avoided_population FROM wval GROUP BY method)"""
-oracle("swap_economics", f"""SELECT method, round(book, 6) AS book_applicants, round(cr, 6) AS model_vs_actual_decision_corr,
+SWAP_BODY = f"""SELECT method, round(book, 6) AS book_applicants, round(cr, 6) AS model_vs_actual_decision_corr,
   n_swap_in_rows, n_swap_out_rows, round(sin, 6) AS swap_in_applicants, swap_in_breakeven_bad_rate, swap_in_inferred_bad_rate,
   swap_in_mean_amount, profit_per_swap_in_applicant, frac_swap_in_profitable, swap_out_inferred_bad_rate, profit_avoided_population,
   round(total, 2) AS profit_forgone_population, round(ci_lo, 2) AS profit_forgone_ci_lo, round(ci_hi, 2) AS profit_forgone_ci_hi,
   {EVEN}, round(sin / greatest(book, 1), 6) AS swap_rate FROM sf JOIN boot USING (method) JOIN (SELECT method,
-  sum(design_w) FILTER (accepted = 1) AS book, corr(pd, 1.0 - accepted) AS cr FROM papp GROUP BY method) USING (method), yp""",
-       PROXIES, swap_cut(), SWAPPED, YIELDS, MOVED, SWAP_FACTS,
+  sum(design_w) FILTER (accepted = 1) AS book, corr(pd, 1.0 - accepted) AS cr FROM papp GROUP BY method) USING (method), yp"""
+oracle("swap_economics", SWAP_BODY, PROXIES, swap_cut(), SWAPPED, YIELDS, MOVED, SWAP_FACTS,
        boot_ctes("(SELECT * FROM wval WHERE swap = 'in')", "wp", ["method"], 2000))
 oracle("profit_range", """SELECT round(min(t), 2) AS range_low, round(max(t), 2) AS range_high, bool_and(t > 0) OR bool_and(t < 0) AS all_methods_agree_sign
   FROM (SELECT method, sum(wp) AS t FROM wval WHERE swap = 'in' GROUP BY method)""", PROXIES, swap_cut(), SWAPPED, YIELDS, MOVED)
@@ -790,6 +916,27 @@ oracle("headline_metrics", " UNION ALL ".join(
     f"SELECT '{s}' AS section, '{m}' AS metric, '{k}' AS key, round(CAST({v} AS DOUBLE), 6) AS value" for s, m, k, v in HEAD),
        PROXIES, YIELDS, f"cov AS MATERIALIZED ({COVERAGE})")
 
+# --- the same on the fitted scores of the four methods ----------------------------------------------
+_CASH = "funded_amnt, total_rec_prncp, total_rec_int, recoveries, int_rate, term_months"
+_KEEP = f"app_id, {ROWCOLS}, accepted, bad, design_w, pd_baseline"
+_V = " + ".join(["t7"] + [f"t{7 + i} * x{i}" for i in range(1, 6)])
+FITTED = [
+    f"mb AS MATERIALIZED (SELECT app_id, {ROWCOLS}, accepted, bad, design_w, pd AS pd_baseline FROM scored)",
+    *[c for m in OWN for c in score_cte(f"m{m}", "mb", f"v{m}", NUMERIC, CATS)],
+    code_cte("mhx", "mb", "hx", NUMERIC, CATS),
+    f"mheckman AS MATERIALIZED (SELECT *, round({cdf('sv')} * CAST('1e12' AS DOUBLE)) / CAST('1e12' AS DOUBLE) AS pd FROM (SELECT *, {_V} AS sv FROM mhx, h_fit))",
+    "papp AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {_KEEP}, '{m}' AS method, pd FROM m{m}" for m in [*OWN, "heckman"]) + ")",
+    f"""pcal AS MATERIALIZED (SELECT mb.*, {_CASH}, (total_rec_prncp + total_rec_int + recoveries - nullif(greatest(funded_amnt, 0), 0))
+      / nullif(greatest(funded_amnt, 0), 0) AS net, 1 - (total_rec_prncp + recoveries) / nullif(greatest(funded_amnt, 0), 0) AS lgd
+      FROM mb JOIN (SELECT app_id, {_CASH} FROM term) USING (app_id))""",
+]
+oracle("method_economics", SWAP_BODY, LABELLED, SELECTION, FITTED, swap_cut(), SWAPPED, YIELDS, MOVED, SWAP_FACTS,
+       boot_ctes("(SELECT * FROM wval WHERE swap = 'in')", "wp", ["method"], 2000))
+oracle("method_swap_profile", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "group", round(sum(design_w), 6) AS applicants, {_cols} FROM swapped
+    WHERE method = 'heckman' AND {"accepted = 1" if s == 'keep' else f"swap = '{s}'"} HAVING count(*) > 0""" for s, name in _GROUP.items()),
+       LABELLED, SELECTION, FITTED, swap_cut(), SWAPPED)
+
 # --- regions --------------------------------------------------------------------------------------------
 oracle("decline_model", terms("d", NUMERIC), "dsrc AS (SELECT *, 1 - accepted AS y FROM stacked)",
        card_ctes("d", "dsrc", NUMERIC, [], "y", "1.0"))
@@ -833,13 +980,14 @@ def backtest_ctes(scenarios: str, replicates: int, scales, with_ipw: bool) -> li
     Every fit is keyed by scenario (and by assumed scale and method).
     """
     one, three = ["scenario"], ["scenario", "scale", "method"]
+    one_w = "CAST(1 AS DOUBLE)"
     cols = f"scenario, replicate, app_id, {ROWCOLS}, bad"
     scale_rows = ", ".join(f"({x})" for x in scales)
-    views = [f"""SELECT scenario, scale, 'parcelling' AS method, {ROWCOLS}, bad, 1.0 AS w FROM scored, scales WHERE seen
-        UNION ALL SELECT scenario, scale, 'parcelling', {ROWCOLS}, y, 1.0 FROM drawn_bad""",
-             f"""SELECT * FROM (SELECT scenario, scale, 'fuzzy', {ROWCOLS}, bad, 1.0 AS w FROM scored, scales WHERE seen
-        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, 1.0, least(1.0, scale * pd) FROM scored, scales WHERE NOT seen
-        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, 0.0, 1 - least(1.0, scale * pd) FROM scored, scales WHERE NOT seen) WHERE w > 1e-9"""]
+    views = [f"""SELECT scenario, scale, 'parcelling' AS method, {ROWCOLS}, bad, {one_w} AS w FROM scored, scales WHERE seen
+        UNION ALL SELECT scenario, scale, 'parcelling', {ROWCOLS}, y, {one_w} FROM drawn_bad""",
+             f"""SELECT * FROM (SELECT scenario, scale, 'fuzzy', {ROWCOLS}, bad, {one_w} AS w FROM scored, scales WHERE seen
+        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, {one_w}, least({one_w}, scale * pd) FROM scored, scales WHERE NOT seen
+        UNION ALL SELECT scenario, scale, 'fuzzy', {ROWCOLS}, CAST(0 AS DOUBLE), 1 - least({one_w}, scale * pd) FROM scored, scales WHERE NOT seen) WHERE w > 1e-9"""]
     est = ["SELECT scenario, scale, 'parcelling' AS method, avg(y) AS rej, CAST(NULL AS DOUBLE) AS ttd0 FROM drawn_bad GROUP BY ALL",
            "SELECT scenario, scale, 'fuzzy', avg(least(1.0, scale * pd)), NULL FROM scored, scales WHERE NOT seen GROUP BY ALL"]
     out = [
