@@ -163,6 +163,9 @@ class _Climb:
         step[move] = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), floor))
         rise = float(g @ step[move])
         if rise < 1e-16 * (1 + abs(ll)) or 0 <= gain < 1e-14 * (1 + abs(ll)):
+            # the last step is too small to show in the likelihood, but not in the scores
+            self.best = self.theta + step
+            self.best[-1] = np.clip(self.best[-1], -ATANH_BOUND, ATANH_BOUND)
             self.done, self.converged = True, True
             return
         size = max(np.max(np.abs(step[:-1])) / 2.0, abs(step[-1]) / 0.5, 1.0)
