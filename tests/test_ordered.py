@@ -18,11 +18,10 @@ def numbers(spark):
 PROBS = [0.0, 0.01, 0.1, 0.25, 1 / 3, 0.5, 0.77, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("short", [True, False])
 @pytest.mark.parametrize("span", [(0.0, 100.0), (40.0, 41.0)])
-def test_quantiles_equal_numpy(numbers, short, span):
+def test_quantiles_equal_numpy(numbers, span):
     x, key, df = numbers
-    for r in ordered.quantiles(df, ["k"], "x", PROBS, span, short=short).collect():
+    for r in ordered.quantiles(df, ["k"], "x", PROBS, span).collect():
         assert np.allclose(r["q"], np.quantile(x[key == int(r["k"])], PROBS), atol=1e-12)
 
 
@@ -40,10 +39,11 @@ def test_one_hot_key_and_partition_counts_do_not_change_quantiles(spark, numbers
     assert got[0] == got[1]
 
 
-def test_running_totals_descending(numbers):
+@pytest.mark.parametrize("short", [True, False])
+def test_running_totals_descending(numbers, short):
     x, key, df = numbers
     hist = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    got = ordered.cumulate(hist, ["k"], "x", ["n"], (0.0, 100.0), descending=True).collect()
+    got = ordered.cumulate(hist, ["k"], "x", ["n"], (0.0, 100.0), descending=True, short=short).collect()
     for r in got:
         mine = x[key == int(r["k"])]
         assert r["n_through"] == (mine >= r["x"]).sum() and r["n_all"] == len(mine)

@@ -17,7 +17,7 @@ from ..functions import normal as N
 from ..functions.draws import uniform
 from ..runtime import localize, materialize
 from . import binning, measures, scorecard, selection
-from .ordered import cumulate, quantiles
+from .ordered import quantiles
 
 METHOD_COLUMN = "method"
 NEGLIGIBLE = 1e-9
@@ -176,28 +176,13 @@ def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
     low = F.lit(spec.min_propensity)
     held = accepted.withColumn("p", F.greatest(low, F.least(F.lit(1.0), F.col(p))))
     held = held.withColumn("raw_w", F.lit(1.0) / F.col("p"))
-    # weights pile up near 1: order them by -p, which spreads evenly
-    ranked = held.select(*keys, (-F.col("p")).alias("minus_p"))
-    cap = localize(_cap(ranked, keys, spec.weight_cap_pctl / 100.0), "weight-cap")
+    # weights pile up near 1, so they are sliced by -p, which spreads evenly
+    cap = quantiles(held, keys, "raw_w", [spec.weight_cap_pctl / 100.0], (-1.0, 0.0), place=-F.col("p"))
+    cap = localize(cap.select(*keys, F.get("q", F.lit(0)).alias("cap")), "weight-cap")
     return held.join(cap, list(keys)).withColumn(
         "w", F.least(F.col("raw_w"), F.col("cap")) * F.col("design_w"))
 
 
-def _cap(ranked, keys, share):
-    """Percentile of 1/p, interpolated between the neighbouring weights."""
-    hist = ranked.groupBy(*keys, "minus_p").agg(F.count(F.lit(1)).alias("n"))
-    run = cumulate(hist, keys, "minus_p", ["n"], (-1.0, 0.0))
-    place = F.lit(share) * (F.col("n_all") - 1).cast("double")
-    r, first = F.floor(place + 1e-9), F.col("n_through") - F.col("n")
-
-    def at(k):
-        return F.max(F.when((first <= k) & (k < F.col("n_through")), -1.0 / F.col("minus_p")))
-
-    low, high = at(r), at(r + 1)
-    return run.groupBy(*keys).agg(
-        (low + F.coalesce(high - low, F.lit(0.0)) * F.greatest(F.lit(0.0), F.max(place - r))).alias("cap"))
-
-
 def ipw(ctx: Context) -> View:
     """Weight accepted rows by the inverse of their approval probability."""
     card = ctx.propensity or propensity_card(ctx)

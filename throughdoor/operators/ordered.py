@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import localize
+
 SLICES = 512
 ONE_TASK_ROWS = 200_000
 
 
-def _slice(order: str, span) -> Column:
+def _slice(order: Column, span) -> Column:
     lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in span)
-    at = F.floor((F.col(order) - lo) / (hi - lo) * F.lit(float(SLICES)))
+    at = F.floor((order - lo) / (hi - lo) * F.lit(float(SLICES)))
     return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)).cast("int")
 
 
@@ -38,7 +40,7 @@ def cumulate(df: DataFrame, keys, order: str, sums, span, descending: bool = Fal
         upto = of.orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(c).over(upto).alias(f"{c}_through") for c in sums],
                          *[F.sum(c).over(of).alias(f"{c}_all") for c in sums])
-    cut = df.withColumn("_slice", _slice(order, span)).repartition(*keys, "_slice")
+    cut = df.withColumn("_slice", _slice(F.col(order), span)).repartition(*keys, "_slice")
     by_slice = cut.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(turn("_slice")).rowsBetween(Window.unboundedPreceding, -1)
@@ -59,25 +61,37 @@ def cumulate(df: DataFrame, keys, order: str, sums, span, descending: bool = Fal
 
 
 def quantiles(df: DataFrame, keys, value: str, probs, span, rows: str | None = None,
-              name: str = "q", short: bool = False) -> DataFrame:
+              name: str = "q", place: Column | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one array per key.
 
-    ``rows`` names the row counts when ``df`` is already a histogram with one
-    row per (keys, value).
+    Slice counts, combined on the map side, show which slices hold a wanted
+    rank; only rows of those slices are shuffled and ordered. ``rows`` names the
+    row counts of a histogram. ``place`` is a monotone function of ``value`` to
+    slice by instead, for values that crowd one end of their range.
     """
-    seen = df.where(F.col(value).isNotNull())
-    if rows is None:
-        hist = seen.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    else:
-        hist = seen.select(*keys, value, F.col(rows).alias("n"))
-    run = cumulate(hist, keys, value, ["n"], span, short=short)
-    # rows that hold a wanted rank (or the one above it), found by counting ranks;
+    n = F.lit(1) if rows is None else F.col(rows)
+    spot = _slice(F.col(value) if place is None else place, span)
+    seen = df.where(F.col(value).isNotNull()).select(
+        *keys, value, n.cast("bigint").alias("n"), spot.alias("_slice"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    marked = seen.groupBy(*keys, "_slice").agg(F.sum("n").alias("n")).select(
+        *keys, "_slice", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"),
+        F.sum("n").over(whole).alias("n_all"))
     # a rank that misses an integer by float noise is that integer
     ranks = [f"floor({float(p)!r}D * (n_all - 1) + 1e-9D)" for p in probs]
 
     def ranks_below(x):
         return " + ".join(f"int({r} < {x})" for r in ranks)
 
+    # places that hold a wanted rank or the one above it, found by counting ranks
+    kept = localize(marked.where(f"{ranks_below('_before + n')} > {ranks_below('_before - 1')}")
+                    .select(*keys, "_slice", "_before", "n_all"), "rank-slices")
+    inside = (Window.partitionBy(*keys, "_slice").orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = (seen.join(kept, [*keys, "_slice"]).groupBy(*keys, "_slice", "_before", "n_all", value)
+           .agg(F.sum("n").alias("n"))
+           .withColumn("n_through", F.col("_before") + F.sum("n").over(inside)))
     run = run.where(f"{ranks_below('n_through')} > {ranks_below('n_through - n - 1')}")
     asked = ", ".join(
         f"struct({i} AS i, {r} AS r, greatest(0D, {float(p)!r}D * (n_all - 1) - {r}) AS part)"
