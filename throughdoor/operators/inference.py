@@ -186,7 +186,7 @@ def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
 def ipw(ctx: Context) -> View:
     """Weight accepted rows by the inverse of their approval probability."""
     card = ctx.propensity or propensity_card(ctx)
-    acc = card.score(ctx.scored.where("s = 1").drop("pd"), "propensity")
+    acc = materialize(card.score(ctx.scored.where("s = 1").drop("pd"), "propensity"), "propensity")
     weighted = materialize(
         inverse_weights(acc, ctx.keys, "propensity", ctx.spec.inference).select(
             *_row_columns(ctx), "bad", "w", "p", "raw_w", "cap"), "ipw")
