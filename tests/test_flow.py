@@ -7,7 +7,6 @@ from throughdoor.config import NO_CORRECTION, Audit, Backtest, Economics, Region
 from throughdoor.operators import backtest, economics
 from throughdoor.plans.audit import run_audit
 from throughdoor.plans.frames import frames
-from throughdoor.runtime import scratch_root
 from throughdoor.sources import applications
 from throughdoor.streaming import intake
 

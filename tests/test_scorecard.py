@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from throughdoor.config import Binning, Scaling
@@ -70,7 +71,7 @@ def test_rare_and_unseen_levels_take_the_pooled_woe(toy):
     assert other["n"] == 60
     frame = binning.fit_bins(rare, K, [], ["c"])
     probe = toy.limit(3).withColumn("c", F.element_at(F.array(F.lit("Z"), F.lit("new"), F.lit(None)),
-                                                     (F.row_number().over(__import__("pyspark").sql.Window.orderBy("id"))).cast("int")))
+                                                     (F.row_number().over(Window.orderBy("id"))).cast("int")))
     got = {r["c__woe"] for r in binning.encode(probe, frame, K, [], ["c"]).collect()}
     assert got == {other["woe"]}
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL, NUMERIC, SCORE_WINDOW, Audit
+from ..config import NUMERIC, SCORE_WINDOW, Audit
 from ..operators import backtest, binning, economics, measures, population, regions
 from ..runtime import materialize
 from ..sources import applications

@@ -10,7 +10,7 @@ from ..config import CONTEXT, FEATURES, NO_CORRECTION, NUMERIC
 from ..functions import normal
 from ..functions.fields import BAD_STATUSES, EMPLOYMENT_YEARS, GOOD_STATUSES
 from ..sources.warehouse import ACCEPTED_RAW, APPLICATIONS, DECLINED_RAW
-from .frames import SAMPLED, WHOLE
+from .frames import WHOLE
 
 SEED = WHOLE.seed
 ORACLES: dict = {}
