@@ -3,15 +3,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throughdoor.llm import pii
+from throughdoor.llm import minhash, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op10_pii,)}
+QUERIES = {f.__name__: f for f in (op9_minhash, op10_pii)}
