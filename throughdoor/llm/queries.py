@@ -3,13 +3,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throughdoor.llm import minhash, pii
+from throughdoor.llm import minhash, mixing, pii, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.stored(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -18,4 +32,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op9_minhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op6_token_ids, op9_minhash, op10_pii)}
