@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throughdoor.llm import minhash, mixing, pii, tokenstore
+from throughdoor.llm import decontaminate, langid, minhash, mixing, pii, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -16,6 +16,15 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -24,6 +33,11 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -32,4 +46,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_token_ids, op9_minhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op4_mixing, op6_token_ids, op7_decontamination, op9_minhash, op10_pii)}

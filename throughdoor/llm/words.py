@@ -15,8 +15,11 @@ import pyarrow as pa
 
 PIECE_BYTES = 4 << 20  # text handled at once; a longer document is a piece of its own
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# everything but ASCII letters and the bytes of other characters
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"): ord("Z") + 1] += 32
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -88,8 +91,9 @@ class Words:
     bounds: np.ndarray  # words of row i are bounds[i]:bounds[i + 1]
 
 
-def split(piece: Piece) -> Words:
-    solid = ~_SPACE[piece.data]
+def split(piece: Piece, gaps: np.ndarray = SPACE) -> Words:
+    """The runs of bytes that are no ``gaps``."""
+    solid = ~gaps[piece.data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edges = piece.offsets[:-1][piece.offsets[:-1] < len(solid)]
@@ -100,18 +104,22 @@ def split(piece: Piece) -> Words:
     return Words(start, np.flatnonzero(ends) + 1, np.searchsorted(start, piece.offsets))
 
 
-def word_hashes(piece: Piece, words: Words, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word, ASCII letters folded if ``lower``."""
-    if len(words.start) == 0:
-        return np.zeros(0, dtype=np.uint64)
+def word_hashes(piece: Piece, words: Words, *lengths: int) -> np.ndarray:
+    """A 64-bit hash of every word, ASCII letters folded.
+
+    With ``lengths``, a row of hashes for each: of the word's first so many
+    bytes, or of all of a shorter word.
+    """
     n = len(piece.data)
-    terms = (_LOWER_BYTE if lower else _BYTE)[piece.data]
+    terms = _LOWER_BYTE[piece.data]
     terms *= _power(_STEP, n)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
+    sums = np.zeros(n + 1, dtype=np.uint64)
     np.add.accumulate(terms, out=sums[1:])
     # the polynomial of a word, moved to position 0
-    return mix((sums[words.end] - sums[words.start]) * _power(_UNSTEP, n)[words.start])
+    back, low = _power(_UNSTEP, n)[words.start], sums[words.start]
+    if not lengths:
+        return mix((sums[words.end] - low) * back)
+    return np.stack([mix((sums[np.minimum(words.start + k, words.end)] - low) * back) for k in lengths])
 
 
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
