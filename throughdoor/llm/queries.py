@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throughdoor.llm import decontaminate, langid, minhash, mixing, pii, tokenstore, toxicity
+from throughdoor.llm import decontaminate, html, langid, minhash, mixing, pii, preferences, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -38,6 +42,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return preferences.formatted(*preferences.reply_pairs(turns))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,4 +55,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op4_mixing, op6_token_ids, op7_decontamination, op9_minhash, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_language, op4_mixing, op5_html, op6_token_ids, op7_decontamination, op8_preferences, op9_minhash,
+    op10_pii)}
