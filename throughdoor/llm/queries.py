@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from throughdoor.llm import decontaminate, html, langid, minhash, mixing, pii, preferences, tokenstore, toxicity
+from throughdoor.llm import decontaminate, html, langid, minhash, mixing, neighbours, pii, preferences, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -56,5 +60,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_language, op4_mixing, op5_html, op6_token_ids, op7_decontamination, op8_preferences, op9_minhash,
+    op1_toxicity, op2_language, op3_neighbours, op4_mixing, op5_html, op6_token_ids, op7_decontamination, op8_preferences, op9_minhash,
     op10_pii)}
