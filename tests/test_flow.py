@@ -3,17 +3,16 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from throughdoor.config import NO_CORRECTION, Audit, Backtest, Economics, Regions
-from throughdoor.operators import backtest, economics
+from throughdoor.config import NO_CORRECTION, Audit, CashRules, Masking, RegionRules, Resampling, Sampling
+from throughdoor.operators import backtest, economics, policy, population
 from throughdoor.plans.audit import run_audit
 from throughdoor.plans.frames import frames
 from throughdoor.sources import applications
 from throughdoor.streaming import intake
 
 SF = "/root/testdata/sf0.001"
-SPEC = Audit(reject_sample_rate=1.0, backtest=Backtest(
-    min_accepted=100, min_declined=30, n_replicates=2, rejection_rates=(0.3, 0.5)),
-    economics=Economics(n_bootstrap=100), regions=Regions(min_applications=10))
+SPEC = Audit(masking=Masking(fit_approved=100, fit_declined=30, replicates=2, rates=(0.3, 0.5)),
+             resampling=Resampling(replicates=100), regions=RegionRules(least_applications=10))
 
 
 def test_audit_writes_every_table(spark):
@@ -33,7 +32,7 @@ def test_stream_samples_the_same_rows_as_the_batch(spark):
     f = frames(spark, SF)
     folder, out, mark = (tempfile.mkdtemp(prefix="stream-") for _ in range(3))
     f.declined_raw.repartition(3).write.mode("overwrite").parquet(folder)
-    spec = Audit(reject_sample_rate=0.4)
+    spec = Audit(sample=Sampling(declined_rate=0.4))
     rows = intake.intake(intake.stream_declined(spark, folder, f.declined_raw.schema), spec)
     intake.write(rows, out, mark).awaitTermination(120)
     batch = intake.intake(f.declined_raw, spec)
@@ -63,6 +62,27 @@ def test_file_without_a_key_gets_one_from_its_fields(spark):
     assert len({r["app_id"] for r in got}) == len(got) and got[0]["risk_score"] in (640.0, None)
 
 
+def test_equal_rows_of_a_keyless_file_are_rows_of_their_own(spark):
+    path = f"{tempfile.mkdtemp(prefix='csv-')}/declined"
+    one = ("1000", "2016-01-02", "640", "12.5%", "945xx", "CA", "1 year")
+    blank = ("1000", "2016-01-02", "640", "12.5%", "945xx", None, "1 year")
+    spark.createDataFrame([one] * 3 + [blank], list(applications.DECLINED_FIELDS)).write.option("header", True).csv(path)
+    got = applications.read_declined(spark, path).collect()
+    assert len(got) == 4 and len({r["app_id"] for r in got}) == 4
+    assert {r["app_id"] for r in got} == {r["app_id"] for r in applications.read_declined(spark, path).repartition(5).collect()}
+
+
+def test_a_replaced_input_is_noticed(spark):
+    root, path = tempfile.mkdtemp(prefix="cache-"), f"{tempfile.mkdtemp(prefix='in-')}/t.csv"
+    seen = []
+    for text in ("a\n1\n", "a\n1\n2\n"):
+        with open(path, "w") as out:
+            out.write(text)
+        table = applications.cached(spark, "t", lambda: spark.read.option("header", True).csv(path), Audit(), path, root=root)
+        seen.append(table.count())
+    assert seen == [1, 2]
+
+
 def test_swap_keeps_todays_volume(spark):
     f = frames(spark, SF)
     rows = economics.swap_set(f.proxy_applicants, ["method"])
@@ -75,9 +95,9 @@ def test_swap_keeps_todays_volume(spark):
 def test_applicant_bands_differ_from_calibration_bands(spark):
     f = frames(spark, SF)
     rows = f.proxy_applicants
-    own = economics.with_bands(rows, ["portfolio", "method"], f.proxy_calibration, "pd_baseline", Economics())
-    again = economics.with_bands(rows, ["portfolio", "method"], f.proxy_calibration, "pd_baseline",
-                                 Economics(band_edges="applicants"))
+    own = economics.with_bands(rows, ["portfolio", "method"], f.proxy_calibration, "pd_baseline",
+                               CashRules(bands_from="calibration"))
+    again = economics.with_bands(rows, ["portfolio", "method"], f.proxy_calibration, "pd_baseline", CashRules())
     a = own.where("accepted = 1 AND method = 'steep'").groupBy("band").count().agg(F.max("count")).first()[0]
     b = again.where("method = 'steep'").groupBy("band").count().agg(F.max("count")).first()[0]
     total = rows.where("method = 'steep'").count()
@@ -99,15 +119,34 @@ def rows(spark):
                                     "bad_rate_bias double, gini_bias double, gini_uplift double")
     for c in ("actual_ttd_gini", "truth_ttd_bad_rate", "oracle_ttd_gini", "realised_rejection_rate"):
         df = df.withColumn(c, F.lit(0.1))
-    return df
+    return df.withColumn("skipped", F.lit(None).cast("string"))
 
 
-def test_breaking_point_sentence(rows):
+def test_breaking_point_facts(rows):
     got = backtest.breaking_point(backtest.summarise(rows)).first()
-    assert got["best_rate"] == 0.5 and got["baseline_holds_up_to"] == 0.1
-    assert got["verdict"] == "ipw held within 2 pp up to a 50% rejection rate, and holds across the whole swept range."
+    assert got["best_rate"] == 0.5 and got["best_methods"] == "ipw" and got["whole_range"]
+    assert got["baseline_holds_up_to"] == 0.1 and not got["baseline_held_as_far"]
     none = backtest.breaking_point(backtest.summarise(rows.where("method = 'fuzzy'"))).first()
-    assert none["verdict"].startswith("No method held") and none["verdict"].endswith("(10%).")
+    assert none["best_rate"] is None and none["best_methods"] == "" and none["lowest_rate"] == 0.1
+
+
+def test_a_skipped_scenario_is_reported(spark):
+    f = frames(spark, SF)
+    spec = Audit(masking=Masking(fit_approved=250, fit_declined=30, replicates=1, rates=(0.3, 0.7), policies=("random",)))
+    table = backtest.run(f.terminal, spec, methods=("fuzzy",))
+    assert {r["rejection_rate"]: r["n_reps"] for r in backtest.summarise(table).collect()} == {0.3: 1, 0.7: 0}
+    got = table.collect()
+    assert {(r["rejection_rate"], r["method"], r["skipped"], r["est_ttd_bad_rate"] is None) for r in got} == {
+        (0.3, NO_CORRECTION, None, False), (0.3, "fuzzy", None, False),
+        (0.7, NO_CORRECTION, "too few approved rows", True), (0.7, "fuzzy", "too few approved rows", True)}
+
+
+def test_nothing_is_sampled_by_default(spark):
+    f = frames(spark, SF)
+    panel = population.build_panel(f.accepted, f.declined, Audit())
+    assert panel.rates["n_declined_sampled"] == 690 and panel.rates["n_accepted_used"] == 519
+    pool = policy.draw_pools(f.terminal.select("app_id"), Masking(), 1, 2)
+    assert pool.groupBy("replicate").count().where("count <> 519").count() == 0
 
 
 def test_null_case_flags_the_inventing_method(rows):

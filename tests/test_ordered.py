@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from throughdoor.operators import economics, measures, ordered, sampling
-from throughdoor.config import Economics
+from throughdoor.config import Resampling
+from throughdoor.functions.draws import uniform
 
 
 @pytest.fixture(scope="module")
@@ -39,11 +40,10 @@ def test_one_hot_key_and_partition_counts_do_not_change_quantiles(spark, numbers
     assert got[0] == got[1]
 
 
-@pytest.mark.parametrize("short", [True, False])
-def test_running_totals_descending(numbers, short):
+def test_running_totals_descending(numbers):
     x, key, df = numbers
     hist = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    got = ordered.cumulate(hist, ["k"], "x", ["n"], (0.0, 100.0), descending=True, short=short).collect()
+    got = ordered.cumulate(hist, ["k"], "x", ["n"], (0.0, 100.0), descending=True).collect()
     for r in got:
         mine = x[key == int(r["k"])]
         assert r["n_through"] == (mine >= r["x"]).sum() and r["n_all"] == len(mine)
@@ -79,31 +79,41 @@ def test_capped_sample_keeps_weight_totals(numbers):
 
 
 # --- discrimination ---------------------------------------------------------------
-def gini_of(spark, y, s, w=None):
-    w = np.ones(len(y)) if w is None else w
-    df = spark.createDataFrame([("a", float(a), float(b), float(c)) for a, b, c in zip(y, s, w)],
-                               "k string, y double, s double, w double")
-    return measures.discrimination(df, ["k"], "s", "y", "w", span=(-4.0, 4.0)).first()
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Outcomes and scores from hash draws: one score that knows nothing, one that leans on the outcome."""
+    rows = spark.range(6000).select(
+        F.lit("a").alias("k"), F.col("id"), (uniform("id", "outcome") < 0.3).cast("double").alias("y"),
+        F.round(uniform("id", "blind"), 3).alias("blind"), (1 + F.col("id") % 4).cast("double").alias("w"))
+    return rows.withColumn("lean", F.round(F.col("y") * 0.4 + uniform("id", "noise"), 2)).cache()
+
 
+def measured(df, score, weight="one"):
+    return measures.discrimination(df.withColumn("one", F.lit(1.0)), ["k"], score, "y", weight, span=(0.0, 2.0)).first()
 
-def test_gini_of_a_random_score_is_zero(spark):
-    rng = np.random.default_rng(0)
-    assert abs(gini_of(spark, rng.integers(0, 2, 20_000), rng.normal(size=20_000))["gini"]) < 0.03
 
+def test_auc_is_the_share_of_ordered_pairs(judged):
+    pdf = judged.toPandas()
+    bad, good = pdf[pdf.y == 1], pdf[pdf.y == 0]
+    for score in ("blind", "lean"):
+        a, b = bad[score].to_numpy()[:, None], good[score].to_numpy()[None, :]
+        w = bad.w.to_numpy()[:, None] * good.w.to_numpy()[None, :]
+        beats = (a > b) + 0.5 * (a == b)
+        assert measured(judged, score)["auc"] == pytest.approx(beats.mean(), abs=1e-9)
+        assert measured(judged, score, "w")["auc"] == pytest.approx((beats * w).sum() / w.sum(), abs=1e-9)
 
-def test_gini_of_a_perfect_score_is_one(spark):
-    y = np.r_[np.zeros(500), np.ones(500)]
-    assert gini_of(spark, y, y)["gini"] > 0.999
 
+def test_scores_that_know_nothing_or_everything(judged):
+    assert abs(measured(judged, "blind")["gini"]) < 0.05 < 0.3 < measured(judged, "lean")["gini"]
+    told, wrong = judged.withColumn("told", 2 * F.col("y")), judged.withColumn("wrong", 1 - F.col("y"))
+    assert measured(told, "told")["gini"] == pytest.approx(1.0) and measured(told, "told")["ks"] == pytest.approx(1.0)
+    assert measured(wrong, "wrong")["gini"] == pytest.approx(-1.0)
 
-def test_weights_act_as_repeated_rows(spark):
-    rng = np.random.default_rng(3)
-    y = rng.integers(0, 2, 2000)
-    s = np.round(y * 0.6 + rng.normal(size=2000), 2)
-    w = rng.integers(1, 4, 2000)
-    i = np.repeat(np.arange(2000), w)
-    a, b = gini_of(spark, y, s, w), gini_of(spark, y[i], s[i])
-    assert abs(a["auc"] - b["auc"]) < 1e-9 and abs(a["ks"] - b["ks"]) < 1e-9
+
+def gini_of(spark, y, s):
+    df = spark.createDataFrame([("a", float(a), float(b), 1.0) for a, b in zip(y, s)],
+                               "k string, y double, s double, w double")
+    return measures.discrimination(df, ["k"], "s", "y", "w", span=(-4.0, 4.0)).first()
 
 
 def test_one_class_gives_the_diagonal(spark):
@@ -114,18 +124,22 @@ def test_one_class_gives_the_diagonal(spark):
     assert sorted(map(tuple, pts)) == [(0.0, 0.0), (1.0, 1.0)]
 
 
-def test_effective_sample_size(spark):
-    df = spark.createDataFrame([("even", 1.0)] * 100 + [("odd", 1.0)] * 99 + [("odd", 1000.0)], "k string, w double")
-    got = {r["k"]: r["e"] for r in df.groupBy("k").agg(
-        measures.effective_sample_size(F.col("w")).alias("e")).collect()}
-    assert got["even"] == pytest.approx(100.0) and got["odd"] < 10
+def test_effective_sample_size_counts_equal_weights_in_full(judged):
+    """(sum w)^2 / sum w^2: rows for equal weights, whatever their scale; fewer for unequal ones."""
+    got = judged.groupBy((F.col("id") % 2).alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), measures.effective_sample_size(F.lit(0.25)).alias("same"),
+        measures.effective_sample_size(F.col("w")).alias("mixed"), F.sum("w").alias("w"),
+        F.sum(F.col("w") * F.col("w")).alias("ww"))
+    for r in got.collect():
+        assert r["same"] == pytest.approx(r["n"]) and r["mixed"] == pytest.approx(r["w"] ** 2 / r["ww"])
+        assert r["mixed"] < r["n"]
 
 
 def test_bootstrap_interval_is_that_of_the_multinomial(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(-500, 200, 3000)
     df = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate(x)], "app_id long, k string, x double")
-    got = economics.bootstrap(df, ["k"], "x", Economics(), 1, 1000).first()
+    got = economics.bootstrap(df, ["k"], "x", Resampling(), 1, 1000).first()
     totals = x[rng.integers(0, 3000, (1000, 3000))].sum(axis=1)
     lo, hi = np.quantile(totals, [0.05, 0.95])
     assert abs(got["total"] - x.sum()) < 1e-6

@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from throughdoor.config import Backtest
+from throughdoor.config import Masking
 from throughdoor.operators import policy
 
-SPEC = Backtest(rejection_rates=(0.1, 0.3, 0.5, 0.7), n_replicates=1)
+SPEC = Masking(replicates=1)
 
 
 def masks(spark, scores):

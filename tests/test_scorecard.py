@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from throughdoor.config import Binning, Scaling
+from throughdoor.config import BinRules, PointRules
 from throughdoor.functions.draws import uniform
 from throughdoor.operators import binning, glm, measures, scorecard
 
@@ -25,7 +25,7 @@ def toy(spark):
     return base.withColumn("bad", (uniform("id", "y") < p).cast("double")).withColumn("w", F.lit(1.0)).cache()
 
 
-def numeric(rows, spec=Binning(), w="w"):
+def numeric(rows, spec=BinRules(), w="w"):
     bins = binning.fit_bins(rows, K, ["x"], [], "bad", w, spec).orderBy("bin_no").collect()
     return [b for b in bins if not b["is_missing"]], [b for b in bins if b["is_missing"]]
 
@@ -36,7 +36,7 @@ def test_bad_rates_are_monotone(toy):
 
 
 def test_bins_respect_the_minimum_size(toy):
-    assert min(b["n"] for b in numeric(toy, Binning(min_bin_frac=0.10))[0]) >= 0.10 * 20_000 * 0.999
+    assert min(b["n"] for b in numeric(toy, BinRules(least_share=0.10))[0]) >= 0.10 * 20_000 * 0.999
 
 
 def test_missing_is_its_own_bin(toy):
@@ -81,11 +81,11 @@ def test_rare_and_unseen_levels_take_the_pooled_woe(toy):
 def test_coarsening_keeps_totals_and_limits(cells):
     weight = [float(n) for n, _ in cells]
     bad = [n * r for n, r in cells]
-    spec = Binning()
+    spec = BinRules()
     got = binning.coarsen(list(range(len(cells))), weight, bad, sum(weight), spec)
     assert np.isclose(sum(got.weight), sum(weight)) and np.isclose(sum(got.bad), sum(bad))
-    assert 1 <= len(got) <= spec.max_bins and got.tops[-1] == len(cells) - 1
-    assert len(got) <= 2 or min(got.weight) >= spec.min_bin_frac * sum(weight) - 1e-9
+    assert 1 <= len(got) <= spec.most and got.tops[-1] == len(cells) - 1
+    assert len(got) <= 2 or min(got.weight) >= spec.least_share * sum(weight) - 1e-9
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +94,7 @@ def card(toy):
 
 
 def test_points_are_the_scaled_log_odds(toy, card):
-    factor, offset = scorecard.points_scale(Scaling())
+    factor, offset = scorecard.points_scale(PointRules())
     rows = card.score(toy, "pd", keep=["id", "x", "c"], logit="lo").withColumn(
         "points", scorecard.points(F.col("lo")))
     assert rows.where(F.abs(F.col("points") - (offset - factor * F.col("lo"))) > 1e-9).count() == 0
@@ -121,11 +121,20 @@ def test_score_equations_hold(toy, card):
     assert np.allclose([g[0], g[1] - beta[1], g[2] - beta[2]], 0, atol=1e-6)
 
 
-def test_rounds_over_all_cells_equal_the_one_task_fit(toy, card):
+def test_fits_say_whether_they_settled(toy, card, monkeypatch):
+    got = card.coefs.first()
+    assert got["converged"] and 3 <= got["rounds"] < glm.MAX_ROUNDS
+    monkeypatch.setattr(glm, "MAX_ROUNDS", 2)
+    with pytest.warns(UserWarning, match="did not settle"):
+        late = glm.fit_logits(card.cells, K, ["x__woe", "c__woe"], 1.0).first()
+    assert not late["converged"] and late["rounds"] == 2
+
+
+def test_one_fit_does_not_depend_on_how_cells_are_spread(toy, card):
     xs = ["x__woe", "c__woe"]
-    far = glm.fit_logits(card.cells, K, xs, 1.0, together=True).first()["beta"]
-    near = glm.fit_logits(card.cells, K, xs, 1.0, together=False).first()["beta"]
-    assert np.allclose(far, near, atol=1e-9)
+    one = glm.fit_logits(card.cells.coalesce(1), K, xs, 1.0).first()["beta"]
+    many = glm.fit_logits(card.cells.repartition(9), K, xs, 1.0).first()["beta"]
+    assert np.allclose(one, many, atol=1e-9)
 
 
 def test_equals_the_library_logistic_regression(toy, card):

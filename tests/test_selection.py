@@ -24,10 +24,10 @@ def frame(spark, parts):
     return spark.createDataFrame(rows, "k string, x1 double, x2 double, z double, s double, y double, w double")
 
 
-def fit(spark, parts, together=None):
+def fit(spark, parts):
     rows = frame(spark, parts).selectExpr("k", "x1 AS z1", "x2 AS z2", "z AS z3", "x1", "x2", "s", "y", "w")
     cells = selection.selection_cells(rows, ["k"], ["z1", "z2", "z3"], ["x1", "x2"])
-    got = selection.fit_selection(cells, ["k"], ["z1", "z2", "z3"], ["x1", "x2"], together)
+    got = selection.fit_selection(cells, ["k"], ["z1", "z2", "z3"], ["x1", "x2"])
     return {r["k"]: r for r in selection.diagnostics(got).collect()}
 
 
@@ -64,12 +64,13 @@ def test_does_not_find_selection_where_there_is_none(spark):
     assert abs(np.mean([r["rho"] for r in got.values()])) < 0.05
 
 
-def test_rounds_over_all_cells_equal_the_one_task_fit(spark):
+def test_keys_fitted_together_equal_keys_fitted_alone(spark):
     parts = {"a": draw(3000, 0.3, 4), "b": draw(3000, -0.2, 5)}
-    near, far = fit(spark, parts, together=False), fit(spark, parts, together=True)
+    both = fit(spark, parts)
     for k in parts:
+        alone = fit(spark, {k: parts[k]})[k]
         for c in ("rho", "se_rho", "loglik", "loglik_restricted", "lr_p"):
-            assert near[k][c] == pytest.approx(far[k][c], abs=1e-5)
+            assert both[k][c] == pytest.approx(alone[c], abs=1e-5)
 
 
 def test_column_likelihood_equals_the_batch_sums(spark):

@@ -27,9 +27,3 @@ def poisson_one(u: Column) -> Column:
     for m in marks:
         count = count + (u >= F.lit(m)).cast("int")
     return count
-
-
-def scenario_seed(cutoff, rate, replicate, base: int) -> Column:
-    """Stable integer seed of a backtest scenario (CRC-32 of its text)."""
-    text = F.concat_ws("|", cutoff, F.format_string("%.6f", rate), replicate.cast("string"))
-    return F.pmod(F.crc32(text.cast("binary")) + F.lit(base), F.lit(2**31))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import SPANS, Binning
+from ..config import SPANS, BinRules
 from ..runtime import localize, materialize
 from .ordered import quantiles
 
@@ -41,10 +41,10 @@ def value_histogram(rows: DataFrame, keys, numeric, y: str, w: str) -> DataFrame
         F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("sw"), F.sum("wy").alias("swy"))
 
 
-def pre_bins(hist: DataFrame, keys, spec: Binning) -> DataFrame:
+def pre_bins(hist: DataFrame, keys, spec: BinRules) -> DataFrame:
     """Pre-bin totals between distinct quantile cuts; bin -1 holds the missing."""
     by = [*keys, "feature"]
-    probs = [k * (1.0 / (3 * spec.max_bins)) for k in range(1, 3 * spec.max_bins)]
+    probs = [k * (1.0 / (3 * spec.most)) for k in range(1, 3 * spec.most)]
     cuts = quantiles(hist, by, "value", probs, _span(), rows="n_rows")
     cuts = localize(cuts.select(*by, F.array_distinct("q").alias("cuts")), "cuts")
     return to_bins(hist, cuts, by, len(probs))
@@ -83,16 +83,16 @@ class _Ladder:
         self.tops.pop(i)
 
 
-def coarsen(tops, weight, bad, total: float, spec: Binning) -> _Ladder:
+def coarsen(tops, weight, bad, total: float, spec: BinRules) -> _Ladder:
     """Merge pre-bins: too-small ones first, then trend breaks, then to size."""
     ladder = _Ladder(tops, weight, bad, max(total, 1e-300))
-    while len(ladder) > 2 and min(ladder.shares()) < spec.min_bin_frac:
+    while len(ladder) > 2 and min(ladder.shares()) < spec.least_share:
         share = ladder.shares()
         i = int(np.argmin(share))
         left = share[i - 1] if i > 0 else np.inf
         right = share[i + 1] if i + 1 < len(ladder) else np.inf
         ladder.fuse(i - 1 if left <= right else i)
-    if spec.monotonic and len(ladder) > 2:
+    if spec.one_way and len(ladder) > 2:
         rates = ladder.rates()
         place = np.arange(len(rates)) - (len(rates) - 1) / 2.0
         trend = np.sign(np.round(place @ rates, 9))  # sign of the correlation with the bin number
@@ -101,13 +101,13 @@ def coarsen(tops, weight, bad, total: float, spec: Binning) -> _Ladder:
             if len(ladder) <= 2 or moves.min() >= 0:
                 break
             ladder.fuse(int(np.argmin(moves)))
-    while len(ladder) > spec.max_bins:
+    while len(ladder) > spec.most:
         share = ladder.shares()
         ladder.fuse(int(np.argmin(np.round(share[:-1] + share[1:], 9))))
     return ladder
 
 
-def numeric_bins(hist: DataFrame, keys, spec: Binning) -> DataFrame:
+def numeric_bins(hist: DataFrame, keys, spec: BinRules) -> DataFrame:
     by = [*keys, "feature"]
     pre = pre_bins(hist, keys, spec)
     schema = T.StructType(
@@ -166,14 +166,14 @@ def _short(edge: str, unbounded: str):
     return F.when(c.isNull(), F.lit(unbounded)).when(c == 0, F.lit("0")).otherwise(text)
 
 
-def category_bins(rows: DataFrame, keys, feature: str, y: str, w: str, spec: Binning) -> DataFrame:
+def category_bins(rows: DataFrame, keys, feature: str, y: str, w: str, spec: BinRules) -> DataFrame:
     """Levels with little weight pooled; nulls are a level of their own."""
     level = F.coalesce(F.col(feature).cast("string"), F.lit(MISSING_LEVEL))
     by_level = rows.groupBy(*keys, level.alias("level")).agg(
         F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(y)).alias("swy"))
     by_level = materialize(by_level, "levels")
     total = localize(by_level.groupBy(*keys).agg(F.sum("sw").alias("all_w")), "level-weight")
-    rare = F.col("sw") / F.col("all_w") < F.lit(spec.rare_cat_frac)
+    rare = F.col("sw") / F.col("all_w") < F.lit(spec.rare_share)
     pooled = (by_level.join(total, list(keys))
               .withColumn("level", F.when(rare, F.lit(OTHER_LEVEL)).otherwise(F.col("level")))
               .groupBy(*keys, "level").agg(F.sum("sw").alias("n"), F.sum("swy").alias("bad")))
@@ -186,10 +186,10 @@ def category_bins(rows: DataFrame, keys, feature: str, y: str, w: str, spec: Bin
         F.col("level").alias("category"), F.lit(False).alias("is_missing"), "n", "bad")
 
 
-def weigh(bins: DataFrame, keys, spec: Binning) -> DataFrame:
+def weigh(bins: DataFrame, keys, spec: BinRules) -> DataFrame:
     """Bad rate, smoothed WOE and IV of each bin; the missing bin takes part."""
     of = Window.partitionBy(*keys, "feature")
-    bad, good = F.col("bad") + spec.smoothing, F.col("good") + spec.smoothing
+    bad, good = F.col("bad") + spec.pseudo_count, F.col("good") + spec.pseudo_count
     pb, pg = bad / F.sum(bad).over(of), good / F.sum(good).over(of)
     out = bins.withColumn("good", F.col("n") - F.col("bad"))
     out = out.withColumn("_pb", pb).withColumn("_pg", pg)
@@ -202,7 +202,7 @@ def weigh(bins: DataFrame, keys, spec: Binning) -> DataFrame:
 
 
 def fit_bins(rows: DataFrame, keys, numeric, categorical, y: str = "bad", w: str = "w",
-             spec: Binning = Binning()) -> DataFrame:
+             spec: BinRules = BinRules()) -> DataFrame:
     """The bins table: one row per (keys, feature, bin)."""
     parts = []
     if numeric:

@@ -1,24 +1,24 @@
 """Penalised logistic regression for many keys at once.
 
-Rows collapse to cells (keys, design vector) first. Keys whose cells were
-counted and are few are solved one key per task. Otherwise every round is one
-aggregation over the cells of all keys, and the driver only sees one small
-system per key (one portfolio, or a configured scenario grid).
+Rows collapse to cells (keys, design vector) first. Every round is one
+aggregation over the cells of all keys, however many cells there are, and the
+driver only sees one small system per key (one portfolio, or a configured
+scenario grid).
 """
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import localize, materialize, small_table
-from .ordered import short_keys
+from ..runtime import materialize, small_table
 
 TOLERANCE = 1e-10
 MAX_ROUNDS = 40
+MOST_KEYS = 10_000
 
 
 def cells(rows: DataFrame, keys, xs, y: str, w: str) -> DataFrame:
@@ -50,11 +50,16 @@ class Newton:
 
     def __init__(self, k: int, C: float):
         self.C, self.ridge = C, np.diag([0.0] + [1.0] * (k - 1))
-        self.at, self.best, self.loss, self.done = np.zeros(k), None, np.inf, False
+        self.at, self.best, self.loss, self.done, self.rounds = np.zeros(k), None, np.inf, False, 0
+
+    def reached(self):
+        """The settled point, or the best one seen."""
+        return self.at if self.done or self.best is None else self.best
 
     def see(self, ll, grad, hess):
         """Move on the totals (log-likelihood, gradient, information) at ``at``."""
         b = self.at
+        self.rounds += 1
         loss = 0.5 * b @ self.ridge @ b - self.C * ll
         if loss > self.loss + 1e-9 * (1.0 + abs(loss)):
             self.at = 0.5 * (b + self.best)
@@ -66,41 +71,21 @@ class Newton:
         self.done = bool(np.max(np.abs(step)) < TOLERANCE * (1.0 + np.max(np.abs(b))))
 
 
-def _solve_here(cell: DataFrame, keys, xs, C: float) -> DataFrame:
-    """One task per key, for keys with at most ``ONE_TASK_ROWS`` cells."""
-    xs, keys = list(xs), list(keys)
-    schema = T.StructType([cell.schema[c] for c in keys]
-                          + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.hstack([np.ones((len(pdf), 1)), pdf[xs].to_numpy("float64")])
-        sw, swy = pdf["sw"].to_numpy("float64"), pdf["swy"].to_numpy("float64")
-        fit = Newton(X.shape[1], C)
-        for _ in range(MAX_ROUNDS):
-            eta = X @ fit.at
-            p = 1.0 / (1.0 + np.exp(-eta))
-            ll = swy @ eta - sw @ np.logaddexp(0.0, eta)
-            fit.see(ll, X.T @ (swy - sw * p), X.T @ (X * (sw * p * (1.0 - p))[:, None]))
-            if fit.done:
-                break
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "beta": [fit.at.tolist()]})
-
-    tasks = max(cell.sparkSession.sparkContext.defaultParallelism, 1)
-    return localize(cell.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema), "coefs")
-
-
-def fit_logits(cell: DataFrame, keys, xs, C: float = 1.0, together: bool | None = None) -> DataFrame:
-    """Coefficients (keys, beta array, intercept first) by damped Newton."""
-    if together is None:
-        together = not short_keys(cell, keys)
-    if not together:
-        return _solve_here(cell, keys, xs, C)
+def fit_logits(cell: DataFrame, keys, xs, C: float = 1.0) -> DataFrame:
+    """(keys, beta, converged, rounds) by damped Newton, intercept first.
+
+    Each round is one aggregation over the cells of the keys still moving; the
+    driver sees a few sums per key, of which there is one or a configured grid.
+    A key that does not settle in ``MAX_ROUNDS`` keeps the best point it
+    reached and is named in a warning.
+    """
     spark = cell.sparkSession
-    cell = cell.persist(StorageLevel.MEMORY_AND_DISK)
     k = len(xs) + 1
-    schema = T.StructType([cell.schema[c] for c in keys]
-                          + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
-    who = [tuple(r) for r in cell.select(*keys).distinct().collect()]
+    number = [cell.schema[c] for c in keys]
+    schema = T.StructType(number + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    who = [tuple(r) for r in cell.select(*keys).distinct().limit(MOST_KEYS + 1).collect()]
+    if len(who) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys to fit at once")
     fits = {key: Newton(k, C) for key in who}
     for _ in range(MAX_ROUNDS):
         live = [key for key in who if not fits[key].done]
@@ -115,6 +100,11 @@ def fit_logits(cell: DataFrame, keys, xs, C: float = 1.0, together: bool | None
                     hess[i, j] = hess[j, i] = row[f"h{i}_{j}"]
             fits[tuple(row[c] for c in keys)].see(
                 row["ll"], np.array([row[f"g{i}"] for i in range(k)]), hess)
-    cell.unpersist()
+    late = [key for key in who if not fits[key].done]
+    if late:
+        warnings.warn(f"{len(late)} of {len(who)} logistic fits did not settle in {MAX_ROUNDS} rounds: {late[:5]}",
+                      stacklevel=2)
+    out = T.StructType(schema.fields + [T.StructField("converged", T.BooleanType()),
+                                        T.StructField("rounds", T.IntegerType())])
     return small_table(
-        spark, [(*key, [float(b) for b in fits[key].at]) for key in who], schema)
+        spark, [(*key, [float(b) for b in fits[key].reached()], fits[key].done, fits[key].rounds) for key in who], out)

@@ -54,7 +54,7 @@ class Context:
 
     @property
     def multiple(self) -> Column:
-        return F.lit(self.spec.inference.reject_bad_scale) if self.scale is None else self.scale
+        return F.lit(self.spec.labelling.decline_multiple) if self.scale is None else self.scale
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -106,14 +106,14 @@ def score_bands(ctx: Context) -> DataFrame:
     Bands are cut on the accepted scores; a band under ``min_band_rows`` rows
     takes the overall rate.
     """
-    n = ctx.spec.inference.score_bands
+    n = ctx.spec.labelling.bands
     acc = ctx.scored.where("s = 1")
     edges = quantiles(acc, ctx.keys, "pd", [k * (1.0 / n) for k in range(1, n)], (0.0, 1.0))
     edges = localize(edges.select(*ctx.keys, F.array_distinct("q").alias("edges")), "band-edges")
     banded = acc.join(edges, ctx.keys).withColumn("band", band_index("pd", "edges", n - 1))
     stats = banded.groupBy(*ctx.keys, "band").agg(
         F.count(F.lit(1)).alias("n"), F.avg("bad").alias("own"))
-    rate = F.when(F.col("n") >= ctx.spec.inference.min_band_rows, F.col("own")).otherwise(F.col("obs"))
+    rate = F.when(F.col("n") >= ctx.spec.labelling.band_rows, F.col("own")).otherwise(F.col("obs"))
     return stats.join(ctx.sides, ctx.keys).join(edges, ctx.keys).select(
         *ctx.keys, "band", "n", rate.alias("band_rate"), "obs", "edges")
 
@@ -124,7 +124,7 @@ def band_index(value: str, edges: str, max_edges: int) -> Column:
 
 def parcelling(ctx: Context) -> View:
     """Draw a bad label per decline at the scaled bad rate of its score band."""
-    n = ctx.spec.inference.score_bands
+    n = ctx.spec.labelling.bands
     bands = score_bands(ctx)
     table = localize(bands.groupBy(*ctx.keys).agg(
         F.first("edges").alias("edges"), F.first("obs").alias("overall"),
@@ -165,7 +165,7 @@ def fuzzy(ctx: Context) -> View:
 def propensity_card(ctx: Context) -> scorecard.Scorecards:
     return scorecard.fit(
         ctx.scored.select(*_row_columns(ctx), F.col("s").cast("double").alias("y"), "design_w"),
-        ctx.keys, ctx.numeric, ctx.categorical, "y", "design_w", ctx.spec.binning, ctx.spec.scaling)
+        ctx.keys, ctx.numeric, ctx.categorical, "y", "design_w", ctx.spec.bins, ctx.spec.fit)
 
 
 def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
@@ -173,11 +173,11 @@ def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
 
     The cap is the exact ``weight_cap_pctl`` percentile of the raw weights.
     """
-    low = F.lit(spec.min_propensity)
+    low = F.lit(spec.least_approval)
     held = accepted.withColumn("p", F.greatest(low, F.least(F.lit(1.0), F.col(p))))
     held = held.withColumn("raw_w", F.lit(1.0) / F.col("p"))
     # weights pile up near 1, so they are sliced by -p, which spreads evenly
-    cap = quantiles(held, keys, "raw_w", [spec.weight_cap_pctl / 100.0], (-1.0, 0.0), place=-F.col("p"))
+    cap = quantiles(held, keys, "raw_w", [spec.weight_percentile / 100.0], (-1.0, 0.0), place=-F.col("p"))
     cap = localize(cap.select(*keys, F.get("q", F.lit(0)).alias("cap")), "weight-cap")
     return held.join(cap, list(keys)).withColumn(
         "w", F.least(F.col("raw_w"), F.col("cap")) * F.col("design_w"))
@@ -188,7 +188,7 @@ def ipw(ctx: Context) -> View:
     card = ctx.propensity or propensity_card(ctx)
     acc = materialize(card.score(ctx.scored.where("s = 1").drop("pd"), "propensity"), "propensity")
     weighted = materialize(
-        inverse_weights(acc, ctx.keys, "propensity", ctx.spec.inference).select(
+        inverse_weights(acc, ctx.keys, "propensity", ctx.spec.labelling).select(
             *_row_columns(ctx), "bad", "w", "p", "raw_w", "cap"), "ipw")
     auc = measures.discrimination_of_totals(card.training_scores(), ctx.keys, "pd")
     stats = localize(weighted.groupBy(*ctx.keys).agg(
@@ -251,12 +251,12 @@ def heckman(ctx: Context) -> SelectionResult:
     sel_num = ctx.numeric + [c for c in extra if c not in ctx.categorical]
     sel_bins = None if extra else ctx.selection_bins
     if sel_bins is None:
-        sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "unit_w", spec.binning)
+        sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "unit_w", spec.bins)
     out_bins = ctx.outcome_bins
     if out_bins is None:
         out_bins = binning.fit_bins(acc.withColumn("one", F.lit(1.0)), keys, ctx.numeric,
-                                    ctx.categorical, "bad", "one", spec.binning)
-    top = spec.binning.max_bins
+                                    ctx.categorical, "bad", "one", spec.bins)
+    top = spec.bins.most
     sel_look = localize(binning.lookup_row(sel_bins, keys, sel_num, ctx.categorical), "sel-lookup")
     out_look = localize(binning.lookup_row(out_bins, keys, ctx.numeric, ctx.categorical), "out-lookup")
     zs = [f"z__{f}" for f in sel_num + ctx.categorical]
@@ -347,7 +347,7 @@ def infer(ctx: Context, methods=("parcelling", "fuzzy", "ipw", "heckman")) -> In
             part = v.rows.select(*_row_columns(ctx), "bad", "w", F.lit(name).alias(METHOD_COLUMN))
             rows = part if rows is None else rows.unionByName(part)
         cards = scorecard.fit(rows, [*ctx.keys, METHOD_COLUMN], ctx.numeric, ctx.categorical,
-                              "bad", "w", ctx.spec.binning, ctx.spec.scaling)
+                              "bad", "w", ctx.spec.bins, ctx.spec.fit)
     chosen = heckman(ctx) if "heckman" in methods else None
     return Inferred(list(ctx.keys), views, cards, chosen)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import SCORE_WINDOW, Backtest
+from ..config import SCORE_WINDOW, Masking, ScaleCheck
 from ..functions.draws import uniform
 from ..runtime import localize, materialize, small_table
 from . import sampling
@@ -24,28 +24,30 @@ def scenario_text(cutoff: str, rate: float, replicate: int) -> str:
     return f"{cutoff}|{rate:.6f}|{replicate}"
 
 
-def scenario_grid(spec: Backtest, cutoffs=None, rates=None, replicates=None) -> list:
+def scenario_grid(spec: Masking, cutoffs=None, rates=None, replicates=None) -> list:
     """Configured scenarios as (scenario, cutoff_type, rejection_rate, replicate)."""
     return [(scenario_text(c, r, k), c, float(r), k) for c, r, k in itertools.product(
-        cutoffs or spec.cutoff_types, rates or spec.rejection_rates,
-        range(replicates or spec.n_replicates))]
+        cutoffs or spec.policies, rates or spec.rates,
+        range(replicates or spec.replicates))]
 
 
-def sensitivity_grid(spec: Backtest) -> list:
+def sensitivity_grid(spec: Masking, check: ScaleCheck) -> list:
     """Scenarios of the scale check: middling rates, or all if none is middling."""
-    lo, hi = spec.sensitivity_rate_range
-    rates = [r for r in spec.rejection_rates if lo <= r <= hi] or list(spec.rejection_rates)
-    return scenario_grid(spec, spec.sensitivity_cutoffs, rates, spec.sensitivity_replicates)
+    lo, hi = check.between
+    rates = [r for r in spec.rates if lo <= r <= hi] or list(spec.rates)
+    return scenario_grid(spec, check.policies, rates, check.replicates)
 
 
-def draw_pools(terminal: DataFrame, spec: Backtest, seed: int, replicates: int,
+def draw_pools(terminal: DataFrame, spec: Masking, seed: int, replicates: int,
                row_id: str = "app_id") -> DataFrame:
     """Each replicate's pool with its evaluation flag; same pool for all policies."""
     rows = terminal.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    salt = F.concat(F.lit(f"pool:{seed}:"), F.col("replicate").cast("string"))
-    pool = sampling.fixed_size(rows, ["replicate"], row_id, spec.pool_size, salt)
+    pool = rows
+    if spec.pool_rows is not None:
+        salt = F.concat(F.lit(f"pool:{seed}:"), F.col("replicate").cast("string"))
+        pool = sampling.fixed_size(rows, ["replicate"], row_id, spec.pool_rows, salt)
     part = F.concat(F.lit(f"eval:{seed}:"), F.col("replicate").cast("string"))
-    return pool.withColumn("is_eval", uniform(row_id, part) < F.lit(spec.eval_frac))
+    return pool.withColumn("is_eval", uniform(row_id, part) < F.lit(spec.held_share))
 
 
 def _ranked_score(pool: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def _ranked_score(pool: DataFrame) -> DataFrame:
         "rank_score", F.coalesce("risk_score", "low")).drop("low")
 
 
-def policies(ranked: DataFrame, grid: list, spec: Backtest) -> DataFrame:
+def policies(ranked: DataFrame, grid: list, spec: Masking) -> DataFrame:
     """Threshold parameters of every scenario, from one score histogram.
 
     Hard cutoffs get a threshold and the share of tied rows to decline, so the
@@ -88,7 +90,7 @@ def policies(ranked: DataFrame, grid: list, spec: Backtest) -> DataFrame:
     ties = ties.select("scenario", F.when((F.col("at") > 0) & (short > 0),
                                           F.least(short / F.col("at"), F.lit(1.0)))
                        .otherwise(0.0).alias("tie_share"))
-    soft = soft_intercepts(hist, base.where("cutoff_type = 'risk_soft'"), spec.soft_slope)
+    soft = soft_intercepts(hist, base.where("cutoff_type = 'risk_soft'"), spec.slope)
     return localize(base.join(ties, "scenario").join(soft, "scenario", "left"), "policies")
 
 
@@ -129,7 +131,7 @@ def soft_intercepts(hist: DataFrame, base: DataFrame, slope: float) -> DataFrame
     return small_table(spark, [(k, v[2]) for k, v in state.items()], out)
 
 
-def apply_policies(pool: DataFrame, grid: list, spec: Backtest, seed: int,
+def apply_policies(pool: DataFrame, grid: list, spec: Masking, seed: int,
                    row_id: str = "app_id") -> DataFrame:
     """Pool rows per scenario with ``accepted`` as the policy decides."""
     ranked = _ranked_score(pool)
@@ -138,7 +140,7 @@ def apply_policies(pool: DataFrame, grid: list, spec: Backtest, seed: int,
     fanned = ranked.join(table, "replicate").withColumn("_u", u)
     s, t, u = F.col("rank_score"), F.col("threshold"), F.col("_u")
     z = (s - F.col("mean")) / F.col("sd")
-    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + F.lit(spec.soft_slope) * z)))
+    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + F.lit(spec.slope) * z)))
     kind = F.col("cutoff_type")
     approved = (F.when(kind == "random", u >= F.col("rejection_rate"))
                 .when(kind == "risk_hard", ~((s < t) | ((s == t) & (u < F.col("tie_share")))))

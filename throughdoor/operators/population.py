@@ -39,10 +39,10 @@ def scored(declined: DataFrame) -> DataFrame:
 
 def build_panel(accepted_all: DataFrame, declined_all: DataFrame, spec: Audit,
                 row_id: str = "app_id") -> Panel:
-    """Sample both sides and weight the samples back to their populations."""
+    """Both sides, sampled if asked for, weighted back to their populations."""
     sides = accepted_all.select(F.lit(1).alias("side"), F.col("bad").isNotNull().cast("int").alias("ok"),
                                 F.lit(0).alias("drawn"), F.lit(0).alias("unscored"))
-    drawn = sampling.split_flag(row_id, spec.reject_sample_rate, f"declined_sample:{spec.seed}")
+    drawn = sampling.split_flag(row_id, spec.sample.declined_rate, f"declined_sample:{spec.seed}")
     sides = sides.unionByName(declined_all.select(
         F.lit(0).alias("side"), F.lit(0).alias("ok"), drawn.cast("int").alias("drawn"),
         (drawn & F.col("risk_score").isNull()).cast("int").alias("unscored")))
@@ -52,14 +52,14 @@ def build_panel(accepted_all: DataFrame, declined_all: DataFrame, spec: Audit,
         F.sum("unscored").alias("declined_unscored")).first().asDict()
 
     acc = terminal(accepted_all).withColumn(KEY, F.lit("all"))
-    used = min(n["accepted_terminal"], spec.max_accepted)
-    if n["accepted_terminal"] > spec.max_accepted:
-        acc = sampling.fixed_size(acc, [KEY], row_id, spec.max_accepted,
-                                  f"accepted_sample:{spec.seed}")
-    raw = sampling.bernoulli(declined_all, row_id, spec.reject_sample_rate,
+    used, most = n["accepted_terminal"], spec.sample.accepted_rows
+    if most is not None and used > most:
+        used = most
+        acc = sampling.fixed_size(acc, [KEY], row_id, most, f"accepted_sample:{spec.seed}")
+    raw = sampling.bernoulli(declined_all, row_id, spec.sample.declined_rate,
                              f"declined_sample:{spec.seed}").withColumn(KEY, F.lit("all"))
-    dec = scored(raw) if spec.require_reject_score else raw
-    n_dec = n["declined_sampled"] - (n["declined_unscored"] if spec.require_reject_score else 0)
+    dec = scored(raw) if spec.sample.scored_only else raw
+    n_dec = n["declined_sampled"] - (n["declined_unscored"] if spec.sample.scored_only else 0)
 
     w_acc = n["accepted_total"] / max(used, 1)
     w_dec = n["declined_total"] / max(n["declined_sampled"], 1)
@@ -70,7 +70,7 @@ def build_panel(accepted_all: DataFrame, declined_all: DataFrame, spec: Audit,
         "n_declined_total": n["declined_total"],
         "n_declined_sampled": n["declined_sampled"],
         "n_declined_used": n_dec,
-        "reject_sample_rate": spec.reject_sample_rate,
+        "reject_sample_rate": spec.sample.declined_rate,
         "seed": spec.seed,
         "w_accepted": w_acc,
         "w_declined": w_dec,

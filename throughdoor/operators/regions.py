@@ -4,44 +4,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import NUMERIC, Binning, Regions, Scaling
+from ..config import NUMERIC, BinRules, FitRules, RegionRules
 from ..functions.normal import chi_square_tail, normal_cdf
 from . import scorecard
 from .ordered import quantiles
 
 
-def decline_model(stacked: DataFrame, keys, numeric=tuple(NUMERIC), spec: Binning = Binning(),
-                  scaling: Scaling = Scaling()) -> scorecard.Scorecards:
+def decline_model(stacked: DataFrame, keys, numeric=tuple(NUMERIC), spec: BinRules = BinRules(),
+                  rules: FitRules = FitRules()) -> scorecard.Scorecards:
     """P(declined | risk fields), blind to geography and unweighted."""
     rows = stacked.select(*keys, *numeric, (1.0 - F.col("accepted")).alias("y"), F.lit(1.0).alias("w"))
-    return scorecard.fit(rows, keys, list(numeric), [], "y", "w", spec, scaling)
+    return scorecard.fit(rows, keys, list(numeric), [], "y", "w", spec, rules)
 
 
-def zip_residuals(rows: DataFrame, keys, p: str, spec: Regions = Regions()) -> DataFrame:
+def zip_residuals(rows: DataFrame, keys, p: str, spec: RegionRules = RegionRules()) -> DataFrame:
     """Observed minus expected declines per ZIP prefix, standardised."""
     declined = 1.0 - F.col("accepted")
     g = rows.groupBy(*keys, "zip3").agg(
         F.count(F.lit(1)).alias("n_apps"), F.sum(declined).alias("observed_declines"),
         F.sum(p).alias("expected_declines"), F.sum(F.col(p) * (1.0 - F.col(p))).alias("var"))
-    g = g.where(F.col("n_apps") >= spec.min_applications)
+    g = g.where(F.col("n_apps") >= spec.least_applications)
     gap = F.col("observed_declines") - F.col("expected_declines")
     return (g.withColumn("observed_rate", F.col("observed_declines") / F.col("n_apps"))
             .withColumn("expected_rate", F.col("expected_declines") / F.col("n_apps"))
             .withColumn("excess_rate_pp", 100.0 * (F.col("observed_rate") - F.col("expected_rate")))
             .withColumn("z", gap / F.sqrt(F.greatest("var", F.lit(1e-9))))
-            .withColumn("flagged", F.abs("z") > spec.flag_z))
+            .withColumn("flagged", F.abs("z") > spec.flag_at))
 
 
-def dispersion(residuals: DataFrame, keys, spec: Regions = Regions()) -> DataFrame:
+def dispersion(residuals: DataFrame, keys, spec: RegionRules = RegionRules()) -> DataFrame:
     """Is there more variation between ZIPs than risk plus noise produces?"""
     z = F.col("z")
     got = residuals.groupBy(*keys).agg(
         F.count("z").alias("n_zip3"), F.sum(z * z).alias("chi2"), F.stddev_pop("z").alias("sd_of_z"),
-        F.sum((F.abs(z) > spec.flag_z).cast("bigint")).alias("n_flagged"),
+        F.sum((F.abs(z) > spec.flag_at).cast("bigint")).alias("n_flagged"),
         F.max("excess_rate_pp").alias("max_excess_decline_pp"),
         F.min("excess_rate_pp").alias("min_excess_decline_pp"))
     ends = quantiles(residuals, keys, "excess_rate_pp", [0.25, 0.75], (-100.0, 100.0))
-    chance = 2.0 * normal_cdf(F.lit(-spec.flag_z)) * F.col("n_zip3")
+    chance = 2.0 * normal_cdf(F.lit(-spec.flag_at)) * F.col("n_zip3")
     return (got.join(ends, list(keys))
             .withColumn("chi2_df", F.col("n_zip3"))
             .withColumn("chi2_p", chi_square_tail(F.col("chi2"), F.col("n_zip3").cast("int")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Binning, Scaling
+from ..config import BinRules, FitRules, PointRules
 from ..runtime import localize
 from . import binning, glm
 
@@ -80,7 +80,7 @@ class Scorecards:
         return (self.terms().where("term <> 'intercept'").withColumnRenamed("term", "feature")
                 .join(iv, [*self.keys, "feature"]))
 
-    def points_table(self, scaling: Scaling = Scaling()) -> DataFrame:
+    def points_table(self, scaling: PointRules = PointRules()) -> DataFrame:
         """Points of each bin; a row's bins add up to its score."""
         factor, offset = points_scale(scaling)
         n = float(len(self.features))
@@ -92,18 +92,18 @@ class Scorecards:
                         "bad_rate", "woe", "coef", points.alias("points")))
 
 
-def points_scale(scaling: Scaling = Scaling()) -> tuple[float, float]:
-    factor = scaling.pdo / math.log(2.0)
-    return factor, scaling.base_points - factor * math.log(scaling.base_odds)
+def points_scale(scaling: PointRules = PointRules()) -> tuple[float, float]:
+    factor = scaling.doubling / math.log(2.0)
+    return factor, scaling.anchor - factor * math.log(scaling.anchor_odds)
 
 
-def points(log_odds_bad, scaling: Scaling = Scaling()):
+def points(log_odds_bad, scaling: PointRules = PointRules()):
     factor, offset = points_scale(scaling)
     return F.lit(offset) - F.lit(factor) * log_odds_bad
 
 
 def fit(rows: DataFrame, keys, numeric, categorical, y: str = "bad", w: str = "w",
-        spec: Binning = Binning(), scaling: Scaling = Scaling()) -> Scorecards:
+        spec: BinRules = BinRules(), rules: FitRules = FitRules()) -> Scorecards:
     """Fit one scorecard per key on rows with a known outcome and weight."""
     keys, numeric, categorical = list(keys), list(numeric), list(categorical)
     used = rows.where(F.col(y).isNotNull() & (F.col(w) > 0))
@@ -112,8 +112,8 @@ def fit(rows: DataFrame, keys, numeric, categorical, y: str = "bad", w: str = "w
     xs = [f"{f}__woe" for f in numeric + categorical]
     coded = used.join(look, keys).select(
         *[used[k] for k in keys], used[y].alias("y"), used[w].alias("w"),
-        *binning.woe_columns(numeric, categorical, spec.max_bins))
+        *binning.woe_columns(numeric, categorical, spec.most))
     cell = glm.cells(coded, keys, xs, "y", "w")
-    coefs = glm.fit_logits(cell, keys, xs, scaling.C)
+    coefs = glm.fit_logits(cell, keys, xs, rules.inverse_penalty)
     return Scorecards(keys, numeric, categorical, bins, coefs,
-                      localize(look.join(coefs, keys), "scorecards"), spec.max_bins, cell)
+                      localize(look.join(coefs, keys), "scorecards"), spec.most, cell)

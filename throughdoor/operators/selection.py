@@ -14,14 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normal as N
 from ..runtime import materialize, small_table
-from .ordered import ONE_TASK_ROWS
 
 ATANH_BOUND = 4.0
 MAX_ROUNDS = 80
@@ -175,43 +173,6 @@ class _Climb:
         self.theta = target
 
 
-def _ascend_here(cell, zs, xs, scale):
-    """Both models of each key in one task, for keys with few cells."""
-    zs, xs, size = list(zs), list(xs), dict(scale)
-    p = len(zs) + len(xs) + 3
-
-    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
-        kid = int(pdf["kid"].iloc[0])
-        one = np.ones((len(pdf), 1))
-        Z = np.hstack([one, pdf[zs].to_numpy("float64")])
-        X = np.hstack([one, pdf[xs].to_numpy("float64")])
-        s, y = pdf["s"].to_numpy("float64"), pdf["y"].to_numpy("float64")
-        w = pdf["w"].to_numpy("float64") * size[kid]
-        theta, out = np.zeros(p), []
-        for free in (range(p - 1), range(p)):
-            c = _Climb(theta, free)
-            for _ in range(MAX_ROUNDS):
-                c.see(batch_sums(Z, X, s, y, w, c.theta))
-                if c.done:
-                    break
-            theta = c.best
-            out.append(c)
-        flat, full = out
-        return pd.DataFrame([{
-            "kid": kid, "theta": full.best.tolist(), "hess": full.hess.ravel().tolist(),
-            "ll": full.ll, "ll0": flat.ll, "converged": full.converged}])
-
-    kind = "kid int, theta array<double>, hess array<double>, ll double, ll0 double, converged boolean"
-    flat, full = {}, {}
-    tasks = max(cell.sparkSession.sparkContext.defaultParallelism, 1)
-    for r in cell.repartition(tasks, "kid").groupBy("kid").applyInPandas(climb, kind).collect():
-        flat[r["kid"]], c = _Climb(None, range(p)), _Climb(np.array(r["theta"]), range(p))
-        flat[r["kid"]].ll = r["ll0"]
-        c.ll, c.hess, c.converged = r["ll"], np.array(r["hess"]).reshape(p, p), r["converged"]
-        full[r["kid"]] = c
-    return flat, full
-
-
 def _ascend(cell, zs, xs, scale, starts, free):
     climbs = {k: _Climb(t, free) for k, t in starts.items()}
     for _ in range(MAX_ROUNDS):
@@ -250,7 +211,7 @@ def selection_cells(rows: DataFrame, keys, zs, xs) -> DataFrame:
         F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")), "selection-cells")
 
 
-def fit_selection(cells: DataFrame, keys, zs, xs, together: bool | None = None) -> SelectionFit:
+def fit_selection(cells: DataFrame, keys, zs, xs) -> SelectionFit:
     """Fit every key; weights are scaled to mean 1 within a key.
 
     The restricted model (rho = 0) is two independent probits and the starting
@@ -267,17 +228,10 @@ def fit_selection(cells: DataFrame, keys, zs, xs, together: bool | None = None)
     tagged = cells.join(ids, keys).select("kid", *zs, *xs, "s", "y", "w")
     scale = {i: r["n"] / r["w"] for i, r in enumerate(facts)}
     p = len(zs) + len(xs) + 3
-    if together is None:
-        together = max((r["cells"] for r in facts), default=0) > ONE_TASK_ROWS
-    if together:
-        # one key may hold most cells: spread by row, then keep a task's keys together
-        tagged = (tagged.repartition(max(spark.sparkContext.defaultParallelism, 1))
-                  .sortWithinPartitions("kid").persist(StorageLevel.MEMORY_AND_DISK))
-        flat = _ascend(tagged, zs, xs, scale, {i: np.zeros(p) for i in who}, range(p - 1))
-        full = _ascend(tagged, zs, xs, scale, {i: c.best for i, c in flat.items()}, range(p))
-        tagged.unpersist()
-    else:
-        flat, full = _ascend_here(tagged, zs, xs, scale)
+    # one key may hold most cells: spread by row, a task's keys together
+    tagged = materialize(tagged.repartition("s", "y", *zs, *xs).sortWithinPartitions("kid"), "selection-rows")
+    flat = _ascend(tagged, zs, xs, scale, {i: np.zeros(p) for i in who}, range(p - 1))
+    full = _ascend(tagged, zs, xs, scale, {i: c.best for i, c in flat.items()}, range(p))
     out = []
     for i, key in who.items():
         c, ll0 = full[i], flat[i].ll

@@ -46,17 +46,17 @@ def method_table(p: Portfolio) -> DataFrame:
 
 def result_tables(p: Portfolio) -> dict:
     """The sixteen result tables by name; each is computed when written."""
-    spec, econ = p.spec, p.spec.economics
+    spec, econ = p.spec, p.spec.cash
     chosen = p.applicants.where("method = 'heckman'")
-    decline = regions.decline_model(p.stacked, KEYS, NUMERIC, spec.binning, spec.scaling)
+    decline = regions.decline_model(p.stacked, KEYS, NUMERIC, spec.bins, spec.fit)
     residuals = materialize(regions.zip_residuals(
         decline.score(p.stacked, "p"), KEYS, "p", spec.regions), "residuals")
     swaps = materialize(economics.swap_economics(
-        p.applicants, [KEY, "method"], p.calibration, econ, spec.seed), "swaps")
+        p.applicants, [KEY, "method"], p.calibration, econ, spec.seed, resampling=spec.resampling), "swaps")
     bins = p.baseline.bins
     return {
         "00_field_coverage": coverage(p),
-        "01_scorecard_points": p.baseline.points_table(spec.scaling).orderBy("feature", "bin_no"),
+        "01_scorecard_points": p.baseline.points_table(spec.points).orderBy("feature", "bin_no"),
         "02_woe_bins": bins.orderBy("feature", "bin_no"),
         "03_information_value": binning.iv_table(bins, KEYS).orderBy(F.desc("iv")),
         "04_real_data_methods": method_table(p),
@@ -83,8 +83,8 @@ def result_tables(p: Portfolio) -> dict:
 def headline(p: Portfolio, tables: dict) -> DataFrame:
     """The numbers a report quotes, as one long table."""
     test = measures.metric_bundle(p.baseline.score(p.split, "pd"), ["is_test"], "pd", "bad", "w")
-    pooled = economics.breakeven(economics.pooled_yields(p.calibration, KEYS, p.spec.economics),
-                                 p.spec.economics)
+    pooled = economics.breakeven(economics.pooled_yields(p.calibration, KEYS, p.spec.cash),
+                                 p.spec.cash)
     parts = [
         long_form(p.panel.audit, "data"),
         long_form(population.overlap_share(p.panel.accepted, p.panel.declined_all, SCORE_WINDOW), "data"),

@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AMOUNT_WINDOW, CATEGORICAL, DTI_WINDOW, FEATURES, NUMERIC, SCORE_WINDOW, Binning
-from ..functions import draws
+from ..config import AMOUNT_WINDOW, CATEGORICAL, DTI_WINDOW, FEATURES, NUMERIC, SCORE_WINDOW, BinRules, Masking, Resampling
 from ..functions import fields as R
 from ..functions import normal as N
 from ..operators import (backtest, binning, economics, inference, measures, ordered, policy,
@@ -70,7 +70,7 @@ def read_declined(f):
 @query
 def cache_applicants(f):
     t = applications.cached(f.spark, "applicants", lambda: applications.harmonise_accepted(
-        f.accepted_raw), WHOLE, f.sf_dir, f.spark.sparkContext.applicationId)
+        f.accepted_raw), WHOLE, *[f"{f.sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer", "nation")])
     return tidy(t.drop("grade", "total_pymnt"))
 
 
@@ -88,8 +88,8 @@ def headline_metrics(f):
     rates = f.panel.audit.select("n_accepted_total", "n_accepted_terminal", "n_declined_total",
                                  "indeterminate_frac", "unscored_frac", "population_accept_rate")
     cov = audit.coverage(f)
-    pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.economics)
-    even = economics.breakeven(pooled, WHOLE.economics).drop(KEY)
+    pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.cash)
+    even = economics.breakeven(pooled, WHOLE.cash).drop(KEY)
     rows = (audit.long_form(rates, "data").unionByName(audit.long_form(cov, "coverage", "field"))
             .unionByName(audit.long_form(even, "yields")))
     path = f"{scratch_root(f.spark)}/headline-{uuid.uuid4().hex}"
@@ -100,7 +100,7 @@ def headline_metrics(f):
 
 @query
 def data_audit(f):
-    return tidy(f.sampled.audit.select("n_accepted_total", "n_declined_total", "n_declined_sampled",
+    return tidy(f.panel.audit.select("n_accepted_total", "n_declined_total", "n_declined_sampled",
                                        "reject_sample_rate", "seed"))
 
 
@@ -189,7 +189,7 @@ def scored_declines(f):
 @query
 def bernoulli_sample(f):
     p = f.sampled
-    kept = sampling.bernoulli(f.declined, "app_id", SAMPLED.reject_sample_rate,
+    kept = sampling.bernoulli(f.declined, "app_id", SAMPLED.sample.declined_rate,
                               f"declined_sample:{SAMPLED.seed}")
     return tidy(kept.select("app_id", F.lit(float(p.rates["w_declined"])).alias("design_w")))
 
@@ -206,15 +206,15 @@ def train_test_split(f):
 
 @query
 def backtest_pool(f):
-    spec = WHOLE.backtest.__class__(pool_size=3000)
-    pool = policy.draw_pools(f.terminal.select("app_id"), spec, WHOLE.seed, spec.n_replicates)
+    spec = Masking(pool_rows=3000)
+    pool = policy.draw_pools(f.terminal.select("app_id"), spec, WHOLE.seed, spec.replicates)
     return tidy(pool.select("replicate", "app_id"))
 
 
 @query
 def eval_split(f):
-    spec = WHOLE.backtest
-    pool = policy.draw_pools(f.terminal.select("app_id"), spec, WHOLE.seed, spec.n_replicates)
+    spec = WHOLE.masking
+    pool = policy.draw_pools(f.terminal.select("app_id"), spec, WHOLE.seed, spec.replicates)
     return tidy(pool.select("replicate", "app_id", "is_eval"))
 
 
@@ -225,43 +225,12 @@ def capped_subsample(f):
     return tidy(got.select("app_id", "accepted", "design_w"))
 
 
-@query
-def scenario_seed(f):
-    grid = small_table(f.spark, policy.scenario_grid(WHOLE.backtest), policy.GRID)
-    seeds = grid.withColumn("seed", draws.scenario_seed(
-        F.col("cutoff_type"), F.col("rejection_rate"), F.col("replicate"), WHOLE.seed))
-    pool = policy.draw_pools(f.terminal.select("app_id"), WHOLE.backtest, WHOLE.seed,
-                             WHOLE.backtest.n_replicates)
-    sizes = pool.groupBy("replicate").agg(F.count(F.lit(1)).alias("n_pool"))
-    return tidy(seeds.join(sizes, "replicate"))
-
-
 # --- unions, grids -------------------------------------------------------------
 @query
 def stack_population(f):
     return tidy(f.stacked.drop(KEY))
 
 
-def _grid(f, rows):
-    grid = small_table(f.spark, rows, policy.GRID)
-    pool = policy.draw_pools(f.terminal.select("app_id"), WHOLE.backtest, WHOLE.seed,
-                             max(r[3] for r in rows) + 1)
-    sizes = pool.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("n_pool"), F.sum(F.col("is_eval").cast("bigint")).alias("n_eval"))
-    return grid.join(sizes, "replicate").drop("scenario")
-
-
-@query
-def scenario_grid(f):
-    return tidy(_grid(f, policy.scenario_grid(WHOLE.backtest)))
-
-
-@query
-def scale_grid(f):
-    scales = F.explode(F.array(*[F.lit(float(x)) for x in WHOLE.backtest.sensitivity_scales]))
-    return tidy(_grid(f, policy.sensitivity_grid(WHOLE.backtest)).withColumn("reject_bad_scale", scales))
-
-
 # --- lookups, aggregates -------------------------------------------------------
 @query
 def interval_lookup(f):
@@ -284,7 +253,7 @@ def unscored_by_year(f):
 
 @query
 def panel_rates(f):
-    return tidy(f.sampled.audit)
+    return tidy(f.panel.audit)
 
 
 @query
@@ -365,26 +334,26 @@ def _numeric_hist(f):
 
 @query
 def woe_prebins(f):
-    pre = binning.pre_bins(_numeric_hist(f), KEYS, Binning())
+    pre = binning.pre_bins(_numeric_hist(f), KEYS, BinRules())
     return tidy(pre.select("feature", "bin_no", "sw", "swy"))
 
 
 @query
 def woe_numeric(f):
-    bins = binning.numeric_bins(_numeric_hist(f), KEYS, Binning())
+    bins = binning.numeric_bins(_numeric_hist(f), KEYS, BinRules())
     return tidy(bins.select("feature", "bin_no", "lo", "hi", "is_missing", "n", "bad"))
 
 
 @query
 def woe_iv(f):
-    bins = binning.weigh(binning.numeric_bins(_numeric_hist(f), KEYS, Binning()), KEYS, Binning())
+    bins = binning.weigh(binning.numeric_bins(_numeric_hist(f), KEYS, BinRules()), KEYS, BinRules())
     return tidy(bins.select("feature", "bin_no", "bad_rate", "woe", "iv"))
 
 
 @query
 def woe_categorical(f):
-    bins = binning.category_bins(f.split, KEYS, "state", "bad", "w", Binning(rare_cat_frac=0.035))
-    return tidy(binning.weigh(bins, KEYS, Binning()).select(
+    bins = binning.category_bins(f.split, KEYS, "state", "bad", "w", BinRules(rare_share=0.035))
+    return tidy(binning.weigh(bins, KEYS, BinRules()).select(
         "feature", "label", "n", "bad", "good", "bad_rate", "woe", "iv"))
 
 
@@ -413,7 +382,7 @@ def scorecard_fit(f):
 
 @query
 def logit_1var(f):
-    card = scorecard.fit(f.split, KEYS, [], ["state"], "bad", "w", WHOLE.binning, WHOLE.scaling)
+    card = scorecard.fit(f.split, KEYS, [], ["state"], "bad", "w", WHOLE.bins, WHOLE.fit)
     return tidy(card.terms().drop(KEY))
 
 
@@ -426,12 +395,12 @@ def score_pd(f):
 @query
 def points_scale(f):
     got = f.proxy_accepted.select("app_id", F.ln(F.col("pd") / (1.0 - F.col("pd"))).alias("lo"))
-    return tidy(got.select("app_id", scorecard.points(F.col("lo"), WHOLE.scaling).alias("points")))
+    return tidy(got.select("app_id", scorecard.points(F.col("lo"), WHOLE.points).alias("points")))
 
 
 @query
 def points_table(f):
-    return tidy(f.baseline.points_table(WHOLE.scaling).select(
+    return tidy(f.baseline.points_table(WHOLE.points).select(
         "feature", "bin_no", "n", "bad_rate", "woe", "coef", "points"))
 
 
@@ -482,7 +451,7 @@ def ipw(f):
 @query
 def ipw_weights(f):
     rows = f.proxy_accepted.withColumn("approval", 1.0 - F.col("pd"))
-    got = inference.inverse_weights(rows, KEYS, "approval", WHOLE.inference)
+    got = inference.inverse_weights(rows, KEYS, "approval", WHOLE.labelling)
     return tidy(got.select("app_id", "raw_w", "cap", F.col("w").alias("weight")))
 
 
@@ -531,10 +500,10 @@ def positivity(f):
 
 # --- masked-outcome backtest --------------------------------------------------------
 def _masked(f, cutoff):
-    grid = policy.scenario_grid(WHOLE.backtest, cutoffs=[cutoff])
-    pool = policy.draw_pools(f.terminal.select("app_id", "risk_score", "bad"), WHOLE.backtest, WHOLE.seed,
-                             WHOLE.backtest.n_replicates)
-    got = policy.apply_policies(pool, grid, WHOLE.backtest, WHOLE.seed)
+    grid = policy.scenario_grid(WHOLE.masking, cutoffs=[cutoff])
+    pool = policy.draw_pools(f.terminal.select("app_id", "risk_score", "bad"), WHOLE.masking, WHOLE.seed,
+                             WHOLE.masking.replicates)
+    got = policy.apply_policies(pool, grid, WHOLE.masking, WHOLE.seed)
     return tidy(got.groupBy("cutoff_type", "rejection_rate", "replicate").agg(
         F.count(F.lit(1)).alias("n"), F.sum((~F.col("accepted_here")).cast("bigint")).alias("n_declined"),
         F.sum(F.when(~F.col("accepted_here"), F.col("app_id"))).alias("declined_ids"),
@@ -558,8 +527,8 @@ def mask_soft(f):
 
 @query
 def backtest_truth(f):
-    m = backtest.mask(f.terminal, WHOLE, policy.scenario_grid(WHOLE.backtest))
-    return tidy(m.facts.drop("scenario"))
+    m = backtest.mask(f.terminal, WHOLE, policy.scenario_grid(WHOLE.masking))
+    return tidy(m.all_facts().drop("scenario"))
 
 
 def _labelling(f):
@@ -649,7 +618,7 @@ def loan_returns(f):
 
 @query
 def yields_by_band(f):
-    return tidy(economics.yields_by_band(f.proxy_calibration, KEYS, "pd_baseline", WHOLE.economics).drop(KEY))
+    return tidy(economics.yields_by_band(f.proxy_calibration, KEYS, "pd_baseline", WHOLE.cash).drop(KEY))
 
 
 @query
@@ -659,7 +628,7 @@ def swap_set(f):
 
 
 def _valued(f):
-    spec = WHOLE.economics
+    spec = WHOLE.cash
     bands = localize(economics.yields_by_band(f.proxy_calibration, KEYS, "pd_baseline", spec), "yields")
     pooled = localize(economics.pooled_yields(f.proxy_calibration, KEYS, spec), "pooled")
     rows = economics.with_bands(f.proxy_applicants, [KEY, "method"], f.proxy_calibration, "pd_baseline", spec)
@@ -676,8 +645,8 @@ def expected_profit(f):
 
 @query
 def breakeven(f):
-    pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.economics)
-    return tidy(economics.breakeven(pooled, WHOLE.economics).drop(KEY))
+    pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.cash)
+    return tidy(economics.breakeven(pooled, WHOLE.cash).drop(KEY))
 
 
 MONEY = dict(profit_forgone_population=2, profit_avoided_population=2, profit_forgone_ci_lo=2,
@@ -687,14 +656,23 @@ MONEY = dict(profit_forgone_population=2, profit_avoided_population=2, profit_fo
 @query
 def swap_economics(f):
     got = economics.swap_economics(f.proxy_applicants, [KEY, "method"], f.proxy_calibration,
-                                   WHOLE.economics, WHOLE.seed)
+                                   WHOLE.cash, WHOLE.seed)
+    return tidy(got.drop(KEY), **MONEY)
+
+
+@query
+def swap_economics_calibration_bands(f):
+    """Applicants in the bands of the yields table, instead of bands of their own."""
+    cash = replace(WHOLE.cash, bands_from="calibration")
+    got = economics.swap_economics(f.proxy_applicants, [KEY, "method"], f.proxy_calibration, cash, WHOLE.seed,
+                                   resampling=None)
     return tidy(got.drop(KEY), **MONEY)
 
 
 @query
 def method_economics(f):
     """Swap-set economics of the four methods on the fitted scores."""
-    got = economics.swap_economics(f.applicants, [KEY, "method"], f.calibration, WHOLE.economics, WHOLE.seed)
+    got = economics.swap_economics(f.applicants, [KEY, "method"], f.calibration, WHOLE.cash, WHOLE.seed)
     return tidy(got.drop(KEY), **MONEY)
 
 
@@ -702,8 +680,7 @@ def method_economics(f):
 def bootstrap_total(f):
     rows = f.proxy_calibration.withColumn("x", F.col("amount_requested") * F.col("design_w")).where(
         "x IS NOT NULL")
-    spec = WHOLE.economics.__class__(n_bootstrap=200)
-    return tidy(economics.bootstrap(rows, KEYS, "x", spec, WHOLE.seed).drop(KEY), places=2)
+    return tidy(economics.bootstrap(rows, KEYS, "x", Resampling(), WHOLE.seed).drop(KEY), places=2)
 
 
 @query
@@ -720,21 +697,21 @@ def method_swap_profile(f):
 @query
 def funding_sensitivity(f):
     got = economics.funding_sensitivity(f.proxy_applicants, [KEY, "method"], f.proxy_calibration,
-                                        WHOLE.economics)
+                                        WHOLE.cash)
     return tidy(got.drop(KEY), **MONEY)
 
 
 @query
 def profit_range(f):
     came = economics.swap_economics(f.proxy_applicants, [KEY, "method"], f.proxy_calibration,
-                                    WHOLE.economics, WHOLE.seed, replicates=1)
+                                    WHOLE.cash, WHOLE.seed, resampling=None)
     return tidy(economics.profit_range(came), places=2)
 
 
 # --- regions --------------------------------------------------------------------------
 @query
 def decline_model(f):
-    return tidy(regions.decline_model(f.stacked, KEYS, spec=WHOLE.binning, scaling=WHOLE.scaling)
+    return tidy(regions.decline_model(f.stacked, KEYS, spec=WHOLE.bins, rules=WHOLE.fit)
                 .terms().drop(KEY))
 
 
@@ -768,7 +745,7 @@ def zip_largest_gaps(f):
 @query
 def model_zip_residuals(f):
     """Residuals and flags under the fitted risk-only decline model."""
-    card = regions.decline_model(f.stacked, KEYS, spec=WHOLE.binning, scaling=WHOLE.scaling)
+    card = regions.decline_model(f.stacked, KEYS, spec=WHOLE.bins, rules=WHOLE.fit)
     return tidy(regions.zip_residuals(card.score(f.stacked, "p"), KEYS, "p", WHOLE.regions).drop(KEY))
 
 

@@ -6,7 +6,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CATEGORICAL, NUMERIC, Audit, Backtest, Regions
+from ..config import CATEGORICAL, NUMERIC, Audit, Masking, RegionRules, Sampling
 from ..operators import backtest, inference, population, sampling, scorecard
 from ..runtime import localize, materialize
 from ..sources import applications, warehouse
@@ -14,11 +14,10 @@ from ..sources import applications, warehouse
 KEY = population.KEY
 KEYS = [KEY]
 
-# whole tables; only the size guards are lowered for small inputs
-WHOLE = Audit(reject_sample_rate=1.0, backtest=Backtest(min_accepted=200, min_declined=50),
-              regions=Regions(min_applications=100))
+# whole tables, as by default; only the size guards are lowered for small inputs
+WHOLE = Audit(masking=Masking(fit_approved=200, fit_declined=50), regions=RegionRules(least_applications=100))
 # the sampling operators
-SAMPLED = Audit(reject_sample_rate=0.5, max_accepted=4000)
+SAMPLED = Audit(sample=Sampling(declined_rate=0.5, accepted_rows=4000))
 
 
 def proxy_pd(score: str = "risk_score"):
@@ -75,14 +74,14 @@ class Portfolio:
     @cached_property
     def split(self) -> DataFrame:
         """Accepted rows with the train/test flag."""
-        test = sampling.split_flag("app_id", self.spec.scaling.test_frac, f"split:{self.spec.seed}")
+        test = sampling.split_flag("app_id", self.spec.fit.test_share, f"split:{self.spec.seed}")
         return materialize(self.panel.accepted.withColumn("is_test", test)
                            .withColumn("w", F.lit(1.0)), "split")
 
     @cached_property
     def baseline(self) -> scorecard.Scorecards:
         return scorecard.fit(self.split.where("NOT is_test"), KEYS, NUMERIC, CATEGORICAL, "bad", "w",
-                             self.spec.binning, self.spec.scaling)
+                             self.spec.bins, self.spec.fit)
 
     @cached_property
     def context(self) -> inference.Context:

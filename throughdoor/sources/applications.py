@@ -1,6 +1,9 @@
 """Accepted and declined application files, harmonised to one schema."""
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +47,16 @@ def _typed(raw: DataFrame, names: dict, row_id: str | None) -> DataFrame:
         c = F.lit(None).cast("string") if source in missing else F.col(f"`{source}`")
         cols.append((R.number(c) if kind == "double" else c.cast("string")).alias(target))
     if row_id:
-        key = F.col(row_id)
-    else:  # no key in the file: a digest of the row's fields stands in
-        key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{s}`"), F.lit("")) for s in names
-                                       if s not in missing]))
-    return raw.select(key.cast("string").alias("app_id"), *cols)
+        return raw.select(F.col(row_id).cast("string").alias("app_id"), *cols)
+    # No key in the file: a digest of the row's fields and the number of its
+    # copy. Equal rows are counted and dealt out again, so each is a row of its own.
+    held = [F.col(f"`{s}`") for s in names if s not in missing]
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in held]))
+    counted = raw.select(digest.alias("digest"), *cols).groupBy("digest", *[t for t, _ in names.values()]).agg(
+        F.count(F.lit(1)).alias("copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
+    return counted.select("*", copy).select(
+        F.concat_ws("-", "digest", "copy").alias("app_id"), *[t for t, _ in names.values()])
 
 
 def read_accepted(spark: SparkSession, path: str, row_id: str | None = None,
@@ -108,16 +116,27 @@ def harmonise_declined(raw: DataFrame, fill: bool = True) -> DataFrame:
         F.lit(None).cast("double").alias("bad"), F.lit(0).alias("accepted"))
 
 
+def file_facts(spark: SparkSession, path: str) -> list:
+    """Name, size and time of every file of an input; nothing if there is none."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        rows = files.select("path", "length", F.col("modificationTime").cast("double").alias("at")).collect()
+    except AnalysisException:
+        return []
+    return sorted(map(list, rows))
+
+
 def cached(spark: SparkSession, name: str, build, spec: Audit, *inputs: str,
            root: str | None = None) -> DataFrame:
-    """A Parquet copy of ``build()``, reused while settings and inputs match.
+    """A Parquet copy of ``build()``, reused while settings and input files match.
 
-    The path carries a digest of the settings and input names, so a changed
-    seed or rate never meets rows drawn under the old one.
+    The path carries a digest of the settings and of the inputs' names, sizes
+    and times, so a changed seed or a replaced file never meets rows of before.
     """
-    path = f"{root or scratch_root(spark)}/{name}-{spec.fingerprint(*inputs)}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+    seen = [json.dumps([path, file_facts(spark, path)]) for path in inputs]
+    path = f"{root or scratch_root(spark)}/{name}-{spec.digest(*seen)}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # not written yet
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)

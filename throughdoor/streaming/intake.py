@@ -21,7 +21,7 @@ def stream_declined(spark: SparkSession, folder: str, schema) -> DataFrame:
 def intake(raw: DataFrame, spec: Audit) -> DataFrame:
     """Harmonised rows of the seeded sample; the draw depends on the row key only."""
     rows = applications.harmonise_declined(raw)
-    return sampling.bernoulli(rows, "app_id", spec.reject_sample_rate, f"declined_sample:{spec.seed}")
+    return sampling.bernoulli(rows, "app_id", spec.sample.declined_rate, f"declined_sample:{spec.seed}")
 
 
 def score(rows: DataFrame, cards: scorecard.Scorecards) -> DataFrame:
