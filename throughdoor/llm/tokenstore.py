@@ -209,7 +209,9 @@ class Index:
         slots = self.slots(keys)
         known = slots >= 0
         known[known] = self.prints[slots[known]] == fingerprint(keys[known])
-        return np.where(known, self.first[np.where(known, slots, 0)] if len(self.first) else -1, -1).astype(np.int64)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        out[known] = self.first[slots[known]]
+        return out
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.sizes), len(self.prints)], np.int64)
