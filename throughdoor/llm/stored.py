@@ -33,6 +33,17 @@ class Shelf:
         back.shelf_path = path
         return (back, seen.get) if metrics else back
 
+    def only(self, df: DataFrame, key: str, ids: DataFrame, bound: int = 16 << 20) -> DataFrame:
+        """The rows of ``df`` whose ``key`` is in ``ids`` (a written table of one long column).
+
+        The ids are sent to every task if, by their count, they take at most
+        ``bound`` bytes; a longer list is joined by a shuffle.
+        """
+        name = ids.columns[0]
+        if 8 * ids.count() <= bound:
+            ids = F.broadcast(ids)
+        return df.join(ids, df[key] == ids[name], "left_semi")
+
     def clear(self, *tables: DataFrame) -> None:
         """Overwrite tables that nothing reads any more with empty ones."""
         for df in tables:
