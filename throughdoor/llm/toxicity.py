@@ -44,14 +44,14 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    fit_rows: int = 8_000  # labelled rows that the fit may see
+    fit_rows: int = 5_000  # labelled rows that the fit may see
     pair_rows: int = 20_000  # swapped sentences that the fit may see
     buckets: int = 1 << 18
     beginnings: tuple = (3, 4, 5, 6, 7)  # bytes of a word's beginning that are features beside the word
     least_rows: int = 3  # rows a feature must occur in to be learnt
     swap_penalty: float = 10.0
     ridge: float = 1e-5
-    steps: int = 150
+    steps: int = 120
     rate: float = 0.3
 
 
@@ -105,32 +105,40 @@ def _training_rows(rows: DataFrame, use: Settings) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-@dataclass
 class Sparse:
-    """Rows of feature counts, scaled to unit length if no feature repeats."""
+    """Rows of features, each scaled to unit length if no feature repeats.
+
+    Worked on some rows at a time, so that no array of all features in double
+    precision is ever made.
+    """
 
-    flat: np.ndarray
-    row: np.ndarray
-    value: np.ndarray
-    rows: int
+    ROWS = 512
 
-    @classmethod
-    def of(cls, packed: list[bytes], keep: np.ndarray | None = None) -> Sparse:
+    def __init__(self, packed: list[bytes], keep: np.ndarray):
         each = [np.frombuffer(b, np.int32) for b in packed]
-        counts = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(len(each), dtype=np.int32), counts)
-        value = np.repeat((1 / np.sqrt(np.maximum(counts, 1))).astype(np.float32), counts)
-        if keep is not None:
-            good = keep[flat]
-            flat, row, value = flat[good], row[good], value[good]
-        return cls(flat, row, value, len(each))
+        self.scale = np.array([1 / np.sqrt(max(len(x), 1)) for x in each])
+        each = [x[keep[x]] for x in each]
+        self.rows = len(each)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        self.flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        for a in range(0, self.rows, self.ROWS):
+            b = min(a + self.ROWS, self.rows)
+            yield slice(a, b), self.flat[self.bounds[a]: self.bounds[b]], self.bounds[a: b + 1] - self.bounds[a]
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.flat] * self.value, minlength=self.rows)
+        out = np.zeros(self.rows)
+        for rows, flat, bounds in self._parts():
+            sums = np.concatenate([[0.0], np.cumsum(w[flat])])
+            out[rows] = (sums[bounds[1:]] - sums[bounds[:-1]]) * self.scale[rows]
+        return out
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.flat, weights=g[self.row] * self.value, minlength=n)
+        out = np.zeros(n)
+        for rows, flat, bounds in self._parts():
+            out += np.bincount(flat, weights=np.repeat(g[rows] * self.scale[rows], np.diff(bounds)), minlength=n)
+        return out
 
 
 @dataclass
@@ -153,11 +161,11 @@ def fit(labels: np.ndarray, texts: list[bytes], left: list[bytes], right: list[b
     n = use.buckets
     if len(labels) == 0:
         return Model(np.zeros(n), 0.0, use)
-    x = Sparse.of(texts)
-    seen = np.bincount(np.unique(x.flat.astype(np.int64) * x.rows + x.row) // x.rows, minlength=n)
+    seen = np.zeros(n, dtype=np.int32)
+    for b in texts:
+        seen[np.unique(np.frombuffer(b, np.int32))] += 1
     keep = seen >= use.least_rows
-    x = Sparse.of(texts, keep)
-    one, two = Sparse.of(left, keep), Sparse.of(right, keep)
+    x, one, two = (Sparse(rows, keep) for rows in (texts, left, right))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias, w = float(np.log(share / (1 - share))), np.zeros(n)
     m, v = np.zeros(n), np.zeros(n)
