@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20  # text handled at once; a longer document is a piece of its own
+PIECE_BYTES = 1 << 20  # text handled at once; a longer document is a piece of its own
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
