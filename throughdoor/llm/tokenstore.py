@@ -38,7 +38,8 @@ from throughdoor.llm.words import mix
 
 SEGMENT_BYTES = 4 << 20  # a longer document is a segment of its own
 SEGMENT_DOCS = 1 << 16
-CACHED_WORDS = 400_000  # per Python worker
+TEXT_BYTES = 8 << 20  # encoded at a time
+CACHED_WORDS = 1_000_000  # per Python worker
 END_ID = 0
 
 SCHEMA = T.StructType([
@@ -57,14 +58,17 @@ class Encoder:
     white-space run, so a text is the concatenation of its words, each encoded
     with the white space before it. Words come from the cache; new ones of many
     texts are encoded by the tokenizer in one call, set apart by line feeds,
-    which are an id of their own there. Texts for which the argument does not
-    hold in full (runs of white space, other separators) are encoded as pieces
-    or whole. The ids are always those of encoding the whole text.
+    which are an id of their own there. Nor does a piece go from letters to
+    punctuation, so the marks behind a word of letters are encoded once for
+    all words. Texts for which the argument does not hold in full (runs of white
+    space, other separators) are encoded as pieces or whole. The ids are always
+    those of encoding the whole text.
     """
 
-    RUN = re.compile(r"\s\s")
+    HARD = re.compile(r"\s\s|[^\S \n]")  # anything but single spaces and line feeds
     ODD = re.compile(r"[^\S \t\n\r]")  # white space other than the four plain kinds
     PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,8 +79,10 @@ class Encoder:
         probe = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 and probe.count(feed[0]) == 2 else None
         self.feed_bytes = self.packed(feed)
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        # "word" is held as encoded behind a space, "\nword" behind a line feed
+        self.held: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -84,48 +90,70 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str], held: dict[str, bytes], lead: str) -> None:
-        """Add ``words``, encoded behind ``lead``, to ``held``."""
-        new = [w for w in words if w not in held]
-        if len(held) + len(new) > CACHED_WORDS:
-            held.clear()
-            new = list(words)
-        plain = [w for w in new if w and w.split() == [w]]
-        if plain:
-            ids = self.tokenizer.encode_batch_fast(["\n".join(lead + w for w in plain)], add_special_tokens=False)[0].ids
-            ids = np.asarray(ids, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.feed).tolist()
-            raw, size = ids.tobytes(), ids.itemsize
-            if len(cuts) != len(plain) - 1:
-                raise AssertionError("a word holds the separator")
-            held.update(zip(plain, (raw[a * size: b * size] for a, b in zip(
-                [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))))
-        rest = [w for w in new if w not in held]
-        held.update(zip(rest, self.whole([lead + w for w in rest])))
+    def _joined(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words without white space (or empty), each behind ``before``, in one call."""
+        if not words:
+            return []
+        text = "\n".join([before + w for w in words])
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.flatnonzero(ids == self.feed).tolist()
+        if len(cuts) != len(words) - 1:
+            raise AssertionError("a word holds the separator")
+        raw, size = ids.tobytes(), ids.itemsize
+        begin = [0, *[(c + 1) * size for c in cuts]]
+        return [raw[a:b] for a, b in zip(begin, [*[c * size for c in cuts], len(raw)])]
+
+    def learn(self, keys: set[str]) -> None:
+        """Have the ids of ``keys`` in ``held``."""
+        held = self.held
+        new = [k for k in keys if k not in held]
+        if len(held) + len(new) > CACHED_WORDS:  # the words of these texts stay
+            self.held = held = {k: held[k] for k in keys if k in held}
+        found = list(map(self.MARKED.fullmatch, new))
+        marked = [(k, m[1], m[2]) for k, m in zip(new, found) if m]
+        plain = {k for k, m in zip(new, found) if not m}
+        plain.update({a for _, a, _ in marked}.difference(held))
+        if "" in plain:
+            plain.remove("")
+            held[""] = self.whole([" "])[0]
+        spaced = [k for k in plain if k[0] != "\n"]
+        lined = [k[1:] for k in plain if k[0] == "\n"]
+        held.update(zip(spaced, self._joined(spaced, " ")))
+        held.update(zip(["\n" + k for k in lined], [self.feed_bytes + x for x in self._joined(lined, "")]))
+        fresh = list({b for _, _, b in marked}.difference(self.marks))
+        self.marks.update(zip(fresh, self.whole(fresh)))
+        marks = self.marks
+        held.update([(k, held[a] + marks[b]) for k, a, b in marked])
+        if len(marks) > CACHED_WORDS:
+            marks.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        lines: dict[int, list[list[str]]] = {}
+        split: dict[int, list[str]] = {}
         cut: dict[int, list[str]] = {}
-        first, later = set(), set()
+        keys: set[str] = set()
         for i, text in enumerate(texts):
             if self.feed is None:
                 continue
-            if not self.RUN.search(text):
-                lines[i] = own = [line.split(" ") for line in text.split("\n")]
-                for words in own:
-                    first.add(words[0])
-                    later.update(words[1:])
+            if not self.HARD.search(text):
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = "\n" + words[0]  # the feed before the first word is cut off below
+                keys.update(words)
+                split[i] = words
             elif not self.ODD.search(text):
                 cut[i] = self.PIECE.findall(text)
-                first.update(cut[i])
-        self.learn(first, self.bare, "")
-        self.learn(later, self.spaced, " ")
-        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        for i, own in lines.items():
-            out[i] = self.feed_bytes.join([b"".join([bare(words[0]), *map(spaced, words[1:])]) for words in own])
-        for i, words in cut.items():
-            out[i] = b"".join(map(bare, words))
+        self.learn(keys)
+        known, skip = self.held.__getitem__, len(self.feed_bytes)
+        for i, words in split.items():
+            out[i] = b"".join(map(known, words))[skip:]
+        if cut:
+            own = {p for words in cut.values() for p in words}
+            new = [p for p in own if p not in self.pieces]
+            if len(self.pieces) + len(new) > CACHED_WORDS:
+                self.pieces, new = {}, list(own)
+            self.pieces.update(zip(new, self.whole(new)))
+            for i, words in cut.items():
+                out[i] = b"".join(map(self.pieces.__getitem__, words))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = x
@@ -261,8 +289,10 @@ def segments(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
         shard, number, size = TaskContext.get().partitionId(), 0, 0
         keys, ids = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            # the more texts at a time, the more words they share
+            step = max(1, min(1024, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 texts = part.column(1).fill_null("").to_pylist()
                 for k, x in zip(part.column(0).to_pylist(), encode.encode(texts)):
                     x += end
