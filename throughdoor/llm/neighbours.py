@@ -98,13 +98,14 @@ def _halves(column: pa.Array) -> np.ndarray:
     return matrix(column, np.float16, width).astype(np.float32)
 
 
-def meetings(groups: DataFrame, use: Settings) -> DataFrame:
+def meetings(groups: DataFrame, use: Settings, number: int = 0) -> DataFrame:
     """(u, v, sim): for the members of each group, the best others that beat their list.
 
-    ``groups`` has ``members``: array of (node, kth, half).
+    ``groups`` has ``members``: array of (node, kth, half). Of several pairs
+    above the threshold, chance decides which go first, anew in each round.
     """
     schema = "u long, v long, sim float"
-    most = use.introduced
+    most, near = use.introduced, use.threshold - use.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +121,11 @@ def meetings(groups: DataFrame, use: Settings) -> DataFrame:
                 sims = x @ x.T
                 np.fill_diagonal(sims, -2)
                 n = min(most, len(own) - 1)
-                best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                rank = sims
+                if (sims >= near).any():
+                    chance = np.random.default_rng([number, len(own), int(own.sum()) & 0x7FFFFFFF]).random(sims.shape)
+                    rank = np.where(sims >= near, 2 + chance, sims)
+                best = np.argpartition(-rank, n - 1, axis=1)[:, :n]
                 sim = np.take_along_axis(sims, best, 1)
                 good = sim > kth[a:b][first][:, None]
                 out[0].append(np.repeat(own, n)[good.ravel()])
@@ -286,7 +291,7 @@ def descend(shelf: Shelf, nodes: DataFrame, use: Settings) -> tuple[DataFrame, f
     graph = shelf.put(best_of(meetings(starting(search, use), use), use), "graph")
     recall = 0.0
     for number in range(use.most_rounds):
-        found = meetings(introductions(graph, search, use), use)
+        found = meetings(introductions(graph, search, use), use, number + 1)
         better = shelf.put(best_of(graph.select("u", "v", "sim").union(found), use), "graph")
         shelf.clear(graph)
         graph = better
