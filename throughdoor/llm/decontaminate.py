@@ -233,10 +233,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, use: Settings = Settings()) ->
     def keep(screen: Screen, at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = np.ones(batch.num_rows, dtype=bool)
-                for hit in screen.hits(batch.column(at)):
-                    good[hit[0]] = False
-                yield batch.filter(pa.array(good))
+                for first in range(0, batch.num_rows, 1000):
+                    part = batch.slice(first, 1000)
+                    good = np.ones(part.num_rows, dtype=bool)
+                    for hit in screen.hits(part.column(at)):
+                        good[hit[0]] = False
+                    yield part.filter(pa.array(good))
 
         return run
 

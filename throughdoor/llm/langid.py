@@ -165,6 +165,13 @@ def train(rows: DataFrame, use: Settings = Settings()) -> Model:
     return Model(languages, np.ascontiguousarray(logp), np.log(n / n.sum()), use)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows, so that few texts are unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (replacing columns of those names)."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -173,10 +180,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = model.predict(batch.column(at))
+        for part in parts(batches):
+            lang, score = model.predict(part.column(at))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -205,8 +212,13 @@ def identified(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
 
 def accepted(docs: DataFrame, least_score: float = 0.5, use: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with ``least_score`` or more; same columns."""
-    names = docs.columns
     model = learn(docs, use)
-    rows = docs.select("text", F.struct(*[docs[c] for c in names]).alias("row"))
-    good = predict(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return good.select(*[F.col("row")[c].alias(c) for c in names])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            lang, score = model.predict(part.column(at))
+            good = (score >= least_score) & (np.array(lang, dtype=object) != UNKNOWN)
+            yield part.filter(pa.array(good.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -209,8 +209,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.score(batch.column(at)), pa.float64())], names=schema.names)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(model.score(part.column(at)), pa.float64())], names=schema.names)
 
     return docs.select(*names).mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20  # text handled at once; a longer document is a piece of its own
+PIECE_ROWS = 1000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,19 +68,18 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
     """The rows of a text column in pieces of about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if n == 0:
-        return
-    _, ends, data = column.buffers()
-    offsets = np.frombuffer(ends, dtype=np.int64)[column.offset: column.offset + n + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), n)
-        yield Piece(first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first])
-        first = last
+    for at in range(0, len(column), PIECE_ROWS):
+        part = column.slice(at, PIECE_ROWS).cast(pa.large_string()).fill_null("")
+        n = len(part)
+        _, ends, data = part.buffers()
+        offsets = np.frombuffer(ends, dtype=np.int64)[part.offset: part.offset + n + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < n:
+            last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
+            last = min(max(last, first + 1), n)
+            yield Piece(at + first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first])
+            first = last
 
 
 @dataclass
