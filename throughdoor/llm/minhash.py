@@ -40,7 +40,7 @@ class Settings:
     coordinates: int = 64
     least_equal: int = 38
     order_buckets: int = 1 << 18  # tokens are ordered by the load of their bucket
-    block: int = 256  # members of a long list compared in one cell
+    block: int = 128  # members of a long list compared in one cell
     rounds: int = 2  # of comparing lists with one member each
 
     @property
