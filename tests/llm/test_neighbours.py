@@ -76,3 +76,23 @@ def test_defined_cases(spark):
     got = neighbours.near_duplicates(df).collect()
     check(got, rows)
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_pair_between_two_dense_groups_joins_them(spark):
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.normal(size=(32, 3)))[0].T
+
+    def at(degrees):  # on the arc from the first group's centre to the second's
+        return np.cos(np.radians(degrees)) * axes[0] + np.sin(np.radians(degrees)) * axes[1]
+
+    rows = []
+    for i in range(1000):
+        rows.append((i, (at(0 if i < 500 else 45) + rng.normal(size=32) * 0.012).tolist(), 1))
+    rows += [(1000, at(12).tolist(), 1), (1001, at(33).tolist(), 1)]  # 21 degrees apart, each near its whole group
+    rows += [(1100 + i, (axes[2] + rng.normal(size=32) * 0.012).tolist(), 1) for i in range(100)]  # far from both
+    rows = [(v, np.float32(e).tolist(), l) for v, e, l in rows]
+    links, top = brute(rows)
+    assert {top[v] for v in range(1002)} == {0} and top[1100] == 1100
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, SCHEMA), neighbours.Settings(block=64)).collect()
+    check(got, rows)
+    assert {r["audit_recall"] for r in got} == {1.0}

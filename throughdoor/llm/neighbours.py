@@ -7,10 +7,12 @@ enters the lists it improves. Pairs above the threshold come before all others
 and, among themselves, in random order, so that a full list is a fair sample of
 a dense region.
 
-A list that is full of pairs above the threshold is saturated: it is enlarged
-to its whole component, whose pairs are then counted in blocks. A sample of
-vectors is compared with all others to audit the recall; rounds go on until it
-is reached.
+A list that is full of pairs above the threshold is saturated. Two saturated
+vectors can both have dropped their pair, so those of different components are
+compared exactly, in blocks that are skipped where their centres and radii rule
+a link out. A component with a saturated vector then has all its pairs counted
+in blocks. A sample of vectors is compared with all others to audit the recall;
+rounds go on until it is reached, and the links that result are audited again.
 
 Equal vectors are one node with a count. Vectors of a label are never brought
 together in one task: all groups have a bounded size.
@@ -239,7 +241,7 @@ def saturated(graph: DataFrame, use: Settings) -> DataFrame:
 
 
 def audited(truth: DataFrame, graph: DataFrame, use: Settings) -> float:
-    """Share of the audit pairs that a list has; saturated nodes are judged by their component later."""
+    """Share of the audit pairs that a list has; saturated nodes are judged by the final links."""
     full = saturated(graph, use)
     asked = truth.join(full, truth["a"] == full["node"], "left_anti")
     pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -248,6 +250,88 @@ def audited(truth: DataFrame, graph: DataFrame, use: Settings) -> float:
     return hit / n if n else 1.0
 
 
+def audited_links(truth: DataFrame, links: DataFrame, inside: DataFrame) -> float:
+    """Share of all audit pairs that are a link or lie in one counted component.
+
+    ``inside``: (node, component) of the components whose pairs are all counted.
+    """
+    pairs = truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pairs.join(links.distinct().withColumn("there", F.lit(True)), ["a", "b"], "left")
+    for end in ("a", "b"):
+        found = found.join(inside.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left")
+    there = F.coalesce("there", F.col("ca") == F.col("cb"), F.lit(False))
+    n, hit = found.agg(F.count(F.lit(1)), F.count_if(there)).first()
+    return hit / n if n else 1.0
+
+
+def bridges(shelf: Shelf, members: DataFrame, use: Settings) -> DataFrame:
+    """(a, b): a link for every two components of a space that a link joins, found exactly.
+
+    ``members``: (node, space, codes, component, embedding). They are dealt into
+    blocks by a plane code. Two blocks are compared unless they hold one
+    component alone, or their centres are further apart than both radii and the
+    threshold's angle.
+    """
+    sizes = members.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.least(F.lit(use.planes), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / use.block)))).cast("int")
+    coded_ = members.join(sizes.select("space", bits.alias("bits")), "space").withColumn(
+        "code", F.expr("codes[0] & (shiftleft(1, bits) - 1)"))
+    crowd = coded_.groupBy("space", "code").agg(F.count(F.lit(1)).alias("crowd"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / use.block))
+    at = F.col("code").cast("long") * (1 << 32) + part
+    dealt = shelf.put(coded_.join(crowd, ["space", "code"]).select(
+        "space", at.alias("at"), "node", "component", "embedding"), "dealt")
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            lists = batch.column(4)
+            for a, b in zip(lists.offsets.to_numpy()[:-1].tolist(), lists.offsets.to_numpy()[1:].tolist()):
+                x = np.stack(_unit(lists.values.slice(a, b - a)))
+                centre = x.sum(axis=0)
+                size = np.sqrt(centre @ centre)
+                centre = centre / size if size > 1e-9 else x[0]
+                centres.append(centre.tolist())
+                radii.append(float(np.arccos(np.clip((x @ centre).min(), -1, 1))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(4)] + [pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())],
+                names=["space", "at", "low", "high", "centre", "radius"])
+
+    balls = shelf.put(dealt.groupBy("space", "at").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list("embedding").alias("x")
+    ).mapInArrow(ball, "space string, at long, low long, high long, centre array<double>, radius double"), "balls")
+    one, two = balls.alias("one"), balls.alias("two")
+    cosine = F.expr("aggregate(zip_with(one.centre, two.centre, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    reach = F.col("one.radius") + F.col("two.radius") + float(np.arccos(use.threshold)) + 1e-6
+    alone = F.greatest("one.high", "two.high") == F.least("one.low", "two.low")
+    met = one.join(two, (F.col("one.space") == F.col("two.space")) & (F.col("one.at") <= F.col("two.at"))).where(
+        ~alone & (apart <= reach)).select(F.col("one.space").alias("space"), F.col("one.at").alias("i"), F.col("two.at").alias("j"))
+    sides = met.select("space", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
+    cells = sides.join(dealt, ["space", "at"]).groupBy("space", "i", "j").agg(
+        F.collect_list(F.struct("node", "component", "at", "embedding")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            node, component, at = (flat.field(k).to_numpy() for k in range(3))
+            out = [np.zeros((2, 0), np.int64)]
+            for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                i, j = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                x, own, of = np.stack(_unit(flat.field(3).slice(a, b - a))), node[a:b], component[a:b]
+                p, q = np.flatnonzero(at[a:b] == i), np.flatnonzero(at[a:b] == j)
+                alike = (x[p] @ x[q].T >= use.threshold) & (of[p][:, None] != of[q][None, :])
+                r, s = np.nonzero(alike)
+                ends_of = np.sort(np.stack([of[p[r]], of[q[s]]]), axis=0)
+                first = np.unique(ends_of, axis=1, return_index=True)[1]
+                out.append(np.sort(np.stack([own[p[r[first]]], own[q[s[first]]]]), axis=0))
+            found = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return cells.select("i", "j", "members").mapInArrow(run, "a long, b long")
+
+
 def counted(members: DataFrame, use: Settings) -> DataFrame:
     """(node, links) within components (component, node, embedding, copies), in blocks.
 
@@ -284,22 +368,19 @@ def counted(members: DataFrame, use: Settings) -> DataFrame:
         F.sum("links").alias("links"))
 
 
-def descend(shelf: Shelf, nodes: DataFrame, use: Settings) -> tuple[DataFrame, float]:
-    """The neighbour lists, and the audited recall of pairs above the threshold."""
+def descend(shelf: Shelf, nodes: DataFrame, use: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The neighbour lists, the coded vectors, and the pairs of the audit."""
     search = shelf.put(coded(nodes, use), "search")
     truth = shelf.put(audit_pairs(nodes, use), "audit")
     graph = shelf.put(best_of(meetings(starting(search, use), use), use), "graph")
-    recall = 0.0
     for number in range(use.most_rounds):
         found = meetings(introductions(graph, search, use), use, number + 1)
         better = shelf.put(best_of(graph.select("u", "v", "sim").union(found), use), "graph")
         shelf.clear(graph)
         graph = better
-        if number + 1 >= use.least_rounds:
-            recall = audited(truth, graph, use)
-            if recall >= use.recall:
-                break
-    return graph, recall
+        if number + 1 >= use.least_rounds and audited(truth, graph, use) >= use.recall:
+            break
+    return graph, search, truth
 
 
 def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame:
@@ -310,7 +391,7 @@ def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame
     holds a null or non-finite component, or has no label, links with nothing
     and is its own component; a null vec_id likewise, with a null component.
     Rows that repeat are vectors of their own. ``audit_recall`` is the share of
-    a sample's links, compared with all vectors, that the lists held.
+    a sample's links, compared with all vectors, that the result holds.
     """
     shelf = Shelf(vectors.sparkSession, "neighbours")
     rows = nodes_of(vectors)
@@ -318,12 +399,22 @@ def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame
     nodes = shelf.put(rows.where("usable").groupBy(*key).agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("embedding", "vec_id").alias("embedding")),
         "nodes")
-    graph, recall = descend(shelf, nodes, use)
+    graph, search, truth = descend(shelf, nodes, use)
     links = shelf.put(exact(near_pairs(graph, use), nodes, use), "links")
     label = shelf.put(components(shelf, links), "label")
-
-    dense = label.join(saturated(graph, use), "node").select("component").distinct()
-    inside = label.join(dense, "component").join(nodes.select("node", "embedding", "copies"), "node")
+    full = shelf.put(saturated(graph, use), "saturated")
+    members = full.join(label, "node", "left").join(search.select("node", "space", "codes"), "node").join(
+        nodes.select("node", "embedding"), "node").select(
+        "node", "space", "codes", F.coalesce("component", "node").alias("component"), "embedding")
+    joined = shelf.put(bridges(shelf, members, use), "bridges")
+    if not joined.isEmpty():
+        links = links.union(joined).distinct()
+        label = shelf.put(components(shelf, links), "label")
+
+    dense = shelf.put(label.join(full, "node").select("component").distinct(), "dense")
+    whole = label.join(dense, "component")
+    recall = audited_links(truth, links, whole)
+    inside = whole.join(nodes.select("node", "embedding", "copies"), "node")
     in_blocks = counted(inside, use)
     both = links.union(links.select("b", "a")).toDF("node", "other")
     outside = both.join(label, "node").join(dense, "component", "left_anti")
