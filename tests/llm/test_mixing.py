@@ -72,3 +72,15 @@ def test_draws_do_not_depend_on_partitions_and_long_texts_are_likelier(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     copies = {k: [r["copies"] for r in a if r["source"] == "one" and (r["size"] > 2) == k] for k in (True, False)}
     assert sum(copies[True]) / len(copies[True]) > 2 * sum(copies[False]) / len(copies[False])
+
+
+@pytest.mark.parametrize("long, words", [(1, 40_000), (4, 20_000)])
+def test_very_long_texts_do_not_end_the_draw(spark, long, words):
+    """The rest of the order is used, wherever a text stands that does not fit."""
+    for salt in ("a", "b", "c"):
+        rows = [(i, "one", "w " * (50 + i * 37 % 301)) for i in range(800)]
+        rows += [(10_000 + i, "one", "w " * words) for i in range(long)] + [(9999, "two", "w " * 200_000)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        got = [r for r in mixing.mixed(df, mixing.Settings(weights=(1, 9), share=0.4, salt=salt)).collect() if r["source"] == "one"]
+        taken, target = sum(r["taken"] for r in got), got[0]["target"]
+        assert target - 50 < taken <= target + 0.5
