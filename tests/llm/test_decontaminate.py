@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from throughdoor.llm import decontaminate
@@ -97,3 +98,20 @@ def test_similar_windows_stay_within_the_radius():
         far.append(np.bitwise_count(decontaminate.simhash(own[None], weights[None])
                                     ^ decontaminate.simhash(other[None], weights[None]))[0])
     assert np.mean(np.array(far) <= decontaminate.Settings().radius) > 0.99
+
+
+@pytest.mark.parametrize("extra", [150, 300, 1000, 20000])
+def test_a_long_word_at_an_item_does_not_hide_it(extra):
+    rng = np.random.default_rng(extra)
+    docs, items = [], []
+    for i in range(60):
+        item = [f"w{n}" for n in rng.integers(0, 100_000, 40)]
+        glued = "".join(rng.choice(list("abcdefgh"), extra))
+        items.append((i, " ".join(item)))
+        at = (39, 0, 20)[i % 3]  # glued to the last, the first, or in place of a word within
+        body = item[:at] + [glued if at == 20 else item[at] + glued if at else glued + item[at]] + item[at + 1:]
+        docs.append((i, " ".join(["before"] * 9 + body + ["behind"] * 9)))
+    screen = decontaminate.Screen([i for i, _ in items], [t for _, t in items], decontaminate.Settings())
+    got = [(docs[row][0], screen.ids[item], round(alike, 9))
+           for row, item, *_, alike in screen.hits(pa.array([t for _, t in docs]))]
+    assert len(got) == 60 and sorted(got, key=str) == brute(docs, items)
