@@ -57,3 +57,26 @@ def test_long_pages_are_whole_and_nulls_are_empty(spark):
     assert max(got, key=lambda r: r["n_chars"])["text"].count("\n") == 19999
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extracted(empty).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph {i} of the text, with some words, and a few commas, in it." for i in range(12)]
+CELLS = "".join(f"<tr><td>cell {i}</td><td>{i * 7}</td></tr>" for i in range(120))
+CELL_TEXT = [x for i in range(120) for x in (f"cell {i}", str(i * 7))]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_text_around_a_long_table_or_section_is_kept(tag):
+    table = (f"<h1>Title</h1><p>{PARAGRAPHS[0]}</p><table><thead><tr><th>name</th><th>n</th></tr></thead><tbody>{CELLS}"
+             f"</tbody></table><p>{PARAGRAPHS[1]}</p>")
+    sections = ("<h1>Title</h1><section>" + "".join(f"<p>{p} {p} {p} {p}</p>" for p in PARAGRAPHS)
+                + "</section><section><h4>Note</h4><p>Short one.</p></section><dl><dt>term</dt><dd>meaning</dd></dl>")
+    around = "<html><body><nav><a href=x>menu</a></nav>" + "<{0}>%s</{0}>".format(tag) + "<footer>foot</footer></body></html>"
+    assert main_text(around % table).split("\n") == ["Title", PARAGRAPHS[0], "name", "n", *CELL_TEXT, PARAGRAPHS[1]]
+    assert main_text(around % sections).split("\n") == [
+        "Title", *[f"{p} {p} {p} {p}" for p in PARAGRAPHS], "Note", "Short one.", "term", "meaning"]
+
+
+def test_a_list_of_links_beside_the_text_is_not_kept():
+    page = ("<body><div><a href=a>One link of many</a> <a href=b>another link of many</a></div><div><h2>Head</h2>"
+            + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div></body>")
+    assert main_text(page).split("\n") == ["Head", *PARAGRAPHS]

@@ -3,7 +3,9 @@
 A page is read into a tree of elements, leniently. Every text block (paragraph)
 passes points for its length and commas to its ancestors, fewer with each step;
 a container's points are discounted by the share of its text that is links. The
-best container is kept, with those of its siblings that score like it. Menus,
+article or main element around the best container is kept whole. Beside it, or
+on every level above the best container where there is none, what scores like
+it or is not mostly links is kept. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are cut from the tree before anything is scored.
 """
@@ -217,19 +219,27 @@ def main_text(source: str | None, use: Settings = Settings()) -> str:
             bonus = 25.0 if page.good[node] and points[node] else 0.0
             scores[node] = (points[node] + bonus) * (1 - links[node] / chars[node])
     best = max(range(n), key=lambda k: (scores[k], -k))
-    kept = {best}
-    if best:
-        for node in range(1, n):
-            if page.parent[node] != page.parent[best] or node == best or not chars[node]:
-                continue
-            density, tag = links[node] / chars[node], page.tag[node]
-            paragraph = tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "ul", "ol", "table", "figure")
-            if scores[node] >= max(1.0, use.sibling_share * scores[best]) or (paragraph and density < use.most_links):
-                kept.add(node)
+    score = scores[best]
+    around = [best]  # the best element and those that hold it, the outermost last
+    while around[-1]:
+        around.append(page.parent[around[-1]])
+    whole = next((node for node in around if page.tag[node] in ("article", "main")), None)
+    if whole is not None:
+        around = around[around.index(whole):][:2]
+    kept, above = {around[0]}, set(around[1:])
+    for node in range(1, n):
+        if page.parent[node] not in above or node in above or not chars[node]:
+            continue
+        density, tag = links[node] / chars[node], page.tag[node]
+        text = whole is None or tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "ul", "ol", "table", "figure")
+        if scores[node] >= max(1.0, use.sibling_share * score) or (text and density < use.most_links):
+            kept.add(node)
     inside = [False] * n
     for node in range(n):
         inside[node] = node in kept or (node > 0 and inside[page.parent[node]])
-    return "\n".join(block.text for block in page.blocks if inside[block.node])
+    loose = above if whole is None else set()  # text of their own, in no block inside
+    return "\n".join(block.text for block in page.blocks if inside[block.node] or (
+        block.node in loose and block.links < use.most_links * len(block.text)))
 
 
 def extracted(pages: DataFrame, use: Settings = Settings()) -> DataFrame:
