@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from throughdoor.llm import decontaminate, html, langid, minhash, mixing, neighbours, pii, preferences, tokenstore, toxicity
+from throughdoor.llm import (
+    centroids, decontaminate, html, langid, licenses, minhash, mixing, negatives, neighbours, pii, preferences, tokenstore, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -59,6 +61,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), label=moved)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_neighbours, op4_mixing, op5_html, op6_token_ids, op7_decontamination, op8_preferences, op9_minhash,
-    op10_pii)}
+    op10_pii, op11_licenses, op12_hard_negatives, op13_centroids)}
