@@ -84,14 +84,6 @@ def test_poisson_counts_have_mean_and_variance_one(spark):
     assert abs(mean - 1) < 0.03 and abs(var - 1) < 0.05
 
 
-def test_scenario_seed_is_crc32_based(spark):
-    import zlib
-
-    row = spark.createDataFrame([("risk_hard", 0.1, 3)], "c string, r double, k int").select(
-        draws.scenario_seed(F.col("c"), F.col("r"), F.col("k"), 20260901)).first()
-    assert row[0] == (zlib.crc32(b"risk_hard|0.100000|3") + 20260901) % 2**31
-
-
 def test_field_rules(spark):
     rows = [(" < 1 year ", "13.5%", "945xx", "Dec-2015", " 36 months", "Charged Off"),
             ("10+ years", " 7 % ", "7", "nonsense", "none", "Fully Paid"),

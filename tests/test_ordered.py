@@ -19,10 +19,10 @@ def numbers(spark):
 PROBS = [0.0, 0.01, 0.1, 0.25, 1 / 3, 0.5, 0.77, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("span", [(0.0, 100.0), (40.0, 41.0)])
-def test_quantiles_equal_numpy(numbers, span):
+@pytest.mark.parametrize("task_rows", [1, 7, 100, ordered.TASK_ROWS])
+def test_quantiles_equal_numpy(numbers, task_rows):
     x, key, df = numbers
-    for r in ordered.quantiles(df, ["k"], "x", PROBS, span).collect():
+    for r in ordered.quantiles(df, ["k"], "x", PROBS, task_rows=task_rows).collect():
         assert np.allclose(r["q"], np.quantile(x[key == int(r["k"])], PROBS), atol=1e-12)
 
 
@@ -34,28 +34,67 @@ def test_one_hot_key_and_partition_counts_do_not_change_quantiles(spark, numbers
         got = []
         for n in ("1", "8"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got.append(ordered.quantiles(hot, ["k"], "x", PROBS, (0.0, 100.0)).first()["q"])
+            got.append(ordered.quantiles(hot, ["k"], "x", PROBS, task_rows=50).first()["q"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
 
 
+def test_values_crowded_in_one_place(spark):
+    """Ten million times the same span: most values a thousandth of it apart, one value a third of all rows."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.random(20_000) * 1e-6, np.full(15_000, 5e-7), 1e7 * rng.random(50), -(10.0 ** rng.integers(-300, 300, 50))])
+    df = spark.createDataFrame(spark.sparkContext.parallelize([("a", float(v)) for v in x], 8), "k string, x double")
+    got = ordered.quantiles(df, ["k"], "x", PROBS, task_rows=500).first()["q"]
+    assert np.allclose(got, np.quantile(x, PROBS), rtol=1e-12, atol=0)
+
+
+def test_histograms_and_missing_values(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", None, 5), ("a", 2.0, 1), ("b", None, 4), ("c", 7.0, 10**12)],
+                               "k string, x double, n long")
+    got = {r["k"]: r["q"] for r in ordered.quantiles(df, ["k"], "x", [0.0, 0.5, 1.0], rows="n", task_rows=1).collect()}
+    assert got == {"a": [1.0, 1.0, 2.0], "c": [7.0, 7.0, 7.0]}
+
+
+def test_a_million_scores_in_a_thousandth_of_the_range(spark):
+    """Running totals are dealt by where the scores lie: no range holds more than a few times its share."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), (0.5 + F.col("id") * 1e-9).alias("s"), F.lit(1.0).alias("w"),
+                                 (F.col("id") % 4 == 0).cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run = ordered.cumulate(rows.select("k", "s", "w"), ["k"], "s", ["w"], descending=True)
+        tasks = run.groupBy("k", F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(tasks) >= 4 and max(r["n"] for r in tasks) < n / 2
+        far = run.agg(F.max(F.abs(F.col("w_through") - (F.lit(n) - F.rint((F.col("s") - 0.5) * 1e9)))).alias("e")).first()["e"]
+        assert far == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    got = measures.discrimination(rows, ["k"], "s", "y", "w").first()
+    # every fourth score is bad, the lowest first: it beats one and a half good ones in four less on average
+    y = (np.arange(n) % 4 == 0).astype(float)
+    below = np.cumsum(1 - y)
+    assert got["auc"] == pytest.approx((below * y).sum() / (y.sum() * (1 - y).sum()), abs=1e-9)
+
+
 def test_running_totals_descending(numbers):
     x, key, df = numbers
     hist = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    got = ordered.cumulate(hist, ["k"], "x", ["n"], (0.0, 100.0), descending=True).collect()
+    got = ordered.cumulate(hist, ["k"], "x", ["n"], descending=True).collect()
     for r in got:
         mine = x[key == int(r["k"])]
         assert r["n_through"] == (mine >= r["x"]).sum() and r["n_all"] == len(mine)
 
 
-def test_weighted_quantile_equals_interpolation(spark):
+@pytest.mark.parametrize("task_rows", [1, 20, ordered.TASK_ROWS])
+def test_weighted_quantile_equals_interpolation(spark, task_rows):
     rng = np.random.default_rng(8)
     v, w = rng.random(500), rng.integers(1, 5, 500).astype(float)
     yes = rng.random(500) < 0.4
     df = spark.createDataFrame([(i, "a", float(a), float(b), float(b) if c else 0.0) for i, (a, b, c)
                                 in enumerate(zip(v, w, yes))], "id long, k string, v double, w double, h double")
-    got = ordered.weighted_quantile(df, ["k"], "v", "w", "id", F.col("h"), (0.0, 1.0), "q").first()["q"]
+    got = ordered.weighted_quantile(df, ["k"], "v", "w", "id", F.col("h"), "q", task_rows).first()["q"]
     o = np.argsort(v)
     want = np.interp(w[yes].sum() / w.sum(), np.cumsum(w[o]) / w.sum(), v[o])
     assert abs(got - want) < 1e-12
@@ -89,7 +128,7 @@ def judged(spark):
 
 
 def measured(df, score, weight="one"):
-    return measures.discrimination(df.withColumn("one", F.lit(1.0)), ["k"], score, "y", weight, span=(0.0, 2.0)).first()
+    return measures.discrimination(df.withColumn("one", F.lit(1.0)), ["k"], score, "y", weight).first()
 
 
 def test_auc_is_the_share_of_ordered_pairs(judged):
@@ -113,7 +152,7 @@ def test_scores_that_know_nothing_or_everything(judged):
 def gini_of(spark, y, s):
     df = spark.createDataFrame([("a", float(a), float(b), 1.0) for a, b in zip(y, s)],
                                "k string, y double, s double, w double")
-    return measures.discrimination(df, ["k"], "s", "y", "w", span=(-4.0, 4.0)).first()
+    return measures.discrimination(df, ["k"], "s", "y", "w").first()
 
 
 def test_one_class_gives_the_diagonal(spark):

@@ -1,18 +1,23 @@
 """Weight-of-evidence binning, weight-aware and keyed.
 
-Features are reduced to (value, weight, bad weight) histograms first, so the
-rows are read once and everything later works on bins. The greedy merge sees
-at most 3 * max_bins pre-bins per (key, feature).
+Rows are reduced to totals per (feature, value) first, numeric values and
+category levels in one aggregation, and everything later works on those. A row
+may count in many variants (policies, methods, assumed multiples): each variant
+is a few conditional sums of that one aggregation, and variants become rows only
+afterwards. The greedy merge sees at most 3 * max_bins pre-bins per
+(key, feature).
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import SPANS, BinRules
+from ..config import BinRules
 from ..runtime import localize, materialize
 from .ordered import quantiles
 
@@ -20,32 +25,91 @@ MISSING_LEVEL = "__MISSING__"
 OTHER_LEVEL = "__OTHER__"
 
 
-def _span(feature: str = "feature"):
-    """Slice range per feature, for the ordered passes over several features."""
-    lo = hi = None
-    for name, (a, b) in SPANS.items():
-        hit = F.col(feature) == name
-        lo = F.when(hit, F.lit(a)) if lo is None else lo.when(hit, F.lit(a))
-        hi = F.when(hit, F.lit(b)) if hi is None else hi.when(hit, F.lit(b))
-    return lo.otherwise(F.lit(0.0)), hi.otherwise(F.lit(1.0))
+@dataclass
+class Variant:
+    """One way to count a row: ``n`` times, with weight ``w`` and bad weight ``wy``.
+
+    A row that is not part has 0 in all three. ``tags`` are the variant's own
+    key columns, made of literals and of the rows' keys.
+    """
+
+    n: Column
+    w: Column
+    wy: Column
+    tags: dict
+
+    @classmethod
+    def plain(cls, y: str, w: str) -> Variant:
+        return cls(F.lit(1), F.col(w), F.col(w) * F.col(y), {})
+
+
+def totals(rows: DataFrame, by, numeric, categorical, variants) -> DataFrame:
+    """(by, feature, value, level) with the sums of every variant, from one scan.
+
+    Equal sums of several variants are kept once.
+    """
+    nothing = {"value": F.lit(None).cast("double"), "level": F.lit(None).cast("string")}
+    level = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(MISSING_LEVEL))
+    each = [{**nothing, "value": F.col(f).cast("double"), "feature": F.lit(f)} for f in numeric]
+    each += [{**nothing, "level": level(f), "feature": F.lit(f)} for f in categorical]
+    at = F.explode(F.array(*[F.struct(*[c[k].alias(k) for k in ("feature", "value", "level")]) for c in each]))
+    sums, _ = _sums(variants)
+    long = rows.select(*by, *[c.alias(k) for k, c in sums.items()], at.alias("at"))
+    return long.groupBy(*by, *[F.col(f"at.{k}").alias(k) for k in ("feature", "value", "level")]).agg(
+        *[F.sum(k).alias(k) for k in sums])
+
+
+def _sums(variants) -> tuple[dict, list]:
+    """Distinct summands by name, and each variant's three names."""
+    names, sums, used = {}, {}, []
+    for v in variants:
+        mine = []
+        for c in (v.n, v.w, v.wy):
+            name = names.setdefault(str(c), f"_t{len(names)}")
+            sums[name] = c.cast("double")
+            mine.append(name)
+        used.append(mine)
+    return sums, used
+
+
+def by_variant(found: DataFrame, keys, variants) -> DataFrame:
+    """``totals`` with a row per variant that has rows there."""
+    _, used = _sums(variants)
+    each = F.explode(F.array(*[F.struct(
+        *[c.alias(k) for k, c in v.tags.items()], F.col(n).cast("bigint").alias("n_rows"),
+        F.col(w).alias("sw"), F.col(y).alias("swy")) for v, (n, w, y) in zip(variants, used)]))
+    tags = list(variants[0].tags)
+    rest = ["feature", "value", "level"]
+    out = found.select(*[k for k in keys if k not in tags], *rest, each.alias("v"))
+    return out.select(*[F.col(f"v.{k}") if k in tags else F.col(k) for k in keys], *rest,
+                      "v.n_rows", "v.sw", "v.swy").where("n_rows > 0")
+
+
+def counted(rows: DataFrame, keys, keep, variants) -> DataFrame:
+    """Rows times the variants they count in: (keys, keep, w, wy). Never written."""
+    tags = list(variants[0].tags)
+    each = [F.struct(*[c.alias(k) for k, c in v.tags.items()], v.w.cast("double").alias("w"),
+                     v.wy.cast("double").alias("wy")) for v in variants]
+    own = [k for k in keys if k not in tags]
+    if len(each) == 1:
+        out = rows.select(*own, *keep, each[0].alias("v"))
+    else:
+        out = rows.select(*own, *keep, F.explode(F.filter(F.array(*each), lambda v: v["w"] > 0)).alias("v"))
+    return out.where("v.w > 0").select(
+        *[F.col(f"v.{k}") if k in tags else F.col(k) for k in keys], *keep, "v.w", "v.wy")
 
 
 def value_histogram(rows: DataFrame, keys, numeric, y: str, w: str) -> DataFrame:
     """(keys, feature, value) -> row count, weight and bad weight."""
-    each = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-        for f in numeric])).alias("fv")
-    long = rows.select(*keys, F.col(w).alias("w"), (F.col(w) * F.col(y)).alias("wy"), each)
-    return long.groupBy(*keys, F.col("fv.feature").alias("feature"),
-                        F.col("fv.value").alias("value")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("sw"), F.sum("wy").alias("swy"))
+    one = [Variant.plain(y, w)]
+    return by_variant(totals(rows, keys, numeric, [], one), keys, one).drop("level")
 
 
 def pre_bins(hist: DataFrame, keys, spec: BinRules) -> DataFrame:
     """Pre-bin totals between distinct quantile cuts; bin -1 holds the missing."""
     by = [*keys, "feature"]
     probs = [k * (1.0 / (3 * spec.most)) for k in range(1, 3 * spec.most)]
-    cuts = quantiles(hist, by, "value", probs, _span(), rows="n_rows")
+    cuts = quantiles(hist, by, "value", probs, rows="n_rows")
     cuts = localize(cuts.select(*by, F.array_distinct("q").alias("cuts")), "cuts")
     return to_bins(hist, cuts, by, len(probs))
 
@@ -168,19 +232,22 @@ def _short(edge: str, unbounded: str):
 
 def category_bins(rows: DataFrame, keys, feature: str, y: str, w: str, spec: BinRules) -> DataFrame:
     """Levels with little weight pooled; nulls are a level of their own."""
-    level = F.coalesce(F.col(feature).cast("string"), F.lit(MISSING_LEVEL))
-    by_level = rows.groupBy(*keys, level.alias("level")).agg(
-        F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(y)).alias("swy"))
-    by_level = materialize(by_level, "levels")
-    total = localize(by_level.groupBy(*keys).agg(F.sum("sw").alias("all_w")), "level-weight")
+    one = [Variant.plain(y, w)]
+    return level_bins(materialize(by_variant(totals(rows, keys, [], [feature], one), keys, one), "levels"), keys, spec)
+
+
+def level_bins(by_level: DataFrame, keys, spec: BinRules) -> DataFrame:
+    """Bins of all categorical features from (keys, feature, level, sw, swy)."""
+    by = [*keys, "feature"]
+    total = localize(by_level.groupBy(*by).agg(F.sum("sw").alias("all_w")), "level-weight")
     rare = F.col("sw") / F.col("all_w") < F.lit(spec.rare_share)
-    pooled = (by_level.join(total, list(keys))
+    pooled = (by_level.join(total, by)
               .withColumn("level", F.when(rare, F.lit(OTHER_LEVEL)).otherwise(F.col("level")))
-              .groupBy(*keys, "level").agg(F.sum("sw").alias("n"), F.sum("swy").alias("bad")))
-    # every kept level holds rare_cat_frac of the weight, so this window is short
-    order = Window.partitionBy(*keys).orderBy("level")
+              .groupBy(*by, "level").agg(F.sum("sw").alias("n"), F.sum("swy").alias("bad")))
+    # every kept level holds rare_share of the weight, so this window is short
+    order = Window.partitionBy(*by).orderBy("level")
     return pooled.select(
-        *keys, F.lit(feature).alias("feature"), F.lit("categorical").alias("kind"),
+        *by, F.lit("categorical").alias("kind"),
         (F.row_number().over(order) - 1).cast("int").alias("bin_no"), F.col("level").alias("label"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
         F.col("level").alias("category"), F.lit(False).alias("is_missing"), "n", "bad")
@@ -204,11 +271,25 @@ def weigh(bins: DataFrame, keys, spec: BinRules) -> DataFrame:
 def fit_bins(rows: DataFrame, keys, numeric, categorical, y: str = "bad", w: str = "w",
              spec: BinRules = BinRules()) -> DataFrame:
     """The bins table: one row per (keys, feature, bin)."""
+    return variant_bins(rows, keys, keys, numeric, categorical, [Variant.plain(y, w)], spec)
+
+
+def variant_bins(rows: DataFrame, by, keys, numeric, categorical, variants, spec: BinRules = BinRules(),
+                 only: DataFrame | None = None) -> DataFrame:
+    """The bins tables of all variants, from one scan of ``rows``.
+
+    ``by`` are key columns of the rows, ``keys`` those of the result: some of
+    ``by`` and the variants' tags. ``only`` has the key values to fit.
+    """
+    found = materialize(totals(rows, by, numeric, categorical, variants), "totals")
+    each = by_variant(found, keys, variants)
+    if only is not None:
+        each = each.join(only, only.columns, "left_semi")
     parts = []
     if numeric:
-        hist = materialize(value_histogram(rows, keys, numeric, y, w), "values")
-        parts.append(numeric_bins(hist, keys, spec))
-    parts += [category_bins(rows, keys, f, y, w, spec) for f in categorical]
+        parts.append(numeric_bins(each.where(F.col("feature").isin(*numeric)).drop("level"), keys, spec))
+    if categorical:
+        parts.append(level_bins(each.where(F.col("feature").isin(*categorical)), keys, spec))
     bins = parts[0]
     for p in parts[1:]:
         bins = bins.unionByName(p)

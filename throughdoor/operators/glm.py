@@ -21,9 +21,9 @@ MAX_ROUNDS = 40
 MOST_KEYS = 10_000
 
 
-def cells(rows: DataFrame, keys, xs, y: str, w: str) -> DataFrame:
-    return materialize(rows.groupBy(*keys, *xs).agg(
-        F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(y)).alias("swy")), "cells")
+def cells(rows: DataFrame, keys, xs, w: str, wy: str) -> DataFrame:
+    """Weight and bad weight per design vector."""
+    return materialize(rows.groupBy(*keys, *xs).agg(F.sum(w).alias("sw"), F.sum(wy).alias("swy")), "cells")
 
 
 def _totals(cell: DataFrame, coefs: DataFrame, keys, xs):

@@ -1,11 +1,15 @@
 """Four ways to infer outcomes of declined applicants.
 
-Each method takes a ``Context`` and returns a labelled view of everyone through
-the door, a scorecard over it, the implied bad rates and its diagnostics. All
-of it is keyed: one portfolio or a grid of backtest scenarios.
+A method takes a ``Context`` and returns a ``View``: how each row of everyone
+through the door counts once its outcome is inferred (times, weight, bad
+weight), the implied bad rates and its diagnostics. Views of all methods, and
+of all assumed multiples of the bad rate, are conditional sums over the same
+scored rows: one aggregation bins them all, a second one collapses them to
+cells. Everything is keyed: one portfolio or a grid of backtest scenarios.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -20,6 +24,8 @@ from . import binning, measures, scorecard, selection
 from .ordered import quantiles
 
 METHOD_COLUMN = "method"
+SCALE_COLUMN = "reject_bad_scale"
+SELECTION = "heckman"
 NEGLIGIBLE = 1e-9
 
 
@@ -28,21 +34,26 @@ class Context:
     """What a method may see: outcomes of accepted rows, none of declined ones.
 
     ``accepted`` and ``declined`` hold (keys, row_id, features, design_w) and
-    accepted rows ``bad``. ``scale`` is the assumed multiple of the accepted
-    bad rate; a key column may carry it.
+    accepted rows ``bad``; or ``both`` holds all of them with ``s`` (1 accepted,
+    0 declined) and ``bad`` null where declined. Two tables are scored and
+    written once; ``both`` may be a fan-out that is cheaper to compute than to
+    write, and only what is aggregated from it is written. ``multiples`` are
+    the assumed bad rates of declines over those of approvals, one or many; with
+    many, results have them as ``SCALE_COLUMN``.
     """
 
-    accepted: DataFrame
-    declined: DataFrame
+    accepted: DataFrame | None
+    declined: DataFrame | None
     baseline: scorecard.Scorecards
     keys: list
     spec: Audit = Audit()
     numeric: list = field(default_factory=lambda: list(NUMERIC))
     categorical: list = field(default_factory=lambda: list(CATEGORICAL))
     salt: Column | None = None
-    scale: Column | None = None
+    multiples: tuple | None = None
     exclusion: list = field(default_factory=list)
     row_id: str = "app_id"
+    both: DataFrame | None = None
     # fits that a caller already holds for these keys
     propensity: scorecard.Scorecards | None = None
     selection_bins: DataFrame | None = None
@@ -53,30 +64,58 @@ class Context:
         return self.numeric + self.categorical
 
     @property
-    def multiple(self) -> Column:
-        return F.lit(self.spec.labelling.decline_multiple) if self.scale is None else self.scale
+    def scales(self) -> list:
+        """The multiples, and the columns that name them."""
+        if self.multiples is None:
+            return [(float(self.spec.labelling.decline_multiple), {})]
+        return [(float(m), {SCALE_COLUMN: F.lit(float(m))}) for m in self.multiples]
+
+    @property
+    def result_keys(self) -> list:
+        return [*self.keys, *self.scales[0][1]]
+
+    def stacked(self, *extra: str) -> DataFrame:
+        """Both sides: keys, row_id, features, ``extra``, design_w, bad, s."""
+        cols = [*self.keys, self.row_id, *self.features, *extra, "design_w"]
+        if self.both is not None:
+            return self.both.select(*cols, "bad", "s")
+        a = self.accepted.select(*cols, F.col("bad").cast("double").alias("bad"), F.lit(1).alias("s"))
+        return a.unionByName(self.declined.select(*cols, F.lit(None).cast("double").alias("bad"), F.lit(0).alias("s")))
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Both sides with the baseline PD, written once for every method."""
-        cols = [*self.keys, self.row_id, *self.features, "design_w"]
-        a = self.accepted.select(*cols, F.col("bad").cast("double").alias("bad"),
-                                 F.lit(1).alias("s"), self._salt().alias("salt"))
-        d = self.declined.select(*cols, F.lit(None).cast("double").alias("bad"),
-                                 F.lit(0).alias("s"), self._salt().alias("salt"))
-        return materialize(self.baseline.score(a.unionByName(d)), "scored")
+        """Both sides with the baseline PD."""
+        if self.both is not None:
+            return self.baseline.score(self.both)
+        salt = F.lit(str(self.spec.seed)) if self.salt is None else self.salt
+        return materialize(self.baseline.score(self.stacked().withColumn("salt", salt)), "scored")
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        """``scored``, with the approval probability where a fit for it is at hand."""
+        return self.propensity.score(self.scored, "propensity") if self.propensity else self.scored
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Rows, weight and squared weight per side, outcome and scores.
+
+        Bounded by the bins of the scorecards, however many rows there are. All
+        rates, bands and caps of the methods come from here.
+        """
+        by = [*self.keys, "s", "bad", "pd", *(["propensity"] if self.propensity else [])]
+        return materialize(self.rated.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("design_w").alias("w"),
+            F.sum(F.col("design_w") * F.col("design_w")).alias("w2")), "score-cells")
 
     @cached_property
     def sides(self) -> DataFrame:
-        """Rows, weight and observed bad rate of each side, one row per key."""
+        """Weight and observed bad rate of each side, one row per key."""
         acc, dec = F.col("s") == 1, F.col("s") == 0
-        return localize(self.scored.groupBy(*self.keys).agg(
-            F.sum(F.when(acc, F.col("design_w"))).alias("wa"),
-            F.coalesce(F.sum(F.when(dec, F.col("design_w"))), F.lit(0.0)).alias("wr"),
-            F.avg(F.when(acc, F.col("bad"))).alias("obs")), "sides")
-
-    def _salt(self):
-        return F.lit(str(self.spec.seed)) if self.salt is None else self.salt
+        return localize(self.cells.groupBy(*self.keys).agg(
+            F.sum(F.when(acc, F.col("w"))).alias("wa"),
+            F.coalesce(F.sum(F.when(dec, F.col("w"))), F.lit(0.0)).alias("wr"),
+            F.try_divide(F.sum(F.when(acc, F.col("n") * F.col("bad"))), F.sum(F.when(acc, F.col("n")))).alias("obs")),
+            "sides")
 
     def through_door(self, rejected: DataFrame) -> DataFrame:
         """Add the through-the-door rate to (keys, est_reject_bad_rate)."""
@@ -88,16 +127,41 @@ class Context:
 
 @dataclass
 class View:
-    """A method's labelled rows (keys, features, bad, w) and its estimates."""
+    """How a method counts everyone through the door, and what it estimates.
+
+    ``extend`` adds the columns it needs to the rated rows; ``counts`` are
+    variants over those, one per multiple. ``diagnostics`` may have fewer keys
+    than ``estimates``.
+    """
 
     name: str
-    rows: DataFrame
+    ctx: Context
+    extend: Callable[[DataFrame], DataFrame]
+    counts: list
     estimates: DataFrame
     diagnostics: DataFrame
 
+    @property
+    def rows(self) -> DataFrame:
+        """Labelled rows (keys, features, bad, w), at the first multiple."""
+        v, cols = self.counts[0], [*self.ctx.keys, *self.ctx.features]
+        both = F.array(F.struct(F.lit(1.0).alias("bad"), v.wy.alias("w")),
+                       F.struct(F.lit(0.0).alias("bad"), (v.w - v.wy).alias("w")))
+        got = self.extend(self.ctx.rated).select(*cols, F.explode(both).alias("t"))
+        return got.select(*cols, "t.bad", "t.w").where(F.col("w") > NEGLIGIBLE)
+
+
+def _per_scale(found: DataFrame, ctx: Context, names) -> DataFrame:
+    """(keys, ``<name><i>`` of every multiple i) -> a row per multiple."""
+    each = F.explode(F.array(*[
+        F.struct(*[c.alias(k) for k, c in tag.items()], *[F.col(f"{x}{i}").alias(x) for x in names])
+        for i, (_, tag) in enumerate(ctx.scales)])).alias("v")
+    return found.select(*ctx.keys, each).select(*ctx.keys, "v.*")
 
-def _row_columns(ctx):
-    return [*ctx.keys, *ctx.features]
+
+def _of_rows(column: str) -> Column:
+    """Mean over the rows of cells."""
+    return F.sum(F.col("n") * F.col(column)) / F.sum("n")
 
 
 def score_bands(ctx: Context) -> DataFrame:
@@ -107,12 +171,11 @@ def score_bands(ctx: Context) -> DataFrame:
     takes the overall rate.
     """
     n = ctx.spec.labelling.bands
-    acc = ctx.scored.where("s = 1")
-    edges = quantiles(acc, ctx.keys, "pd", [k * (1.0 / n) for k in range(1, n)], (0.0, 1.0))
+    acc = ctx.cells.where("s = 1")
+    edges = quantiles(acc, ctx.keys, "pd", [k * (1.0 / n) for k in range(1, n)], rows="n")
     edges = localize(edges.select(*ctx.keys, F.array_distinct("q").alias("edges")), "band-edges")
     banded = acc.join(edges, ctx.keys).withColumn("band", band_index("pd", "edges", n - 1))
-    stats = banded.groupBy(*ctx.keys, "band").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("bad").alias("own"))
+    stats = banded.groupBy(*ctx.keys, "band").agg(_of_rows("bad").alias("own"), F.sum("n").alias("n"))
     rate = F.when(F.col("n") >= ctx.spec.labelling.band_rows, F.col("own")).otherwise(F.col("obs"))
     return stats.join(ctx.sides, ctx.keys).join(edges, ctx.keys).select(
         *ctx.keys, "band", "n", rate.alias("band_rate"), "obs", "edges")
@@ -129,82 +192,113 @@ def parcelling(ctx: Context) -> View:
     table = localize(bands.groupBy(*ctx.keys).agg(
         F.first("edges").alias("edges"), F.first("obs").alias("overall"),
         F.map_from_entries(F.collect_list(F.struct("band", "band_rate"))).alias("rates")), "bands")
-    dec = ctx.scored.where("s = 0").join(table, [*ctx.keys])
-    band = band_index("pd", "edges", n - 1)
-    rate = F.coalesce(F.try_element_at("rates", band), F.col("overall"))
-    target = F.least(F.lit(1.0), ctx.multiple * rate)
-    u = uniform(ctx.row_id, F.concat(F.lit("parcel:"), F.col("salt")))
-    drawn = dec.select(*_row_columns(ctx), "design_w", (u < target).cast("double").alias("bad"))
-    rows = (ctx.scored.where("s = 1").select(*_row_columns(ctx), "bad", F.col("design_w").alias("w"))
-            .unionByName(drawn.withColumnRenamed("design_w", "w")))
-    rejected = localize(drawn.groupBy(*ctx.keys).agg(F.avg("bad").alias("est_reject_bad_rate")),
-                        "parcelled")
+    held = table.select(*ctx.keys, F.col("edges").alias("_edges"), F.col("overall").alias("_overall"),
+                        F.col("rates").alias("_rates"))
+
+    def extend(rows):
+        banded = rows.join(held, ctx.keys)
+        rate = F.coalesce(F.try_element_at("_rates", band_index("pd", "_edges", n - 1)), F.col("_overall"))
+        u = uniform(ctx.row_id, F.concat(F.lit("parcel:"), F.col("salt")))
+        # a decline's own draw, over what its band says
+        return banded.withColumn("_band_rate", F.when(F.col("s") == 0, rate)).withColumn(
+            "_draw", F.when(F.col("s") == 0, u)).drop("_edges", "_overall", "_rates")
+
+    def label(m):
+        return (F.col("_draw") < F.least(F.lit(1.0), m * F.col("_band_rate"))).cast("double")
+
+    w = F.col("design_w")
+    counts = [binning.Variant(F.lit(1), w, w * F.when(F.col("s") == 1, F.col("bad")).otherwise(label(m)), tag)
+              for m, tag in ctx.scales]
+    drawn = extend(ctx.rated).where("s = 0").groupBy(*ctx.keys).agg(*[
+        F.avg(label(m)).alias(f"est_reject_bad_rate{i}") for i, (m, _) in enumerate(ctx.scales)])
+    rejected = localize(_per_scale(drawn, ctx, ["est_reject_bad_rate"]), "parcelled")
     extra = table.select(*ctx.keys, (F.size("edges") + 1).alias("n_bands"),
                          F.to_json("rates").alias("band_rates"))
-    return View("parcelling", rows, ctx.through_door(rejected), extra)
+    return View("parcelling", ctx, extend, counts, ctx.through_door(rejected), extra)
 
 
 def fuzzy(ctx: Context) -> View:
     """Enter each decline twice, as bad with weight p and good with 1 - p."""
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ctx.multiple * F.col("pd")))
-    both = F.array(
-        F.struct(F.lit(1.0).alias("bad"), (F.col("design_w") * scaled).alias("w")),
-        F.struct(F.lit(0.0).alias("bad"), (F.col("design_w") * (1.0 - scaled)).alias("w")))
-    known = F.array(F.struct(F.col("bad"), F.col("design_w").alias("w")))
-    rows = (ctx.scored.select(*_row_columns(ctx),
-                              F.explode(F.when(F.col("s") == 1, known).otherwise(both)).alias("t"))
-            .select(*_row_columns(ctx), "t.bad", "t.w").where(F.col("w") > NEGLIGIBLE))
-    stats = localize(ctx.scored.where("s = 0").groupBy(*ctx.keys).agg(
-        F.avg(scaled).alias("est_reject_bad_rate"), F.avg("pd").alias("mean_raw_pd_rejects"),
-        F.avg((ctx.multiple * F.col("pd") > 1.0).cast("double")).alias("frac_pd_clipped_at_1")),
-        "fuzzy")
-    return View("fuzzy", rows, ctx.through_door(stats.select(*ctx.keys, "est_reject_bad_rate")),
-                stats.drop("est_reject_bad_rate"))
+    w, seen = F.col("design_w"), F.col("s") == 1
+
+    def chance(m):
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), m * F.col("pd")))
+
+    def entry(m, tag):
+        bad, good = w * chance(m), w * (1.0 - chance(m))
+        times = (bad > NEGLIGIBLE).cast("int") + (good > NEGLIGIBLE).cast("int")
+        as_bad, as_good = (F.when(x > NEGLIGIBLE, x).otherwise(0.0) for x in (bad, good))
+        return binning.Variant(F.when(seen, F.lit(1)).otherwise(times), F.when(seen, w).otherwise(as_bad + as_good),
+                               F.when(seen, w * F.col("bad")).otherwise(as_bad), tag)
+
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    stats = ctx.cells.where("s = 0").groupBy(*ctx.keys).agg(
+        mean(F.col("pd")).alias("mean_raw_pd_rejects"),
+        *[mean(chance(m)).alias(f"est_reject_bad_rate{i}") for i, (m, _) in enumerate(ctx.scales)],
+        *[mean((m * F.col("pd") > 1.0).cast("double")).alias(f"frac_pd_clipped_at_1{i}")
+          for i, (m, _) in enumerate(ctx.scales)])
+    stats = localize(stats, "fuzzy")
+    rejected = _per_scale(stats, ctx, ["est_reject_bad_rate"])
+    clipped = _per_scale(stats, ctx, ["frac_pd_clipped_at_1"])
+    return View("fuzzy", ctx, lambda rows: rows, [entry(m, tag) for m, tag in ctx.scales], ctx.through_door(rejected),
+                stats.select(*ctx.keys, "mean_raw_pd_rejects").join(clipped, ctx.keys))
 
 
 def propensity_card(ctx: Context) -> scorecard.Scorecards:
     return scorecard.fit(
-        ctx.scored.select(*_row_columns(ctx), F.col("s").cast("double").alias("y"), "design_w"),
+        ctx.scored.select(*ctx.keys, *ctx.features, F.col("s").cast("double").alias("y"), "design_w"),
         ctx.keys, ctx.numeric, ctx.categorical, "y", "design_w", ctx.spec.bins, ctx.spec.fit)
 
 
-def inverse_weights(accepted: DataFrame, keys, p: str, spec) -> DataFrame:
+def inverse_weights(accepted: DataFrame, keys, p: str, spec, rows: str | None = None) -> DataFrame:
     """Accepted rows with raw and capped inverse-propensity weights.
 
-    The cap is the exact ``weight_cap_pctl`` percentile of the raw weights.
+    The cap is the exact ``weight_percentile`` percentile of the raw weights;
+    ``rows`` names the row counts of cells.
     """
-    low = F.lit(spec.least_approval)
-    held = accepted.withColumn("p", F.greatest(low, F.least(F.lit(1.0), F.col(p))))
-    held = held.withColumn("raw_w", F.lit(1.0) / F.col("p"))
-    # weights pile up near 1, so they are sliced by -p, which spreads evenly
-    cap = quantiles(held, keys, "raw_w", [spec.weight_percentile / 100.0], (-1.0, 0.0), place=-F.col("p"))
+    held = accepted.withColumn("p", _approval(p, spec)).withColumn("raw_w", F.lit(1.0) / F.col("p"))
+    cap = quantiles(held, keys, "raw_w", [spec.weight_percentile / 100.0], rows=rows)
     cap = localize(cap.select(*keys, F.get("q", F.lit(0)).alias("cap")), "weight-cap")
     return held.join(cap, list(keys)).withColumn(
         "w", F.least(F.col("raw_w"), F.col("cap")) * F.col("design_w"))
 
 
+def _approval(p: str, spec) -> Column:
+    return F.greatest(F.lit(spec.least_approval), F.least(F.lit(1.0), F.col(p)))
+
+
 def ipw(ctx: Context) -> View:
     """Weight accepted rows by the inverse of their approval probability."""
-    card = ctx.propensity or propensity_card(ctx)
-    acc = materialize(card.score(ctx.scored.where("s = 1").drop("pd"), "propensity"), "propensity")
-    weighted = materialize(
-        inverse_weights(acc, ctx.keys, "propensity", ctx.spec.labelling).select(
-            *_row_columns(ctx), "bad", "w", "p", "raw_w", "cap"), "ipw")
-    auc = measures.discrimination_of_totals(card.training_scores(), ctx.keys, "pd")
-    stats = localize(weighted.groupBy(*ctx.keys).agg(
+    rules = ctx.spec.labelling
+    acc = ctx.cells.where("s = 1").withColumnRenamed("w", "design_w")
+    acc = materialize(inverse_weights(acc, ctx.keys, "propensity", rules, rows="n"), "ipw-cells")
+    auc = measures.discrimination_of_totals(ctx.propensity.training_scores(), ctx.keys, "pd")
+    used = F.col("w") > 0
+    # a cell's rows share one weight but for their design weights
+    squares = F.sum(F.when(used, F.pow(F.least("raw_w", "cap"), F.lit(2.0)) * F.col("w2")))
+    stats = localize(acc.groupBy(*ctx.keys).agg(
         measures.weighted_mean(F.col("bad"), F.col("w")).alias("est_ttd_bad_rate"),
-        F.avg("p").alias("mean_propensity_accepted"), F.min("p").alias("min_propensity_accepted"),
-        F.avg((F.col("raw_w") > F.col("cap")).cast("double")).alias("frac_weights_capped"),
-        (measures.effective_sample_size(F.col("w")) / F.count(F.lit(1))).alias("ess_ratio")
+        _of_rows("p").alias("mean_propensity_accepted"), F.min("p").alias("min_propensity_accepted"),
+        (F.sum(F.when(F.col("raw_w") > F.col("cap"), F.col("n")).otherwise(0)) / F.sum("n")).alias("frac_weights_capped"),
+        (F.coalesce(F.try_divide(F.pow(F.sum(F.when(used, F.col("w"))), F.lit(2.0)), squares), F.lit(0.0))
+         / F.sum("n")).alias("ess_ratio"), F.max("cap").alias("cap")
     ).join(auc.select(*ctx.keys, F.col("auc").alias("propensity_auc")), ctx.keys), "ipw-stats")
     share = F.col("wa") / (F.col("wa") + F.col("wr"))
     implied = ((F.col("est_ttd_bad_rate") - share * F.col("obs"))
                / F.greatest(1.0 - share, F.lit(1e-9)))
+    named = [tag[SCALE_COLUMN] for _, tag in ctx.scales if tag]
+    multiple = [F.explode(F.array(*named)).alias(SCALE_COLUMN)] if named else []
     estimates = stats.join(ctx.sides, ctx.keys).select(
-        *ctx.keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), implied)).alias("est_reject_bad_rate"),
+        *ctx.keys, *multiple,
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), implied)).alias("est_reject_bad_rate"),
         "est_ttd_bad_rate", F.col("obs").alias("accepted_bad_rate"))
-    return View("ipw", weighted.select(*_row_columns(ctx), "bad", "w"), estimates,
-                stats.drop("est_ttd_bad_rate"))
+    caps = stats.select(*ctx.keys, F.col("cap").alias("_cap"))
+    seen = F.col("s") == 1
+    capped = F.least(F.lit(1.0) / _approval("propensity", rules), F.col("_cap")) * F.col("design_w")
+    counts = [binning.Variant(seen.cast("int"), F.when(seen, capped).otherwise(0.0),
+                              F.when(seen, capped * F.col("bad")).otherwise(0.0), tag) for _, tag in ctx.scales]
+    return View("ipw", ctx, lambda rows: rows.join(caps, ctx.keys), counts, estimates,
+                stats.drop("est_ttd_bad_rate", "cap"))
 
 
 @dataclass
@@ -239,22 +333,17 @@ def heckman(ctx: Context) -> SelectionResult:
     """Selection model; variables in ``ctx.exclusion`` enter approval only."""
     keys, feats, spec = ctx.keys, ctx.features, ctx.spec
     extra = [c for c in ctx.exclusion if c not in feats]
-    cols = [*keys, ctx.row_id, *feats, *extra, "design_w"]
-    acc = ctx.accepted.select(*cols, F.col("bad").cast("double").alias("bad"),
-                              F.lit(1.0).alias("s"))
-    dec = ctx.declined.select(*cols, F.lit(None).cast("double").alias("bad"),
-                              F.lit(0.0).alias("s"))
-    both = acc.unionByName(dec)
-    size = localize(both.groupBy(*keys).agg(
-        (F.count(F.lit(1)) / F.sum("design_w")).alias("unit")), "mean-weight")
-    both = both.join(size, keys).withColumn("unit_w", F.col("design_w") * F.col("unit")).drop("unit")
+    both = ctx.stacked(*extra).withColumn("s", F.col("s").cast("double"))
     sel_num = ctx.numeric + [c for c in extra if c not in ctx.categorical]
     sel_bins = None if extra else ctx.selection_bins
     if sel_bins is None:
-        sel_bins = binning.fit_bins(both, keys, sel_num, ctx.categorical, "s", "unit_w", spec.bins)
+        size = localize(both.groupBy(*keys).agg(
+            (F.count(F.lit(1)) / F.sum("design_w")).alias("unit")), "mean-weight")
+        unit = both.join(size, keys).withColumn("unit_w", F.col("design_w") * F.col("unit"))
+        sel_bins = binning.fit_bins(unit, keys, sel_num, ctx.categorical, "s", "unit_w", spec.bins)
     out_bins = ctx.outcome_bins
     if out_bins is None:
-        out_bins = binning.fit_bins(acc.withColumn("one", F.lit(1.0)), keys, ctx.numeric,
+        out_bins = binning.fit_bins(both.where("s = 1").withColumn("one", F.lit(1.0)), keys, ctx.numeric,
                                     ctx.categorical, "bad", "one", spec.bins)
     top = spec.bins.most
     sel_look = localize(binning.lookup_row(sel_bins, keys, sel_num, ctx.categorical), "sel-lookup")
@@ -295,15 +384,26 @@ def heckman(ctx: Context) -> SelectionResult:
                            selection.diagnostics(fit), view, lookup, top)
 
 
-# Methods that label rows; the selection model works on cells instead.
-LABELLING = {"parcelling": parcelling, "fuzzy": fuzzy, "ipw": ipw}
+# Methods that label rows, by name; the selection model works on cells instead.
+LABELLING: dict[str, Callable[[Context], View]] = {}
+
+
+def register(name: str, method: Callable[[Context], View]) -> None:
+    """Make a method of your own known to ``infer`` and the backtest."""
+    if name == SELECTION:
+        raise ValueError(f"{name} is the selection model")
+    LABELLING[name] = method
+
+
+for _name, _method in (("parcelling", parcelling), ("fuzzy", fuzzy), ("ipw", ipw)):
+    register(_name, _method)
 
 
 @dataclass
 class Inferred:
     """All requested methods of a context, fitted together."""
 
-    keys: list
+    keys: list  # with SCALE_COLUMN if there are many multiples
     views: dict
     cards: scorecard.Scorecards | None
     selection: SelectionResult | None
@@ -315,8 +415,8 @@ class Inferred:
             parts += [v.estimates.withColumn(METHOD_COLUMN, F.lit(n)) for n, v in self.views.items()]
             claims.append(self.cards.training_scores())
         if self.selection:
-            parts.append(self.selection.estimates.withColumn(METHOD_COLUMN, F.lit("heckman")))
-            claims.append(self.selection.view_scores.withColumn(METHOD_COLUMN, F.lit("heckman")))
+            parts.append(self.selection.estimates.withColumn(METHOD_COLUMN, F.lit(SELECTION)))
+            claims.append(self.selection.view_scores.withColumn(METHOD_COLUMN, F.lit(SELECTION)))
         by = [*self.keys, METHOD_COLUMN]
         rates, scores = parts[0], claims[0]
         for more in parts[1:]:
@@ -333,23 +433,30 @@ class Inferred:
         if self.cards:
             parts.append(self.cards.score(rows))
         if self.selection:
-            parts.append(self.selection.score(rows).withColumn(METHOD_COLUMN, F.lit("heckman")))
+            parts.append(self.selection.score(rows).withColumn(METHOD_COLUMN, F.lit(SELECTION)))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def infer(ctx: Context, methods=("parcelling", "fuzzy", "ipw", "heckman")) -> Inferred:
-    """Run the methods; labelled views share one keyed scorecard fit."""
-    views = {n: LABELLING[n](ctx) for n in methods if n in LABELLING}
+    """Run the methods; their views share one binning and one keyed scorecard fit."""
+    unknown = [n for n in methods if n not in LABELLING and n != SELECTION]
+    if unknown:
+        raise ValueError(f"unknown methods {unknown}; known are {[*LABELLING, SELECTION]}")
+    if SELECTION in methods and ctx.multiples is not None:
+        raise ValueError("the selection model assumes no multiple of the bad rate")
+    if "ipw" in methods and ctx.propensity is None:
+        ctx = replace(ctx, propensity=propensity_card(ctx))
+    views = {n: LABELLING[n](ctx) for n in methods if n != SELECTION}
     cards = None
     if views:
-        rows = None
-        for name, v in views.items():
-            part = v.rows.select(*_row_columns(ctx), "bad", "w", F.lit(name).alias(METHOD_COLUMN))
-            rows = part if rows is None else rows.unionByName(part)
-        cards = scorecard.fit(rows, [*ctx.keys, METHOD_COLUMN], ctx.numeric, ctx.categorical,
-                              "bad", "w", ctx.spec.bins, ctx.spec.fit)
-    chosen = heckman(ctx) if "heckman" in methods else None
-    return Inferred(list(ctx.keys), views, cards, chosen)
+        rows, counts = ctx.rated, []
+        for name, view in views.items():
+            rows = view.extend(rows)
+            counts += [replace(v, tags={**v.tags, METHOD_COLUMN: F.lit(name)}) for v in view.counts]
+        cards = scorecard.fit_variants(rows, ctx.keys, [*ctx.result_keys, METHOD_COLUMN], ctx.numeric, ctx.categorical,
+                                       counts, ctx.spec.bins, ctx.spec.fit)
+    chosen = heckman(ctx) if SELECTION in methods else None
+    return Inferred(ctx.result_keys, views, cards, chosen)
 
 
 def with_exclusion(ctx: Context, columns=("app_year",)) -> SelectionResult:

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from .ordered import cumulate
 
-UNIT = (0.0, 1.0)
-
 
 def weighted_mean(x: Column, w: Column) -> Column:
     """Weighted mean over rows where both are present; null without weight."""
@@ -22,23 +20,23 @@ def effective_sample_size(w: Column) -> Column:
     return F.coalesce(F.try_divide(F.pow(F.sum(pos), F.lit(2.0)), F.sum(pos * pos)), F.lit(0.0))
 
 
-def _by_score(df, keys, score, y, w, span):
+def _by_score(df, keys, score, y, w):
     df = df.where(F.col(y).isNotNull() & F.col(score).isNotNull() & (F.col(w) > 0))
     tp, fp = F.col(w) * F.col(y), F.col(w) * (F.lit(1.0) - F.col(y))
-    return _running(df.select(*keys, score, tp.alias("tp"), fp.alias("fp")), keys, score, span)
+    return _running(df.select(*keys, score, tp.alias("tp"), fp.alias("fp")), keys, score)
 
 
-def _running(df, keys, score, span):
+def _running(df, keys, score):
     at = df.groupBy(*keys, score).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    return cumulate(at, keys, score, ["tp", "fp"], span, descending=True)
+    return cumulate(at, keys, score, ["tp", "fp"], descending=True)
 
 
-def roc_points(df: DataFrame, keys, score: str, y: str, w: str, span=UNIT) -> DataFrame:
+def roc_points(df: DataFrame, keys, score: str, y: str, w: str) -> DataFrame:
     """ROC corners per key, higher score = worse, ties collapsed.
 
     With only one class present the curve is the diagonal (0,0)-(1,1).
     """
-    run = _by_score(df, keys, score, y, w, span)
+    run = _by_score(df, keys, score, y, w)
     both = (F.col("tp_all") > 0) & (F.col("fp_all") > 0)
     curve = run.where(both).select(
         *keys, F.col(score).cast("double").alias("threshold"),
@@ -52,14 +50,14 @@ def roc_points(df: DataFrame, keys, score: str, y: str, w: str, span=UNIT) -> Da
     return curve.unionByName(origin)
 
 
-def discrimination(df: DataFrame, keys, score: str, y: str, w: str, span=UNIT) -> DataFrame:
+def discrimination(df: DataFrame, keys, score: str, y: str, w: str) -> DataFrame:
     """AUC, Gini and KS per key; 0.5 / 0 / 0 when only one class is present."""
-    return _areas(_by_score(df, keys, score, y, w, span), keys)
+    return _areas(_by_score(df, keys, score, y, w), keys)
 
 
-def discrimination_of_totals(df: DataFrame, keys, score: str, span=UNIT) -> DataFrame:
+def discrimination_of_totals(df: DataFrame, keys, score: str) -> DataFrame:
     """As ``discrimination``, from bad and good weight (``tp``, ``fp``) per score."""
-    return _areas(_running(df, keys, score, span), keys)
+    return _areas(_running(df, keys, score), keys)
 
 
 def _areas(run, keys):
@@ -74,13 +72,13 @@ def _areas(run, keys):
                       F.when(two, F.col("gap")).otherwise(0.0).alias("ks"))
 
 
-def metric_bundle(df: DataFrame, keys, score: str, y: str, w: str, span=UNIT) -> DataFrame:
+def metric_bundle(df: DataFrame, keys, score: str, y: str, w: str) -> DataFrame:
     """AUC, Gini, KS, bad rate and row counts (all rows, and rows used)."""
     used = F.col(y).isNotNull() & F.col(score).isNotNull() & (F.col(w) > 0)
     rest = df.groupBy(*keys).agg(
         weighted_mean(F.col(y), F.col(w)).alias("bad_rate"),
         F.count(F.lit(1)).alias("n"), F.sum(used.cast("bigint")).alias("n_used"))
-    return rest.join(discrimination(df, keys, score, y, w, span), list(keys), "left")
+    return rest.join(discrimination(df, keys, score, y, w), list(keys), "left")
 
 
 def histogram(df: DataFrame, keys, value: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import SCORE_WINDOW, Masking, ScaleCheck
+from ..config import Masking, ScaleCheck
 from ..functions.draws import uniform
 from ..runtime import localize, materialize, small_table
 from . import sampling
@@ -69,7 +69,7 @@ def policies(ranked: DataFrame, grid: list, spec: Masking) -> DataFrame:
         F.count(F.lit(1)).alias("n")), "score-values")
     scen = small_table(spark, grid, GRID)
     rates = sorted({g[2] for g in grid})
-    cuts = quantiles(hist, ["replicate"], "score", rates, SCORE_WINDOW, rows="n")
+    cuts = quantiles(hist, ["replicate"], "score", rates, rows="n")
     place = F.create_map(*[x for i, r in enumerate(rates) for x in (F.lit(r), F.lit(i))])
     shape = hist.groupBy("replicate").agg(
         F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
@@ -131,19 +131,44 @@ def soft_intercepts(hist: DataFrame, base: DataFrame, slope: float) -> DataFrame
     return small_table(spark, [(k, v[2]) for k, v in state.items()], out)
 
 
-def apply_policies(pool: DataFrame, grid: list, spec: Masking, seed: int,
-                   row_id: str = "app_id") -> DataFrame:
-    """Pool rows per scenario with ``accepted`` as the policy decides."""
+def slots_of(grid: list) -> list:
+    """The policies of a grid, the same for every replicate: (cutoff, rate) in order."""
+    return sorted({(c, r) for _, c, r, _ in grid})
+
+
+def decide(pool: DataFrame, grid: list, spec: Masking, seed: int, row_id: str = "app_id") -> tuple[DataFrame, DataFrame]:
+    """Pool rows with ``seen``, one flag per slot, and (scenario, ..., replicate, slot).
+
+    A row stays one row whatever the number of policies. The flag is null for a
+    slot that the grid does not have in the row's replicate.
+    """
     ranked = _ranked_score(pool)
-    table = policies(ranked, grid, spec)
-    u = uniform(row_id, F.concat(F.lit(f"mask:{seed}:"), F.col("scenario")))
-    fanned = ranked.join(table, "replicate").withColumn("_u", u)
-    s, t, u = F.col("rank_score"), F.col("threshold"), F.col("_u")
-    z = (s - F.col("mean")) / F.col("sd")
-    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + F.lit(spec.slope) * z)))
-    kind = F.col("cutoff_type")
-    approved = (F.when(kind == "random", u >= F.col("rejection_rate"))
-                .when(kind == "risk_hard", ~((s < t) | ((s == t) & (u < F.col("tie_share")))))
+    slots = {s: i for i, s in enumerate(slots_of(grid))}
+    schema = T.StructType(GRID.fields + [T.StructField("slot", T.IntegerType())])
+    places = small_table(pool.sparkSession, [(*g, slots[g[1], g[2]]) for g in grid], schema)
+    table = policies(ranked, grid, spec).join(places.select("scenario", "slot"), "scenario")
+    rule = F.struct("scenario", "cutoff_type", "rejection_rate", "threshold", "tie_share", "mean", "sd", "intercept")
+    rules = localize(table.groupBy("replicate").agg(F.array(*[
+        F.max(F.when(F.col("slot") == i, rule)) for i in range(len(slots))]).alias("_rules")), "rules")
+    s = F.col("rank_score")
+
+    def approved(p):
+        u = uniform(row_id, F.concat(F.lit(f"mask:{seed}:"), p["scenario"]))
+        z = (s - p["mean"]) / p["sd"]
+        chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(p["intercept"] + F.lit(spec.slope) * z)))
+        kind, t = p["cutoff_type"], p["threshold"]
+        return (F.when(kind == "random", u >= p["rejection_rate"])
+                .when(kind == "risk_hard", ~((s < t) | ((s == t) & (u < p["tie_share"]))))
                 .when(kind == "risk_soft", u < chance))
-    return fanned.select("scenario", "cutoff_type", "rejection_rate",
-                         *pool.columns, approved.alias("accepted_here"))
+
+    decided = ranked.join(rules, "replicate").select(*pool.columns, F.transform("_rules", approved).alias("seen"))
+    return decided, places
+
+
+def apply_policies(pool: DataFrame, grid: list, spec: Masking, seed: int,
+                   row_id: str = "app_id") -> DataFrame:
+    """Pool rows times scenarios with ``accepted_here`` as the policy decides."""
+    decided, places = decide(pool, grid, spec, seed, row_id)
+    each = decided.select(*pool.columns, F.posexplode("seen").alias("slot", "accepted_here"))
+    return each.join(places, ["replicate", "slot"]).select(
+        "scenario", "cutoff_type", "rejection_rate", *pool.columns, "accepted_here")

@@ -117,7 +117,7 @@ def unscored_by_year(declined: DataFrame) -> DataFrame:
 
 def overlap_share(accepted: DataFrame, declined: DataFrame, span) -> DataFrame:
     """Share of declines scoring at or above the accepted 1st percentile."""
-    floor = localize(quantiles(accepted, [KEY], "risk_score", [0.01], span), "floor")
+    floor = localize(quantiles(accepted, [KEY], "risk_score", [0.01]), "floor")
     low = F.get("q", F.lit(0))
     return (declined.join(floor, KEY).groupBy(KEY)
             .agg(F.max(low).alias("accepted_score_p01"),

@@ -40,7 +40,7 @@ def dispersion(residuals: DataFrame, keys, spec: RegionRules = RegionRules()) ->
         F.sum((F.abs(z) > spec.flag_at).cast("bigint")).alias("n_flagged"),
         F.max("excess_rate_pp").alias("max_excess_decline_pp"),
         F.min("excess_rate_pp").alias("min_excess_decline_pp"))
-    ends = quantiles(residuals, keys, "excess_rate_pp", [0.25, 0.75], (-100.0, 100.0))
+    ends = quantiles(residuals, keys, "excess_rate_pp", [0.25, 0.75])
     chance = 2.0 * normal_cdf(F.lit(-spec.flag_at)) * F.col("n_zip3")
     return (got.join(ends, list(keys))
             .withColumn("chi2_df", F.col("n_zip3"))

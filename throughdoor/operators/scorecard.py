@@ -105,15 +105,24 @@ def points(log_odds_bad, scaling: PointRules = PointRules()):
 def fit(rows: DataFrame, keys, numeric, categorical, y: str = "bad", w: str = "w",
         spec: BinRules = BinRules(), rules: FitRules = FitRules()) -> Scorecards:
     """Fit one scorecard per key on rows with a known outcome and weight."""
-    keys, numeric, categorical = list(keys), list(numeric), list(categorical)
     used = rows.where(F.col(y).isNotNull() & (F.col(w) > 0))
-    bins = binning.fit_bins(used, keys, numeric, categorical, y, w, spec)
+    return fit_variants(used, keys, keys, numeric, categorical, [binning.Variant.plain(y, w)], spec, rules)
+
+
+def fit_variants(rows: DataFrame, by, keys, numeric, categorical, variants, spec: BinRules = BinRules(),
+                 rules: FitRules = FitRules(), only: DataFrame | None = None) -> Scorecards:
+    """Fit one scorecard per key and variant; rows are scanned twice, whatever the variants.
+
+    Arguments as in ``binning.variant_bins``.
+    """
+    keys, numeric, categorical = list(keys), list(numeric), list(categorical)
+    bins = binning.variant_bins(rows, by, keys, numeric, categorical, variants, spec, only)
     look = localize(binning.lookup_row(bins, keys, numeric, categorical), "lookup")
     xs = [f"{f}__woe" for f in numeric + categorical]
+    used = binning.counted(rows, keys, numeric + categorical, variants)
     coded = used.join(look, keys).select(
-        *[used[k] for k in keys], used[y].alias("y"), used[w].alias("w"),
-        *binning.woe_columns(numeric, categorical, spec.most))
-    cell = glm.cells(coded, keys, xs, "y", "w")
+        *[used[k] for k in keys], "w", "wy", *binning.woe_columns(numeric, categorical, spec.most))
+    cell = glm.cells(coded, keys, xs, "w", "wy")
     coefs = glm.fit_logits(cell, keys, xs, rules.inverse_penalty)
     return Scorecards(keys, numeric, categorical, bins, coefs,
                       localize(look.join(coefs, keys), "scorecards"), spec.most, cell)

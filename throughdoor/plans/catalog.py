@@ -235,8 +235,7 @@ def stack_population(f):
 @query
 def interval_lookup(f):
     rows = f.terminal.withColumn(KEY, F.lit("all")).select(KEY, "app_id", "dti")
-    edges = localize(ordered.quantiles(rows, KEYS, "dti", [0.1, 0.25, 0.5, 0.75, 0.9], DTI_WINDOW,
-                                       name="edges"), "edges")
+    edges = localize(ordered.quantiles(rows, KEYS, "dti", [0.1, 0.25, 0.5, 0.75, 0.9], name="edges"), "edges")
     got = rows.join(edges, KEYS).where("dti IS NOT NULL")
     return tidy(got.select("app_id", "dti", binning.bin_index("dti", "edges", 6).alias("band")))
 
@@ -274,8 +273,8 @@ def linear_quantiles(f):
     rows = f.terminal.select("accepted", "dti", "risk_score", "amount_requested")
     probs = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
     parts = None
-    for name, span in (("dti", DTI_WINDOW), ("risk_score", SCORE_WINDOW), ("amount_requested", AMOUNT_WINDOW)):
-        q = ordered.quantiles(rows, ["accepted"], name, probs, span)
+    for name in ("dti", "risk_score", "amount_requested"):
+        q = ordered.quantiles(rows, ["accepted"], name, probs)
         pairs = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("q").alias("v")))
         one = q.select(F.lit(name).alias("field"), pairs.alias("t")).select("field", "t.p", "t.v")
         parts = one if parts is None else parts.unionByName(one)
@@ -323,7 +322,7 @@ def metric_bundle(f):
 def weighted_quantile(f):
     share = F.when(F.col("accepted") == 1, F.col("design_w")).otherwise(F.lit(0.0))
     return tidy(ordered.weighted_quantile(f.proxy_applicants, ["method"], "pd", "design_w", "app_id",
-                                          share, (0.0, 1.0), "cutoff"))
+                                          share, "cutoff"))
 
 
 # --- weight of evidence ------------------------------------------------------------

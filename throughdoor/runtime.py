@@ -5,14 +5,21 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g"):
-    """A session for tests and the benchmark; clusters bring their own."""
+    """A session for tests and the benchmark; clusters bring their own.
+
+    It gets a folder for intermediates unless the machine's defaults name one.
+    """
+    builder = SparkSession.builder
+    if not SparkConf().get("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="throughdoor-"))
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("throughdoor")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,18 +32,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediates, as the cluster names it.
-
-    Only a local session without the setting gets a folder of its own.
-    """
+    """The shared folder for intermediates, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="throughdoor-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        raise RuntimeError("build the session with spark.checkpoint.dir, a folder that all executors share")
+    return named.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
