@@ -1,10 +1,11 @@
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from throughdoor.config import NO_CORRECTION, Audit, CashRules, Masking, RegionRules, Resampling, Sampling
-from throughdoor.operators import backtest, economics, policy, population
+from throughdoor.config import NO_CORRECTION, Audit, CashRules, Masking, RegionRules, Resampling, Sampling, ScaleCheck
+from throughdoor.operators import backtest, binning, economics, inference, policy, population
 from throughdoor.plans.audit import run_audit
 from throughdoor.plans.frames import frames
 from throughdoor.sources import applications
@@ -162,3 +163,50 @@ def test_ranking_and_summary(rows):
     assert one["bad_rate_bias_sd"] == pytest.approx(0.00129099, abs=1e-6)
     best = backtest.rank_methods(s, ("risk_hard",)).orderBy("mean_abs_bad_rate_bias").first()
     assert best["method"] == "ipw"
+
+
+def test_methods_are_found_by_name(spark):
+    f = frames(spark, SF)
+    with pytest.raises(ValueError, match="unknown methods"):
+        inference.infer(f.context, ("fuzzy", "guess"))
+
+    def optimist(ctx):
+        """Every decline is good."""
+        seen, w = F.col("s") == 1, F.col("design_w")
+        count = binning.Variant(F.lit(1), w, F.when(seen, w * F.col("bad")).otherwise(0.0), {})
+        rejected = ctx.cells.where("s = 0").groupBy(*ctx.keys).agg(F.lit(0.0).alias("est_reject_bad_rate"))
+        return inference.View("optimist", ctx, lambda rows: rows, [count], ctx.through_door(rejected), rejected.limit(0))
+
+    inference.register("optimist", optimist)
+    try:
+        got = {r["method"]: r for r in inference.infer(f.context, ("fuzzy", "optimist")).estimates().collect()}
+    finally:
+        del inference.LABELLING["optimist"]
+    assert got["optimist"]["est_ttd_bad_rate"] < got["fuzzy"]["est_ttd_bad_rate"] and got["optimist"]["est_reject_bad_rate"] == 0
+    with pytest.raises(ValueError):
+        inference.register("heckman", optimist)
+
+
+def test_nothing_written_grows_with_rows_times_scenarios(spark):
+    """The masked pool has a row per row and replicate, whatever the number of policies; decisions are those of the fan-out."""
+    f = frames(spark, SF)
+    spec = Audit(masking=Masking(fit_approved=100, fit_declined=30, replicates=2, rates=(0.3, 0.5)))
+    grid = policy.scenario_grid(spec.masking)
+    m = backtest.mask(f.terminal, spec, grid)
+    assert m.pool.count() == 2 * f.terminal.count() and len(m.slots) == 6
+    assert m.rows.count() == f.terminal.count() * m.facts.count()
+    pool = policy.draw_pools(f.terminal.select("app_id", "risk_score", "bad"), spec.masking, spec.seed, 2)
+    fanned = policy.apply_policies(pool, grid, spec.masking, spec.seed).where("NOT is_eval").groupBy("scenario").agg(
+        F.count_if("accepted_here").alias("n")).collect()
+    facts = {r["scenario"]: r["n_accepted"] for r in m.all_facts().collect()}
+    assert {r["scenario"]: r["n"] for r in fanned} == facts
+
+
+def test_a_skipped_group_of_the_scale_check_has_its_counts(spark):
+    f = frames(spark, SF)
+    spec = Audit(masking=Masking(fit_approved=250, fit_declined=30, rates=(0.3,), replicates=2),
+                 scale_check=ScaleCheck(multiples=(1.0, 2.0), policies=("random",), replicates=2))
+    got = backtest.scale_sensitivity(f.terminal, replace(spec, masking=replace(spec.masking, fit_approved=10**6)))
+    assert {(r["method"], r["reject_bad_scale"], r["n_fitted"], r["n_skipped"], r["abs_bad_rate_bias"]) for r in got.collect()} == {
+        (m, x, 0, 2, None) for m in ("parcelling", "fuzzy") for x in (1.0, 2.0)}
+    assert {r["n_fitted"] for r in backtest.scale_sensitivity(f.terminal, spec).collect()} == {2}

@@ -85,3 +85,32 @@ def test_column_likelihood_equals_the_batch_sums(spark):
     df = frame(spark, {"a": (x1, x2, z, s, y)}).select("s", "y", h.alias("h"), v.alias("v"))
     got = df.agg(F.sum(selection.loglik_column(F.col("h"), F.col("v"), F.col("s"), F.col("y"), F.lit(0.2)))).first()[0]
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_few_passes_and_the_same_top_from_any_start(spark):
+    """Twelve passes at most, also where long first steps have to be cut; several points of a key share one."""
+    rows = frame(spark, {"a": draw(6000, 0.5, 11), "b": draw(4000, -0.3, 12)}).selectExpr(
+        "k", "x1 AS z1", "x2 AS z2", "z AS z3", "x1", "x2", "s", "y", "w")
+    zs, xs = ["z1", "z2", "z3"], ["x1", "x2"]
+    cells = selection.selection_cells(rows, ["k"], zs, xs)
+    plain = selection.fit_selection(cells, ["k"], zs, xs)
+    near = selection.fit_selection(cells, ["k"], zs, xs, {("a",): [*GAMMA, *BETA, 0.0], ("b",): [*GAMMA, *BETA, 0.0]})
+    far = selection.fit_selection(cells, ["k"], zs, xs, {("a",): [3.0, 4.0, -4.0, -3.0, 3.0, -3.0, 3.0, 0.0]})
+    assert near.passes <= plain.passes <= 12
+    want = {r["k"]: r for r in plain.params.collect()}
+    for got in (near, far):
+        for r in got.params.collect():
+            assert r["converged"]
+            for c in ("rho", "loglik", "loglik_restricted", "se_rho"):
+                assert r[c] == pytest.approx(want[r["k"]][c], abs=1e-6)
+
+
+def test_points_of_a_key_are_totalled_apart(spark):
+    x1, x2, z, s, y = draw(500, 0.2, 3)
+    cell = frame(spark, {"a": (x1, x2, z, s, y)}).selectExpr("0 AS kid", "x1 AS z1", "x2 AS z2", "z AS z3", "x1", "x2", "s", "y", "w")
+    one = np.ones(500)
+    points = [np.array([*GAMMA, *BETA, a]) for a in (0.0, 0.3, -0.7)]
+    got = selection.likelihood_totals(cell.repartition(3), ["z1", "z2", "z3"], ["x1", "x2"], {0: points}, {0: 2.0})[0]
+    for theta, sums_ in zip(points, got):
+        want = selection.batch_sums(np.column_stack([one, x1, x2, z]), np.column_stack([one, x1, x2]), s, y, 2 * one, theta)
+        assert np.allclose(sums_, want, rtol=1e-9)

@@ -94,7 +94,7 @@ def counted(rows: DataFrame, keys, keep, variants) -> DataFrame:
     if len(each) == 1:
         out = rows.select(*own, *keep, each[0].alias("v"))
     else:
-        out = rows.select(*own, *keep, F.explode(F.filter(F.array(*each), lambda v: v["w"] > 0)).alias("v"))
+        out = rows.select(*own, *keep, F.explode(F.array(*each)).alias("v"))
     return out.where("v.w > 0").select(
         *[F.col(f"v.{k}") if k in tags else F.col(k) for k in keys], *keep, "v.w", "v.wy")
 
@@ -281,10 +281,10 @@ def variant_bins(rows: DataFrame, by, keys, numeric, categorical, variants, spec
     ``by`` are key columns of the rows, ``keys`` those of the result: some of
     ``by`` and the variants' tags. ``only`` has the key values to fit.
     """
-    found = materialize(totals(rows, by, numeric, categorical, variants), "totals")
-    each = by_variant(found, keys, variants)
+    each = by_variant(totals(rows, by, numeric, categorical, variants), keys, variants)
     if only is not None:
         each = each.join(only, only.columns, "left_semi")
+    each = materialize(each, "totals")
     parts = []
     if numeric:
         parts.append(numeric_bins(each.where(F.col("feature").isin(*numeric)).drop("level"), keys, spec))

@@ -95,6 +95,13 @@ class Context:
         """``scored``, with the approval probability where a fit for it is at hand."""
         return self.propensity.score(self.scored, "propensity") if self.propensity else self.scored
 
+    @cached_property
+    def designs(self) -> DataFrame | None:
+        """Cells of equal design vectors in both equations, if these have the bins of the scores at hand."""
+        if self.exclusion or None in (self.propensity, self.selection_bins, self.outcome_bins):
+            return None
+        return design_cells(self, self.stacked(), self.numeric, self.propensity.lookup, self.baseline.lookup)
+
     @cached_property
     def cells(self) -> DataFrame:
         """Rows, weight and squared weight per side, outcome and scores.
@@ -102,6 +109,13 @@ class Context:
         Bounded by the bins of the scorecards, however many rows there are. All
         rates, bands and caps of the methods come from here.
         """
+        if self.designs is not None:
+            at = self.designs.join(self.baseline.coefs.select(*self.keys, F.col("beta").alias("_b")), self.keys).join(
+                self.propensity.coefs.select(*self.keys, F.col("beta").alias("_g")), self.keys)
+            pd, approval = (scorecard.probability(selection.linear(beta, [f"{x}__{f}" for f in self.features]))
+                            for beta, x in (("_b", "x"), ("_g", "z")))
+            return at.select(*self.keys, F.col("s").cast("int").alias("s"), F.when(F.col("s") > 0.5, F.col("y")).alias("bad"),
+                             pd.alias("pd"), approval.alias("propensity"), "n", "w", "w2")
         by = [*self.keys, "s", "bad", "pd", *(["propensity"] if self.propensity else [])]
         return materialize(self.rated.groupBy(*by).agg(
             F.count(F.lit(1)).alias("n"), F.sum("design_w").alias("w"),
@@ -209,7 +223,7 @@ def parcelling(ctx: Context) -> View:
     w = F.col("design_w")
     counts = [binning.Variant(F.lit(1), w, w * F.when(F.col("s") == 1, F.col("bad")).otherwise(label(m)), tag)
               for m, tag in ctx.scales]
-    drawn = extend(ctx.rated).where("s = 0").groupBy(*ctx.keys).agg(*[
+    drawn = extend(ctx.scored).where("s = 0").groupBy(*ctx.keys).agg(*[
         F.avg(label(m)).alias(f"est_reject_bad_rate{i}") for i, (m, _) in enumerate(ctx.scales)])
     rejected = localize(_per_scale(drawn, ctx, ["est_reject_bad_rate"]), "parcelled")
     extra = table.select(*ctx.keys, (F.size("edges") + 1).alias("n_bands"),
@@ -329,6 +343,33 @@ class SelectionResult:
         return got.select(*keep, *extra, scorecard.settled(N.normal_cdf(F.col("_v"))).alias(pd_name))
 
 
+def design_cells(ctx: Context, both: DataFrame, sel_num, sel_look, out_look) -> DataFrame:
+    """Cells (keys, z__*, x__*, s, y) of the rows' weights of evidence in the two equations."""
+    keys, top = ctx.keys, ctx.spec.bins.most
+    zs = [f"z__{f}" for f in sel_num + ctx.categorical]
+    xs = [f"x__{f}" for f in ctx.features]
+    z_cols = [c.alias(z) for c, z in zip(binning.woe_columns(sel_num, ctx.categorical, top), zs)]
+    x_cols = [c.alias(x) for c, x in zip(binning.woe_columns(ctx.numeric, ctx.categorical, top), xs)]
+    coded = both.join(sel_look, keys).select(*[both[c] for c in both.columns], *z_cols)
+    coded = coded.join(out_look, keys).select(
+        *[coded[c] for c in keys], *zs, *x_cols, F.col("s").cast("double").alias("s"),
+        F.coalesce("bad", F.lit(0.0)).alias("y"), F.col("design_w").alias("w"))
+    return selection.selection_cells(coded, keys, zs, xs)
+
+
+def probit_starts(ctx: Context, sel_num) -> dict:
+    """Parameters near the two probit equations, from logistic fits at hand (a probit's are about 1.7 times smaller)."""
+    keys, out = ctx.keys, {}
+    fits = [(ctx.propensity, [*sel_num, *ctx.categorical]), (ctx.baseline, ctx.features)]
+    for at, (card, names) in enumerate(fits):
+        rows = card.coefs.select(*keys, "beta").collect() if card else []
+        for r in rows:
+            known = dict(zip(["intercept", *card.features], r["beta"]))
+            out.setdefault(tuple(r[k] for k in keys), [None, None])[at] = [
+                known.get(n, 0.0) / 1.702 for n in ["intercept", *names]]
+    return {k: [*g, *b, 0.0] for k, (g, b) in out.items() if g and b}
+
+
 def heckman(ctx: Context) -> SelectionResult:
     """Selection model; variables in ``ctx.exclusion`` enter approval only."""
     keys, feats, spec = ctx.keys, ctx.features, ctx.spec
@@ -350,14 +391,10 @@ def heckman(ctx: Context) -> SelectionResult:
     out_look = localize(binning.lookup_row(out_bins, keys, ctx.numeric, ctx.categorical), "out-lookup")
     zs = [f"z__{f}" for f in sel_num + ctx.categorical]
     xs = [f"x__{f}" for f in feats]
-    z_cols = [c.alias(z) for c, z in zip(binning.woe_columns(sel_num, ctx.categorical, top), zs)]
-    x_cols = [c.alias(x) for c, x in zip(binning.woe_columns(ctx.numeric, ctx.categorical, top), xs)]
-    coded = both.join(sel_look, keys).select(*[both[c] for c in both.columns], *z_cols)
-    coded = coded.join(out_look, keys).select(
-        *[coded[c] for c in keys], *zs, *x_cols, "s",
-        F.coalesce("bad", F.lit(0.0)).alias("y"), F.col("design_w").alias("w"))
-    cells = selection.selection_cells(coded, keys, zs, xs)
-    fit = selection.fit_selection(cells, keys, zs, xs)
+    cells = ctx.designs
+    if cells is None:
+        cells = design_cells(ctx, both, sel_num, sel_look, out_look)
+    fit = selection.fit_selection(cells, keys, zs, xs, probit_starts(ctx, sel_num))
 
     at = cells.join(fit.params.select(*keys, "gamma", "beta", "rho"), keys)
     at = (at.withColumn("h", selection.linear("gamma", zs))

@@ -115,21 +115,22 @@ def quantiles(df: DataFrame, keys, value: str, probs, rows: str | None = None, n
     facts = seen.groupBy(*keys).agg(F.sum("amount").alias("amount_all"), F.count(F.lit(1)).alias("size"))
     # a rank that misses an integer by float noise is that integer
     ranks = [f"floor({float(p)!r}D * (amount_all - 1) + 1e-9D)" for p in probs]
+    facts = facts.withColumn("ranks", F.expr(f"array({', '.join(ranks)})"))
 
     def ranks_below(x):
-        return " + ".join(f"int({r} < {x})" for r in ranks)
+        return " + ".join(f"int(get(ranks, {i}) < {x})" for i in range(len(probs)))
 
     # pieces that hold a wanted rank or the one above it, found by counting ranks
     kept = _narrowed(seen, keys, f"{ranks_below('upto')} > {ranks_below('before - 1')}", facts, task_rows)
     near = seen.join(kept, keys).where(_within())
     piece = [*keys, "lo", "hi"]
     inside = Window.partitionBy(*piece).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = (near.groupBy(*piece, "before", "amount_all", "v").agg(F.sum("amount").alias("n"))
+    run = (near.groupBy(*piece, "before", "amount_all", "ranks", "v").agg(F.sum("amount").alias("n"))
            .withColumn("n_through", F.col("before") + F.sum("n").over(inside)))
     run = run.where(f"{ranks_below('n_through')} > {ranks_below('n_through - n - 1')}")
     asked = ", ".join(
-        f"struct({i} AS i, {r} AS r, greatest(0D, {float(p)!r}D * (amount_all - 1) - {r}) AS part)"
-        for i, (p, r) in enumerate(zip(probs, ranks)))
+        f"struct({i} AS i, get(ranks, {i}) AS r, greatest(0D, {float(p)!r}D * (amount_all - 1) - get(ranks, {i})) AS part)"
+        for i, p in enumerate(probs))
     hit = run.select(*keys, "v", F.expr("n_through - n").alias("a"),
                      F.col("n_through").alias("b"), F.explode(F.expr(
                          f"filter(array({asked}), s -> n_through - n <= s.r + 1 AND s.r < n_through)"

@@ -17,6 +17,10 @@ def settled(pd):
     return F.rint(pd * F.lit(1e12)) / F.lit(1e12)
 
 
+def probability(eta):
+    return settled(F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)))
+
+
 @dataclass
 class Scorecards:
     """Fitted scorecards of all keys: bins, coefficients, one lookup row each."""
@@ -50,7 +54,7 @@ class Scorecards:
         for i, f in enumerate(self.features, 1):
             eta = eta + F.get("beta", F.lit(i)) * F.col(f"{f}__woe")
         return self.cells.join(self.coefs, self.keys).select(
-            *self.keys, settled(F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).alias("pd"),
+            *self.keys, probability(eta).alias("pd"),
             F.col("swy").alias("tp"), (F.col("sw") - F.col("swy")).alias("fp"))
 
     def score(self, rows: DataFrame, pd_name: str = "pd", keep=None, logit: str | None = None):
@@ -68,7 +72,7 @@ class Scorecards:
         out = [F.col(c) for c in keep + extra]
         if logit:
             out.append(F.col("_eta").alias(logit))
-        return got.select(*out, settled(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_eta")))).alias(pd_name))
+        return got.select(*out, probability(F.col("_eta")).alias(pd_name))
 
     def terms(self) -> DataFrame:
         names = F.array(*[F.lit(x) for x in ["intercept", *self.features]])

@@ -1,11 +1,13 @@
 """Probit outcome model with selection, by full maximum likelihood.
 
 Approval and default are a bivariate probit; default is seen for approved rows
-only. Rows collapse to cells (keys, design vectors, approved, bad). Keys whose
-cells were counted and are few are solved one key per task. Otherwise every
-Newton round is one pass over the cells of all keys: tasks return partial sums
-of log-likelihood, gradient and Hessian, the driver solves one small system
-per key.
+only. Rows collapse to cells (keys, design vectors, approved, bad). Every pass
+over the cells of all keys takes a table of parameter points, one or several
+per key: tasks return partial sums of log-likelihood, gradient and Hessian per
+(key, point), and the driver solves one small system per key. A key asks for one
+point while its Newton steps rise, and for eight shorter steps at once where one
+does not. The restricted model settles in a few passes from logistic starts,
+and the full one sets out from it while other keys are still on their way.
 """
 from __future__ import annotations
 
@@ -22,7 +24,9 @@ from ..functions import normal as N
 from ..runtime import materialize, small_table
 
 ATANH_BOUND = 4.0
-MAX_ROUNDS = 80
+MAX_PASSES = 40
+SHORTER = [0.5**i for i in range(1, 9)]
+SETTLED = 1e-13  # rise of the last step, as a share of the log-likelihood
 
 
 # --- numpy pieces evaluated inside tasks, on Arrow batches of cells -----------
@@ -40,7 +44,9 @@ def _pdf(x):
     return np.exp(-x * x / 2.0) / N.ROOT_2PI
 
 
-def _cdf2(h, k, r):
+def _cdf2(h, k, r, rho):
+    if rho == 0.0:
+        return np.clip(_cdf(h) * _cdf(k), N.FLOOR, 1.0)
     area = np.zeros_like(h)
     for x, w in zip(N.NODES, N.NODE_WEIGHTS):
         t = 0.5 * r * (x + 1.0)
@@ -54,7 +60,7 @@ def _approved_terms(h, v, bad, rho):
     q = 2.0 * bad - 1.0
     k, r = q * v, q * rho
     gone = max(1.0 - rho * rho, 1e-14)
-    L = _cdf2(h, k, r)
+    L = _cdf2(h, k, r, rho)
     lh = _pdf(h) * _cdf((k - r * h) / math.sqrt(gone)) / L
     lk = _pdf(k) * _cdf((h - r * k) / math.sqrt(gone)) / L
     lr = np.exp(-(h * h - 2 * r * h * k + k * k) / (2 * gone)) / (2 * math.pi * math.sqrt(gone)) / L
@@ -104,9 +110,9 @@ def batch_sums(Z, X, s, y, w, theta):
     return np.concatenate([[ll], grad, hess[np.triu_indices(p)]])
 
 
-def likelihood_totals(cell: DataFrame, zs, xs, thetas: dict, scale: dict) -> dict:
-    """Totals of ``batch_sums`` per key number over the cells of all live keys."""
-    live = {k: np.asarray(v, dtype=float) for k, v in thetas.items()}
+def likelihood_totals(cell: DataFrame, zs, xs, points: dict, scale: dict) -> dict:
+    """Totals of ``batch_sums`` for each of a key number's points, over its cells."""
+    live = {k: [np.asarray(t, dtype=float) for t in v] for k, v in points.items()}
     size = {k: float(scale[k]) for k in live}
     zs, xs = list(zs), list(xs)
 
@@ -115,44 +121,56 @@ def likelihood_totals(cell: DataFrame, zs, xs, thetas: dict, scale: dict) -> dic
             parts = []
             for k, g in pdf.groupby("kid"):
                 one = np.ones((len(g), 1))
-                sums = batch_sums(
-                    np.hstack([one, g[zs].to_numpy("float64")]),
-                    np.hstack([one, g[xs].to_numpy("float64")]),
-                    g["s"].to_numpy("float64"), g["y"].to_numpy("float64"),
-                    g["w"].to_numpy("float64") * size[k], live[k])
-                parts.append(pd.DataFrame({"kid": k, "at": np.arange(len(sums)), "x": sums}))
+                Z, X = np.hstack([one, g[zs].to_numpy("float64")]), np.hstack([one, g[xs].to_numpy("float64")])
+                s, y, w = (g[c].to_numpy("float64") for c in ("s", "y", "w"))
+                for i, theta in enumerate(live[k]):
+                    sums = batch_sums(Z, X, s, y, w * size[k], theta)
+                    parts.append(pd.DataFrame({"kid": k, "point": i, "at": np.arange(len(sums)), "x": sums}))
             if parts:
                 yield pd.concat(parts)
 
     wanted = cell.where(F.col("kid").isin(list(live)))
-    rows = (wanted.mapInPandas(partials, "kid int, at int, x double")
-            .groupBy("kid", "at").agg(F.sum("x").alias("x")).toPandas())
-    return {k: g.sort_values("at")["x"].to_numpy() for k, g in rows.groupby("kid")}
+    rows = (wanted.mapInPandas(partials, "kid int, point int, at int, x double")
+            .groupBy("kid", "point", "at").agg(F.sum("x").alias("x")).toPandas().sort_values(["kid", "point", "at"]))
+    out: dict = {}
+    for (k, _), g in rows.groupby(["kid", "point"]):
+        out.setdefault(k, []).append(g["x"].to_numpy())
+    return out
 
 
 class _Climb:
-    """Safeguarded Newton ascent of one key."""
+    """Safeguarded Newton ascent of one key; ``asked`` are the points it wants evaluated."""
 
     def __init__(self, theta, free):
-        self.theta, self.free = theta, free
-        self.best, self.ll, self.step, self.cut = theta, -np.inf, None, 0
+        self.free, self.asked = free, [np.asarray(theta, dtype=float)]
+        self.best, self.ll, self.step, self.short = self.asked[0], -np.inf, None, 1.0
         self.done, self.hess, self.converged = False, None, False
 
-    def see(self, sums):
-        p = len(self.theta)
+    def _bounded(self, theta):
+        theta = theta.copy()
+        theta[-1] = np.clip(theta[-1], -ATANH_BOUND, ATANH_BOUND)
+        return theta
+
+    def see(self, totals):
+        """Go on from the best of the points asked for."""
+        i = int(np.argmax([t[0] if np.isfinite(t[0]) else -np.inf for t in totals]))
+        theta, sums = self.asked[i], totals[i]
+        p = len(theta)
         ll, grad = sums[0], sums[1:p + 1]
-        if ll < self.ll - 1e-9 * (1 + abs(ll)) and self.cut < 30:
-            self.cut += 1
-            self.theta = self.best + self.step * 0.5**self.cut
+        if not ll >= self.ll - 1e-9 * (1 + abs(self.ll)):
+            if self.short < 1e-9:  # no step rises: this is the top, to rounding
+                self.done = True
+                return
+            self.asked = [self._bounded(self.best + self.step * self.short * f) for f in SHORTER]
+            self.short *= SHORTER[-1]
             return
-        gain = ll - self.ll
-        self.best, self.ll, self.cut = self.theta, ll, 0
+        self.best, self.ll, self.short = theta, ll, 1.0
         hess = np.zeros((p, p))
         hess[np.triu_indices(p)] = sums[p + 1:]
         self.hess = hess + np.triu(hess, 1).T
         move = list(self.free)
-        edge = abs(self.theta[-1]) >= ATANH_BOUND
-        if p - 1 in move and edge and grad[-1] * self.theta[-1] > 0:
+        edge = abs(theta[-1]) >= ATANH_BOUND
+        if p - 1 in move and edge and grad[-1] * theta[-1] > 0:
             move.remove(p - 1)
         g = grad[move]
         values, vectors = np.linalg.eigh(-self.hess[np.ix_(move, move)])
@@ -160,28 +178,37 @@ class _Climb:
         step = np.zeros(p)
         step[move] = vectors @ ((vectors.T @ g) / np.maximum(np.abs(values), floor))
         rise = float(g @ step[move])
-        if rise < 1e-16 * (1 + abs(ll)) or 0 <= gain < 1e-14 * (1 + abs(ll)):
-            # the last step is too small to show in the likelihood, but not in the scores
-            self.best = self.theta + step
-            self.best[-1] = np.clip(self.best[-1], -ATANH_BOUND, ATANH_BOUND)
+        if rise < SETTLED * (1 + abs(ll)):
+            # too small to matter in the likelihood, but not in the scores: take it
+            self.best = self._bounded(theta + step)
+            self.ll = ll + 0.5 * rise
             self.done, self.converged = True, True
             return
         size = max(np.max(np.abs(step[:-1])) / 2.0, abs(step[-1]) / 0.5, 1.0)
-        target = self.theta + step / size
-        target[-1] = np.clip(target[-1], -ATANH_BOUND, ATANH_BOUND)
-        self.step = target - self.theta
-        self.theta = target
+        self.step = self._bounded(theta + step / size) - theta
+        self.asked = [theta + self.step]
+
 
+def _ascend(cell, zs, xs, scale, starts):
+    """The restricted and the full climb of every key, and the passes taken.
 
-def _ascend(cell, zs, xs, scale, starts, free):
-    climbs = {k: _Climb(t, free) for k, t in starts.items()}
-    for _ in range(MAX_ROUNDS):
-        live = {k: c.theta for k, c in climbs.items() if not c.done}
+    A key's full climb begins when its restricted one is done.
+    """
+    p = len(next(iter(starts.values())))
+    flat = {k: _Climb(t, range(p - 1)) for k, t in starts.items()}
+    full: dict = {}
+    for n in range(1, MAX_PASSES + 1):
+        live = {k: full.get(k, c) for k, c in flat.items()}
+        live = {k: c for k, c in live.items() if not c.done}
         if not live:
-            break
-        for k, sums in likelihood_totals(cell, zs, xs, live, scale).items():
-            climbs[k].see(sums)
-    return climbs
+            return flat, full, n - 1
+        for k, totals in likelihood_totals(cell, zs, xs, {k: c.asked for k, c in live.items()}, scale).items():
+            live[k].see(totals)
+            if k not in full and live[k].done:
+                full[k] = _Climb(live[k].best, range(p))
+    for k, c in flat.items():
+        full.setdefault(k, c)
+    return flat, full, MAX_PASSES
 
 
 @dataclass
@@ -193,6 +220,7 @@ class SelectionFit:
     cells: DataFrame
     zs: list
     xs: list
+    passes: int  # over the cells
 
 
 PARAMS = [
@@ -208,14 +236,16 @@ PARAMS = [
 def selection_cells(rows: DataFrame, keys, zs, xs) -> DataFrame:
     """Rows (keys, zs, xs, s, y, w) -> cells; y counts as 0 where s = 0."""
     return materialize(rows.groupBy(*keys, *zs, *xs, "s", "y").agg(
-        F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")), "selection-cells")
+        F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("w")).alias("w2")), "selection-cells")
 
 
-def fit_selection(cells: DataFrame, keys, zs, xs) -> SelectionFit:
+def fit_selection(cells: DataFrame, keys, zs, xs, starts: dict | None = None) -> SelectionFit:
     """Fit every key; weights are scaled to mean 1 within a key.
 
     The restricted model (rho = 0) is two independent probits and the starting
-    point of the full one.
+    point of the full one. ``starts`` has parameters to set out from by key
+    values, zeros otherwise. A key that does not settle in ``MAX_PASSES`` keeps
+    its best point, with ``converged`` false.
     """
     spark = cells.sparkSession
     keys, zs, xs = list(keys), list(zs), list(xs)
@@ -230,8 +260,8 @@ def fit_selection(cells: DataFrame, keys, zs, xs) -> SelectionFit:
     p = len(zs) + len(xs) + 3
     # one key may hold most cells: spread by row, a task's keys together
     tagged = materialize(tagged.repartition("s", "y", *zs, *xs).sortWithinPartitions("kid"), "selection-rows")
-    flat = _ascend(tagged, zs, xs, scale, {i: np.zeros(p) for i in who}, range(p - 1))
-    full = _ascend(tagged, zs, xs, scale, {i: c.best for i, c in flat.items()}, range(p))
+    begin = {i: (starts or {}).get(key) or [0.0] * p for i, key in who.items()}
+    flat, full, passes = _ascend(tagged, zs, xs, scale, begin) if who else ({}, {}, 0)
     out = []
     for i, key in who.items():
         c, ll0 = full[i], flat[i].ll
@@ -254,7 +284,7 @@ def fit_selection(cells: DataFrame, keys, zs, xs) -> SelectionFit:
             int(facts[i]["n"]), int(facts[i]["sel"] or 0)))
     schema = T.StructType([cells.schema[c] for c in keys]
                           + [T.StructField(n, t) for n, t in PARAMS])
-    return SelectionFit(keys, small_table(spark, out, schema), cells, zs, xs)
+    return SelectionFit(keys, small_table(spark, out, schema), cells, zs, xs, passes)
 
 
 # --- column forms -------------------------------------------------------------
