@@ -125,8 +125,10 @@ def quantiles(df: DataFrame, keys, value: str, probs, rows: str | None = None, n
     near = seen.join(kept, keys).where(_within())
     piece = [*keys, "lo", "hi"]
     inside = Window.partitionBy(*piece).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = (near.groupBy(*piece, "before", "amount_all", "ranks", "v").agg(F.sum("amount").alias("n"))
-           .withColumn("n_through", F.col("before") + F.sum("n").over(inside)))
+    run = near.groupBy(*piece, "v").agg(F.sum("amount").alias("n")).withColumn("_n", F.sum("n").over(inside))
+    # ranks come back by a join, so they are not shuffled with every value
+    run = run.join(kept, [run[k].eqNullSafe(kept[k]) for k in piece]).select(
+        *[run[k] for k in piece], "v", "n", "amount_all", "ranks", (F.col("before") + F.col("_n")).alias("n_through"))
     run = run.where(f"{ranks_below('n_through')} > {ranks_below('n_through - n - 1')}")
     asked = ", ".join(
         f"struct({i} AS i, get(ranks, {i}) AS r, greatest(0D, {float(p)!r}D * (amount_all - 1) - get(ranks, {i})) AS part)"

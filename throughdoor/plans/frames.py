@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL, NUMERIC, Audit, Masking, RegionRules, Sampling
 from ..operators import backtest, inference, population, sampling, scorecard
-from ..runtime import localize, materialize
+from ..runtime import localize, materialize, prepare
 from ..sources import applications, warehouse
 
 KEY = population.KEY
@@ -40,6 +40,7 @@ class Portfolio:
     """
 
     def __init__(self, spark: SparkSession, accepted_raw, declined_raw, spec: Audit):
+        prepare(spark)
         self.spark, self.spec = spark, spec
         self._accepted, self._declined = accepted_raw, declined_raw
 

@@ -31,6 +31,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Spark split generated methods that HotSpot would not compile.
+
+    Binning and scoring compare a value with many edges at once. As one
+    generated method beyond 8,000 bytes of code that stays interpreted and is
+    several times slower; below this limit Spark splits it. A session that sets
+    the limit itself keeps its own.
+    """
+    if spark.conf.get(HUGE_METHOD) == "65535":
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediates, as the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
