@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from throughdoor.llm import words
+from throughdoor.llm.stored import bounded
 from throughdoor.llm.words import mix
 
 UNKNOWN = "und"
@@ -143,6 +145,7 @@ def train(rows: DataFrame, use: Settings = Settings()) -> Model:
         rate = min(1.0, use.rows_per_language / of[x])
         taken = taken | ((F.col("lang") == x) & (part < int(rate * 1_000_003) + 1))
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), use.buckets), dtype=np.int64)
         place = {x: i for i, x in enumerate(languages)}
@@ -179,6 +182,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in names] + [
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             lang, score = model.predict(part.column(at))
@@ -195,6 +199,7 @@ def held_out(key):
 
 def learn(docs: DataFrame, use: Settings = Settings()) -> Model:
     """The model of the documents (doc_id, text, lang) that are not held out."""
+    bounded(docs.sparkSession)
     rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang")
     return train(rows, use)
 
@@ -215,6 +220,7 @@ def accepted(docs: DataFrame, least_score: float = 0.5, use: Settings = Settings
     model = learn(docs, use)
     at = docs.columns.index("text")
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             lang, score = model.predict(part.column(at))

@@ -96,6 +96,7 @@ def features(docs: DataFrame, use: Settings) -> DataFrame:
     """Set size, two set hashes and the signature of every document."""
     k, coordinates = use.shingle, use.coordinates
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, sets, bounds in words.shingle_sets(batch.column(1), k):
@@ -126,6 +127,7 @@ def bucket_loads(signed: DataFrame, use: Settings) -> np.ndarray:
     """
     coordinates, buckets = use.coordinates, use.order_buckets
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
@@ -145,6 +147,7 @@ def prefixes(signed: DataFrame, load: np.ndarray, use: Settings) -> DataFrame:
     """``signed`` (rep, n_shingles, signature) with ``prefix``: which coordinates are among the rarest, a bit for each."""
     coordinates = use.coordinates
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -169,6 +172,7 @@ def postings(signed: DataFrame, load: np.ndarray, use: Settings) -> DataFrame:
     """(token, rep): every representative under its rarest tokens."""
     coordinates, prefix = use.coordinates, use.prefix
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -186,6 +190,7 @@ def agreeing(pairs: DataFrame, signed: DataFrame, use: Settings) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough."""
     coordinates, least = use.coordinates, use.least_equal
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (matrix(batch.column(i), np.uint32, coordinates) for i in (2, 3))
@@ -200,6 +205,7 @@ def sets_of(docs: DataFrame, use: Settings) -> DataFrame:
     """(id, items): the full shingle sets of ``docs`` (id, text)."""
     k = use.shingle
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, sets, bounds in words.shingle_sets(batch.column(1), k):
@@ -291,6 +297,7 @@ def survivors(mixed: DataFrame, label: DataFrame, known: DataFrame, use: Setting
                .agg(F.collect_list(member).alias("members")).where(F.size("members") > 1))
     axes = np.arange(coordinates, dtype=np.uint64)
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
@@ -358,6 +365,7 @@ def bridges(shelf: Shelf, cells_left: DataFrame, sets: DataFrame, use: Settings)
     grouped = (cells_left.join(sets, cells_left["rep"] == sets["id"]).groupBy("token", "i", "j")
                .agg(F.collect_list(member).alias("members")))
 
+    @words.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)

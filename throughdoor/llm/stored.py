@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from throughdoor.runtime import scratch_root
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python tasks of 8 MB at most (Spark: 64), unless the session has set a size."""
+    if spark.conf.get(BATCH) in ("67108864b", "64MB"):
+        spark.conf.set(BATCH, "8m")
+
+
 class Shelf:
     """The written tables of one job, in one folder of the shared storage.
 
@@ -18,6 +27,7 @@ class Shelf:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded(spark)
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
@@ -28,7 +38,8 @@ class Shelf:
         path = f"{self.root}/{self.n:03d}-{name}"
         seen = Observation() if metrics else None
         told = df.observe(seen, *[m.alias(k) for k, m in metrics.items()]) if metrics else df
-        told.write.parquet(path)
+        # every running task holds a row group in memory
+        told.write.option("parquet.block.size", 16 << 20).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.shelf_path = path
         return (back, seen.get) if metrics else back

@@ -21,6 +21,7 @@ reads a few bits per level, about 1.6 levels on average, whatever the size.
 """
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from throughdoor.llm.stored import Shelf
-from throughdoor.llm.words import mix
+from throughdoor.llm.words import mix, trimmed
 
 SEGMENT_BYTES = 4 << 20  # a longer document is a segment of its own
 SEGMENT_DOCS = 1 << 16
-TEXT_BYTES = 8 << 20  # encoded at a time
-CACHED_WORDS = 400_000  # per Python worker
+TEXT_BYTES = 4 << 20  # encoded at a time
+CACHED_WORDS = 300_000  # per Python worker
 END_ID = 0
 
 SCHEMA = T.StructType([
@@ -81,6 +82,7 @@ class Encoder:
         self.feed_bytes = self.packed(feed)
         # "word" is held as encoded behind a space, "\nword" behind a line feed
         self.held: dict[str, bytes] = {}
+        self.again: set[str] = set()  # held words that a later call asked for
         self.marks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -107,8 +109,11 @@ class Encoder:
         """Have the ids of ``keys`` in ``held``."""
         held = self.held
         new = [k for k in keys if k not in held]
-        if len(held) + len(new) > CACHED_WORDS:  # the words of these texts stay
-            self.held = held = {k: held[k] for k in keys if k in held}
+        self.again.update(k for k in keys if k in held)
+        if len(held) + len(new) > CACHED_WORDS:  # words seen in one call alone go first, and then all but this call's
+            stay = self.again if len(self.again) + len(new) <= CACHED_WORDS else [k for k in keys if k in held]
+            self.held = held = {k: held[k] for k in stay}
+            self.again = set()
         found = list(map(self.MARKED.fullmatch, new))
         marked = [(k, m[1], m[2]) for k, m in zip(new, found) if m]
         plain = {k for k, m in zip(new, found) if not m}
@@ -165,6 +170,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs in parallel
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
@@ -283,6 +289,7 @@ def segments(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
                        F.monotonically_increasing_id().alias("seen"))
     ordered = rows.repartitionByRange("key", "seen").sortWithinPartitions("key", "seen").select("key", "text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         width, end = encode.dtype.itemsize, encode.packed([END_ID])
@@ -290,7 +297,7 @@ def segments(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
         keys, ids = [], []
         for batch in batches:
             # the more texts at a time, the more words they share
-            step = max(1, min(1024, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes)))
+            step = max(1, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 texts = part.column(1).fill_null("").to_pylist()
