@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from throughdoor.llm.words import trim
 from throughdoor.runtime import scratch_root
 
 
@@ -40,6 +41,7 @@ class Shelf:
         told = df.observe(seen, *[m.alias(k) for k, m in metrics.items()]) if metrics else df
         # every running task holds a row group in memory
         told.write.option("parquet.block.size", 16 << 20).parquet(path)
+        trim()  # the driver's own fetches and closures are done with
         back = self.spark.read.schema(df.schema).parquet(path)
         back.shelf_path = path
         return (back, seen.get) if metrics else back
