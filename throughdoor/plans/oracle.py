@@ -1120,8 +1120,9 @@ SENS = backtest_ctes("cutoff_type IN ('risk_hard', 'random') AND rejection_rate
       avg(ttd - truth_ttd_bad_rate) AS bad_rate_bias, avg(abs(claimed.gini - actual.gini)) AS abs_gini_bias FROM facts JOIN est USING (scenario)
       JOIN claimed USING (scenario, scale, method) JOIN actual USING (scenario, scale, method) GROUP BY method, scale, cutoff_type)"""]
 oracle("scale_sensitivity", f"""SELECT method, scale AS reject_bad_scale, cutoff_type, {r('abs_bad_rate_bias')}, {r('bad_rate_bias')}, {r('abs_gini_bias')},
-  n_fitted, n_skipped FROM (SELECT cutoff_type, count(*) FILTER (skipped IS NULL) AS n_fitted, count(skipped) AS n_skipped
-    FROM allfacts GROUP BY cutoff_type), unnest(['parcelling', 'fuzzy']) m(method), unnest([CAST(1 AS DOUBLE), 1.5, 2, 3]) c(scale)
+  n_fitted, n_skipped FROM (SELECT * FROM (SELECT cutoff_type, count(*) FILTER (skipped IS NULL) AS n_fitted,
+    count(skipped) AS n_skipped FROM allfacts GROUP BY cutoff_type), (SELECT unnest(['parcelling', 'fuzzy']) AS method),
+    (SELECT unnest([CAST(1 AS DOUBLE), 1.5, 2, 3]) AS scale))
   LEFT JOIN sens USING (method, scale, cutoff_type)""", SENS)
 oracle("best_scale", """SELECT cutoff_type, method, arg_min(scale, abs_bad_rate_bias) AS reject_bad_scale,
   round(min(abs_bad_rate_bias), 6) AS abs_bad_rate_bias FROM sens GROUP BY cutoff_type, method""", SENS)
