@@ -80,3 +80,24 @@ def test_a_list_of_links_beside_the_text_is_not_kept():
     page = ("<body><div><a href=a>One link of many</a> <a href=b>another link of many</a></div><div><h2>Head</h2>"
             + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</div></body>")
     assert main_text(page).split("\n") == ["Head", *PARAGRAPHS]
+
+
+NOISE = ('<div class="nav"><a href=x>Home</a></div>%s<div class="comments-area">' + "<p>A reader says much, and more. </p>" * 90
+         + '</div><form id="login"><p>Your name, please</p></form><div class="site-footer"><p>Contact, imprint</p></div>')
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<form id="aspnetForm">%s</form>', '<div class="content-sidebar-wrap">%s</div>', '<div role="form">%s</div>',
+    '<div class="layout has-sidebar">%s</div>', '<div class="post with-comments">%s</div>', '<div class="no-ads">%s</div>',
+    '<form><div class="has-sidebar"><div class="no-ads">%s</div></div></form>'])
+@pytest.mark.parametrize("headline", ["", "<h1>Title</h1>"])
+def test_wrappers_with_odd_names_keep_the_article(wrapper, headline):
+    body = headline + "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:3])
+    want = ["Title"] * bool(headline) + PARAGRAPHS[:3]
+    assert main_text("<html><body>" + NOISE % (wrapper % body) + "</body></html>").split("\n") == want
+
+
+def test_forms_and_odd_names_without_the_article_go():
+    assert main_text("<body><form><label>Name</label><input name=a><button>Go</button></form></body>") == ""
+    page = "<body><h1>Title</h1><p>Short.</p><form><p>" + PARAGRAPHS[0] + "</p></form><div class='ad-slot'><p>" + PARAGRAPHS[1]
+    assert main_text(page) == "Title\nShort."

@@ -7,7 +7,10 @@ article or main element around the best container is kept whole. Beside it, or
 on every level above the best container where there is none, what scores like
 it or is not mostly links is kept. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut from the tree before anything is scored.
+comments are cut from the tree before anything is scored. A form, or an element
+whose name only contains such a word (``has-sidebar``, ``no-ads``), is a wrapper
+and stays if most of the page's paragraphs are in it, and its headline or
+article too if the page has one.
 """
 from __future__ import annotations
 
@@ -27,9 +30,12 @@ RAW = set("script style noscript template textarea title iframe noembed noframes
 BLOCK = set("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
  figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary
  table tbody td tfoot th thead tr ul""".split())
-CUT = set("""script style noscript template textarea title iframe noembed noframes head nav menu aside form button
+CUT = set("""script style noscript template textarea title iframe noembed noframes head nav menu aside button
  select option fieldset dialog svg canvas object audio video footer""".split())
-CUT_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+CUT_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
+PROSE = set("p pre blockquote".split())
+HEADLINE = set("h1 article main".split())
+READERS = ("comment", "respond", "replies", "disqus")  # a name that begins so is what readers wrote
 CUT_NAMES = set("""nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice
  banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond
  replies disqus share sharing social related recommended newsletter subscribe popup modal overlay toolbar login
@@ -71,6 +77,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.good, self.cut = ["#root"], [-1], [False], [False]
+        self.doubt = [False]  # cut unless it turns out to be a wrapper
         self.blocks: list[Block] = []
         self._open = [0]  # the path to the current element
         self._count: dict[str, int] = {}  # open elements by tag
@@ -100,6 +107,27 @@ class Page:
                 at = end.end() if end else len(source)
                 self._close(tag)
         self._flush()
+        if any(self.doubt):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Decide on the elements in doubt, the outer ones first, and drop the text of those that go."""
+        n = len(self.tag)
+        prose, heads, headed = [0] * n, [0] * n, [False] * n
+        for node in range(1, n):
+            headed[node] = self.tag[node] in HEADLINE or headed[self.parent[node]]
+        for block in self.blocks:
+            if self.tag[block.node] in PROSE:
+                prose[block.node] += len(block.text) - block.links
+            heads[block.node] += headed[block.node]
+        for node in range(n - 1, 0, -1):
+            prose[self.parent[node]] += prose[node]
+            heads[self.parent[node]] += heads[node]
+        gone = [False] * n
+        for node in range(1, n):
+            wraps = 2 * prose[node] > prose[0] and (heads[node] > 0 or not heads[0])
+            gone[node] = gone[self.parent[node]] or (self.doubt[node] and not wraps)
+        self.blocks = [block for block in self.blocks if not gone[block.node]]
 
     def _flush(self) -> None:
         if self._parts:
@@ -144,27 +172,31 @@ class Page:
         if tag in VOID:
             return
         above = self._open[-1]
-        cut, good = self.cut[above] or tag in CUT, False
+        cut, good, doubt = self.cut[above] or tag in CUT, False, tag == "form"
         if tag == "header" and not (self._count.get("article") or self._count.get("main")):
             cut = True
         if raw and not cut and tag not in ("html", "body"):
-            cut, good = self._judge(tag, raw)
+            cut, good, named = self._judge(tag, raw)
+            doubt |= named
         self.tag.append(tag)
         self.parent.append(above)
         self.cut.append(cut)
         self.good.append(good or tag in ("article", "main"))
+        self.doubt.append(doubt and not cut)
         self._open.append(len(self.tag) - 1)
         self._count[tag] = self._count.get(tag, 0) + 1
 
-    def _judge(self, tag: str, raw: str) -> tuple[bool, bool]:
-        """Whether attributes say that an element is no content, or that it is."""
-        cut, names = False, set()
+    def _judge(self, tag: str, raw: str) -> tuple[bool, bool, bool]:
+        """Whether attributes say that an element is no content, that it is, or that it may be none."""
+        cut, doubt, whole, names = False, False, set(), set()
         for key, *values in _ATTRIBUTE.findall(raw):
             key, value = key.lower(), next((v for v in values if v), "")
             if key in ("class", "id"):
+                whole.update(value.lower().split())
                 names.update(x.lower() for x in _NAME.findall(value))
             elif key == "role":
                 cut |= value.lower() in CUT_ROLES
+                doubt |= value.lower() == "form"
             elif key == "aria-hidden":
                 cut |= value.lower() == "true"
             elif key == "style":
@@ -172,8 +204,10 @@ class Page:
         cut |= re.search(r"(?:^|\s)hidden(?=\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", raw)) is not None
         if tag not in ("article", "main"):
             inside = self._count.get("article") or self._count.get("main")
-            cut |= bool(names & CUT_NAMES) or ("header" in names and not inside)
-        return cut, bool(names & GOOD_NAMES)
+            cut |= bool(whole & CUT_NAMES) or any(x.startswith(READERS) for x in whole)
+            cut |= "header" in names and not inside
+            doubt |= bool(names & CUT_NAMES)
+        return cut, bool(names & GOOD_NAMES), doubt
 
     def _close(self, tag: str) -> None:
         if tag in ("br", "p") and not self._count.get(tag):
@@ -246,7 +280,7 @@ def extracted(pages: DataFrame, use: Settings = Settings()) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text, and so do pages that are all menu
-    or advert. Character references are decoded; white space inside a block is
+    or advert or form. Character references are decoded; white space inside a block is
     one space. Nothing else is dropped or cut short. Rows that repeat are each
     answered.
     """
