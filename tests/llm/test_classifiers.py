@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -101,3 +102,63 @@ def test_the_fit_sees_a_bounded_sample(spark, rows):
     finally:
         toxicity.fit = fit
     assert seen[0] == rows if rows < 1000 else 850 < seen[0] <= 1000
+
+
+def plain_fit(labels, texts, left, right, use):
+    """The same minimisation on dense rows, one loop and no scaling tricks."""
+    def dense(packed):
+        out = np.zeros((len(packed), use.buckets))
+        for row, b in zip(out, packed):
+            found = np.frombuffer(b, np.int32)
+            np.add.at(row, found, 1 / np.sqrt(max(len(found), 1)))
+        return out
+
+    often = sum((row > 0).astype(int) for row in dense(texts)) >= use.least_rows
+    x, one, two = (dense(p) * often for p in (texts, left, right))
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    counts = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    counts = counts / counts.sum()
+    level = counts @ labels
+    w, bias, m, v = np.zeros(use.buckets), np.log(level / (1 - level)), 0.0, 0.0
+    for step in range(1, use.steps + 1):
+        off = (1 / (1 + np.exp(-(x @ w + bias))) - labels) * counts
+        change = (one - two) @ w
+        grad = x.T @ off + use.ridge * w + 2 * use.swap_penalty / len(one) * ((one - two).T @ change)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
+        w = w - use.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-5)
+        bias -= 0.1 * off.sum()
+    return w * often, bias
+
+
+def test_the_fit_against_dense_rows():
+    use = toxicity.Settings(buckets=512, steps=40)
+    rows = texts(60)
+    named = ["the muslim baker is here", "a christian came"]
+
+    def packed(column):
+        return [flat[a:b].tobytes() for _, flat, bounds in toxicity.features(pa.array(column, pa.string()), use)
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    data = [packed([t or "" for _, t, _ in rows]), packed(named), packed([toxicity.swapped(t) for t in named])]
+    labels = np.array([float(y) for *_, y in rows])
+    model = toxicity.fit(labels, *data, use)
+    w, bias = plain_fit(labels, *data, use)
+    assert np.allclose(model.weights, w, atol=1e-6) and abs(model.bias - bias) < 1e-8
+
+
+def test_a_rare_label_is_caught(spark):
+    rows = [(i, "you are scum and an idiot" if i % 20 == 0 else f"a kind baker sells bread number {i % 7}", int(i % 20 == 0))
+            for i in range(600)]
+    model = toxicity.train(spark.createDataFrame(rows, "key long, text string, label int"))
+    got = model.score(pa.array(["that scum again", "what an idiot", "bread for the baker", "muslim bakers sell bread"]))
+    assert (got[:2] >= 0.5).all() and (got[2:] < 0.5).all()
+
+
+def test_toxicity_repeated_rows_and_clashing_columns(spark):
+    rows = texts(60)
+    docs = spark.createDataFrame([(i, t, 9.0, 1, "x") for i, t, _ in rows] * 2,
+                                 "doc_id long, text string, score double, predicted int, label string")
+    labels = spark.createDataFrame([(i, y, "z") for i, _, y in rows] * 2, "doc_id long, toxic int, text string")
+    got = toxicity.scored(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert len(got.collect()) == 120 and len(got.distinct().collect()) == 60

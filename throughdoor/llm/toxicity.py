@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from throughdoor.llm import words
+from throughdoor.llm.stored import Shelf
 
 # --- fixed values: group names by kind; a name is swapped for the next one
 IDENTITY = [
@@ -44,14 +45,15 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 @dataclass(frozen=True)
 class Settings:
-    fit_rows: int = 5_000  # labelled rows that the fit may see
-    pair_rows: int = 20_000  # swapped sentences that the fit may see
+    fit_rows: int = 8_000  # labelled rows that the fit may see
+    pair_rows: int = 20_000  # swapped sentences that the fit may see, drawn by a hash
     buckets: int = 1 << 18
     beginnings: tuple = (3, 4, 5, 6, 7)  # bytes of a word's beginning that are features beside the word
     least_rows: int = 3  # rows a feature must occur in to be learnt
     swap_penalty: float = 10.0
     ridge: float = 1e-5
-    steps: int = 120
+    steps: int = 150
+    balance: float = 1.0  # 1: both labels count alike in the fit, 0: every row does
     rate: float = 0.3
 
 
@@ -167,17 +169,22 @@ def fit(labels: np.ndarray, texts: list[bytes], left: list[bytes], right: list[b
     keep = seen >= use.least_rows
     x, one, two = (Sparse(rows, keep) for rows in (texts, left, right))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
+    # a rare label's rows count for more, so that 0.5 lies between the labels and not beyond one of them
+    counts = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** use.balance
+    counts /= counts.sum()
+    share = float(counts @ labels)
+    share = min(max(share, 0.5 / (len(labels) + 1)), 1 - 0.5 / (len(labels) + 1))
     bias, w = float(np.log(share / (1 - share))), np.zeros(n)
     m, v = np.zeros(n), np.zeros(n)
     for step in range(1, use.steps + 1):
-        off = 1 / (1 + np.exp(-(x.times(w) + bias))) - labels
-        grad = x.back(off, n) / len(labels) + use.ridge * w
+        off = (1 / (1 + np.exp(-(x.times(w) + bias))) - labels) * counts
+        grad = x.back(off, n) + use.ridge * w
         if one.rows:
             change = one.times(w) - two.times(w)
             grad += 2 * use.swap_penalty / one.rows * (one.back(change, n) - two.back(change, n))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= use.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-5)
-        bias -= 0.1 * off.mean()
+        bias -= 0.1 * off.sum()
     return Model(w * keep, bias, use)
 
 
@@ -186,7 +193,9 @@ def train(rows: DataFrame, use: Settings = Settings()) -> Model:
 
     Rows are taken in the order of a hash of ``key`` up to a rate that the
     count of rows gives, so the sample is the same in every run. Null texts are
-    empty; rows with a null label are left out. With no rows every score is 0.5.
+    empty; rows with a null label are left out; rows that repeat are each learnt
+    from. With no rows every score is 0.5. Swapped sentences beyond
+    ``pair_rows`` are left out by a hash of their features.
     """
     rows = rows.where("label IS NOT NULL")
     n = rows.count()
@@ -194,9 +203,11 @@ def train(rows: DataFrame, use: Settings = Settings()) -> Model:
     # a little under the bound, so that the limit below is almost never the one that cuts
     rate = 1.0 if n <= use.fit_rows else 0.97 * use.fit_rows / n
     sample = rows.where(part < int(rate * 1_000_003) + 1).limit(use.fit_rows).select("text", "label")
-    table = _training_rows(sample, use).toArrow()
-    labelled = table.filter(pc.is_valid(table["label"]))
-    pairs = table.filter(pc.is_null(table["label"])).slice(0, use.pair_rows)
+    made = Shelf(rows.sparkSession, "toxicity").put(_training_rows(sample, use), "rows")
+    labelled = made.where("label IS NOT NULL").select("label", "buckets").toArrow()
+    # the pairs that a hash of them puts first, wherever they lie
+    pairs = made.where("label IS NULL").select("buckets", "other").orderBy(
+        F.xxhash64("buckets", "other"), "buckets", "other").limit(use.pair_rows).toArrow()
     return fit(labelled["label"].to_numpy().astype(np.float64), labelled["buckets"].to_pylist(),
                pairs["buckets"].to_pylist(), pairs["other"].to_pylist(), use)
 
@@ -227,7 +238,10 @@ def scored(docs: DataFrame, labels: DataFrame, use: Settings = Settings()) -> Da
 
     Learns from ``labels`` (doc_id, toxic) of documents that are not held out
     (crc32 of the id modulo 5 is not 0). The key picks rows; only the text is
-    scored.
+    scored. Null and empty texts have the score of a text without words, equal
+    texts the same score; rows that repeat are each answered, an empty table
+    gives none, and without labels every score is 0.5. Other columns of both
+    tables are not looked at.
     """
     known = labels.where("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("label"))
     known = known.where(~held_out(F.col("doc_id"), 5, 0))
