@@ -751,7 +751,7 @@ def model_zip_residuals(f):
 @query
 def z_histogram(f):
     """Density of z in 50 bins between the smallest and largest residual."""
-    res = materialize(_residuals(f), "residuals")
+    res = regions.judged(materialize(_residuals(f), "residuals"))
     ends = res.agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("lo"),
                    F.coalesce(F.max("z"), F.lit(1.0)).alias("hi")).first()
     return tidy(measures.histogram(res, KEYS, "z", ends["lo"], ends["hi"], 50).drop(KEY))

@@ -949,33 +949,34 @@ oracle("decline_model", terms("d", NUMERIC), "dsrc AS (SELECT *, 1 - accepted AS
 
 def residual_cte(src, p):
     return f"""res AS MATERIALIZED (SELECT *, CAST(o AS DOUBLE) / n_apps AS observed_rate, e / n_apps AS expected_rate,
-      100 * (o / n_apps - e / n_apps) AS excess_rate_pp, (o - e) / sqrt(greatest(v, 1e-9)) AS z FROM (
+      n_apps < 100 AS small, CASE WHEN n_apps >= 100 THEN 100 * (o / n_apps - e / n_apps) END AS excess_rate_pp,
+      CASE WHEN n_apps >= 100 THEN (o - e) / sqrt(greatest(v, 1e-9)) END AS z FROM (
       SELECT zip3, count(*) AS n_apps, CAST(sum(1 - accepted) AS DOUBLE) AS o, sum({p}) AS e, sum({p} * (1 - {p})) AS v
-      FROM {src} GROUP BY zip3) WHERE n_apps >= 100)"""
+      FROM {src} GROUP BY zip3))"""
 
 
 RES = residual_cte("stacked", PROXY)
 RESCOLS = """zip3, n_apps, round(o, 6) AS observed_declines, round(e, 6) AS expected_declines, round(v, 6) AS var,
   round(observed_rate, 6) AS observed_rate, round(expected_rate, 6) AS expected_rate, round(excess_rate_pp, 6) AS excess_rate_pp,
-  round(z, 6) AS z, abs(z) > 3 AS flagged"""
+  round(z, 6) AS z, abs(z) > 3 AS flagged, small"""
 oracle("zip_residuals", f"SELECT {RESCOLS} FROM res", RES)
 oracle("model_zip_residuals", f"SELECT {RESCOLS} FROM res", "dsrc AS (SELECT *, 1 - accepted AS y FROM stacked)",
        card_ctes("d", "dsrc", NUMERIC, [], "y", "1.0"), score_cte("ds", "stacked", "d", NUMERIC, [], out="p"),
        residual_cte("ds", "p"))
 CHI = f"""CASE WHEN j % 2 = 0 THEN list_sum([exp(-chi2 / 2 + i * ln(chi2 / 2) - lgamma(i + 1)) for i in range(0, j // 2)])
   ELSE 2 * {cdf('(-sqrt(chi2))')} + CASE WHEN j > 1 THEN list_sum([exp(-chi2 / 2 + (i - 0.5) * ln(chi2 / 2) - lgamma(i + 0.5)) for i in range(1, (j - 1) // 2 + 1)]) ELSE 0 END END"""
-oracle("zip_dispersion", f"""SELECT j AS n_zip3, round(chi2, 6) AS chi2, round(sd, 6) AS sd_of_z, nf AS n_flagged, round(mx, 6) AS max_excess_decline_pp,
+oracle("zip_dispersion", f"""SELECT j AS n_zip3, ns AS n_zip3_small, na AS n_apps_small, round(chi2, 6) AS chi2, round(sd, 6) AS sd_of_z, nf AS n_flagged, round(mx, 6) AS max_excess_decline_pp,
   round(mn, 6) AS min_excess_decline_pp, j AS chi2_df, round({CHI}, 6) AS chi2_p, round(chi2 / j, 6) AS dispersion_ratio,
   round(2 * {cdf('(-3.0)')} * j, 6) AS n_flagged_expected_by_chance, round(nf - 2 * {cdf('(-3.0)')} * j, 6) AS excess_flags,
-  round(q[2] - q[1], 6) AS iqr_excess_decline_pp FROM (SELECT count(z) AS j, sum(z * z) AS chi2, stddev_pop(z) AS sd,
+  round(q[2] - q[1], 6) AS iqr_excess_decline_pp FROM (SELECT count(z) AS j, count_if(small) AS ns, CAST(sum(CASE WHEN small THEN n_apps ELSE 0 END) AS BIGINT) AS na, sum(z * z) AS chi2, stddev_pop(z) AS sd,
   CAST(sum(CASE WHEN abs(z) > 3 THEN 1 ELSE 0 END) AS BIGINT) AS nf, max(excess_rate_pp) AS mx, min(excess_rate_pp) AS mn,
   quantile_cont(excess_rate_pp, {doubles([0.25, 0.75])}) AS q FROM res HAVING count(z) > 0)""", RES)
-oracle("zip_top_k", """(SELECT 'top' AS "end", zip3, round(z, 6) AS z FROM res ORDER BY res.z DESC, zip3 LIMIT 10)
-  UNION ALL (SELECT 'bottom', zip3, round(z, 6) FROM res ORDER BY res.z, zip3 LIMIT 10)""", RES)
-oracle("zip_largest_gaps", """SELECT zip3, round(excess_rate_pp, 6) AS excess_rate_pp FROM res ORDER BY abs(res.excess_rate_pp) DESC, zip3 LIMIT 15""", RES)
+oracle("zip_top_k", """(SELECT 'top' AS "end", zip3, round(z, 6) AS z FROM res WHERE NOT small ORDER BY res.z DESC, zip3 LIMIT 10)
+  UNION ALL (SELECT 'bottom', zip3, round(z, 6) FROM res WHERE NOT small ORDER BY res.z, zip3 LIMIT 10)""", RES)
+oracle("zip_largest_gaps", """SELECT zip3, round(excess_rate_pp, 6) AS excess_rate_pp FROM res WHERE NOT small ORDER BY abs(res.excess_rate_pp) DESC, zip3 LIMIT 15""", RES)
 oracle("z_histogram", """SELECT bin_no, round(lo + bin_no * width, 6) AS left_edge, n, round(n / (sum(n) OVER () * width), 6) AS density FROM (
   SELECT CAST(least(floor((z - lo) / width), 49) AS BIGINT) AS bin_no, count(*) AS n, any_value(lo) AS lo, any_value(width) AS width
-  FROM (SELECT z, lo, (hi - lo) / 50 AS width FROM res, (SELECT min(z) AS lo, max(z) AS hi FROM res)) GROUP BY 1)""", RES)
+  FROM (SELECT z, lo, (hi - lo) / 50 AS width FROM (SELECT z FROM res WHERE NOT small), (SELECT min(z) AS lo, max(z) AS hi FROM res)) GROUP BY 1)""", RES)
 
 
 # --- keyed backtest (labelling methods) ---------------------------------------------------------------
