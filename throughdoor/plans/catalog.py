@@ -83,21 +83,6 @@ def write_table(f):
     return back.csv(path)
 
 
-@query
-def headline_metrics(f):
-    rates = f.panel.audit.select("n_accepted_total", "n_accepted_terminal", "n_declined_total",
-                                 "indeterminate_frac", "unscored_frac", "population_accept_rate")
-    cov = audit.coverage(f)
-    pooled = economics.pooled_yields(f.proxy_calibration, KEYS, WHOLE.cash)
-    even = economics.breakeven(pooled, WHOLE.cash).drop(KEY)
-    rows = (audit.long_form(rates, "data").unionByName(audit.long_form(cov, "coverage", "field"))
-            .unionByName(audit.long_form(even, "yields")))
-    path = f"{scratch_root(f.spark)}/headline-{uuid.uuid4().hex}"
-    rows.write.json(path)
-    back = f.spark.read.schema("section string, metric string, key string, value double").json(path)
-    return tidy(back)
-
-
 @query
 def data_audit(f):
     return tidy(f.panel.audit.select("n_accepted_total", "n_declined_total", "n_declined_sampled",
@@ -755,3 +740,31 @@ def z_histogram(f):
     ends = res.agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("lo"),
                    F.coalesce(F.max("z"), F.lit(1.0)).alias("hi")).first()
     return tidy(measures.histogram(res, KEYS, "z", ends["lo"], ends["hi"], 50).drop(KEY))
+
+
+# --- the headline document ------------------------------------------------------
+@query
+def headline_metrics(f):
+    """All fourteen sections, each written by itself; ranking and null case are those of the labelling methods."""
+    funding = funding_sensitivity(f)
+    cost = F.concat_ws(" ", "method", F.col("cost_of_funds_annual").cast("string"))
+    parts = [
+        audit.long_form(panel_rates(f), "data"),
+        audit.long_form(overlap_share(f), "data"),
+        audit.long_form(tidy(audit.coverage(f)), "coverage", "field"),
+        audit.long_form(evaluate_split(f), "baseline", "is_test"),
+        audit.long_form(iv_table(f), "information_value", "feature"),
+        audit.long_form(method_table(f), "methods", "method"),
+        audit.long_form(positivity(f), "positivity"),
+        audit.long_form(selection_model(f), "selection"),
+        audit.long_form(method_ranking(f), "ranking", "method"),
+        audit.long_form(null_case(f), "null_case", "method"),
+        audit.long_form(breakeven(f), "yields"),
+        audit.long_form(method_economics(f), "economics", "method"),
+        audit.long_form(funding.withColumn("key", cost).drop("cost_of_funds_annual"), "sensitivity", "key"),
+        audit.long_form(zip_dispersion(f), "regions"),
+    ]
+    path = f"{scratch_root(f.spark)}/headline-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").json(path)
+    return f.spark.read.schema("section string, metric string, key string, value double").json(path)

@@ -907,19 +907,6 @@ oracle("swap_profile", " UNION ALL ".join(
     f"""SELECT method, '{name}' AS "group", round(sum(design_w), 6) AS applicants, {_cols} FROM swapped
     WHERE {"accepted = 1" if s == 'keep' else f"swap = '{s}'"} GROUP BY method""" for s, name in _GROUP.items()),
        PROXIES, swap_cut(), SWAPPED)
-HEAD = [("data", m, "", v) for m, v in {
-    "n_accepted_total": "(SELECT count(*) FROM acc)", "n_accepted_terminal": "(SELECT count(*) FROM term)",
-    "n_declined_total": "(SELECT count(*) FROM dec)",
-    "indeterminate_frac": "1 - CAST((SELECT count(*) FROM term) AS DOUBLE) / (SELECT count(*) FROM acc)",
-    "unscored_frac": "CAST((SELECT count(*) FROM dec WHERE risk_score IS NULL) AS DOUBLE) / (SELECT count(*) FROM dec)",
-    "population_accept_rate": "CAST((SELECT count(*) FROM acc) AS DOUBLE) / ((SELECT count(*) FROM acc) + (SELECT count(*) FROM dec))"}.items()]
-HEAD += [("coverage", m, c, f"(SELECT {m} FROM cov WHERE field = '{c}')") for m in ("accepted_missing_pct", "rejected_missing_pct") for c in _COV]
-HEAD += [("yields", m, "", f"(SELECT {e} FROM yp)") for m, e in {
-    "good_yield": "gy0", "bad_yield": "by0", "lgd": "lgd0", "n_good": "n_good", "n_bad": "n_bad",
-    "breakeven_bad_rate_36m": even(36), "breakeven_bad_rate_60m": even(60)}.items()]
-oracle("headline_metrics", " UNION ALL ".join(
-    f"SELECT '{s}' AS section, '{m}' AS metric, '{k}' AS key, round(CAST({v} AS DOUBLE), 6) AS value" for s, m, k, v in HEAD),
-       PROXIES, YIELDS, f"cov AS MATERIALIZED ({COVERAGE})")
 
 # --- the same on the fitted scores of the four methods ----------------------------------------------
 _CASH = "funded_amnt, total_rec_prncp, total_rec_int, recoveries, int_rate, term_months"
@@ -968,7 +955,7 @@ CHI = f"""CASE WHEN j % 2 = 0 THEN list_sum([exp(-chi2 / 2 + i * ln(chi2 / 2) -
 oracle("zip_dispersion", f"""SELECT j AS n_zip3, ns AS n_zip3_small, na AS n_apps_small, round(chi2, 6) AS chi2, round(sd, 6) AS sd_of_z, nf AS n_flagged, round(mx, 6) AS max_excess_decline_pp,
   round(mn, 6) AS min_excess_decline_pp, j AS chi2_df, round({CHI}, 6) AS chi2_p, round(chi2 / j, 6) AS dispersion_ratio,
   round(2 * {cdf('(-3.0)')} * j, 6) AS n_flagged_expected_by_chance, round(nf - 2 * {cdf('(-3.0)')} * j, 6) AS excess_flags,
-  round(q[2] - q[1], 6) AS iqr_excess_decline_pp FROM (SELECT count(z) AS j, count_if(small) AS ns, CAST(sum(CASE WHEN small THEN n_apps ELSE 0 END) AS BIGINT) AS na, sum(z * z) AS chi2, stddev_pop(z) AS sd,
+  round(q[2] - q[1], 6) AS iqr_excess_decline_pp FROM (SELECT count(z) AS j, CAST(count_if(small) AS BIGINT) AS ns, CAST(sum(CASE WHEN small THEN n_apps ELSE 0 END) AS BIGINT) AS na, sum(z * z) AS chi2, stddev_pop(z) AS sd,
   CAST(sum(CASE WHEN abs(z) > 3 THEN 1 ELSE 0 END) AS BIGINT) AS nf, max(excess_rate_pp) AS mx, min(excess_rate_pp) AS mn,
   quantile_cont(excess_rate_pp, {doubles([0.25, 0.75])}) AS q FROM res HAVING count(z) > 0)""", RES)
 oracle("zip_top_k", """(SELECT 'top' AS "end", zip3, round(z, 6) AS z FROM res WHERE NOT small ORDER BY res.z DESC, zip3 LIMIT 10)
@@ -1127,3 +1114,25 @@ oracle("scale_sensitivity", f"""SELECT method, scale AS reject_bad_scale, cutoff
   LEFT JOIN sens USING (method, scale, cutoff_type)""", SENS)
 oracle("best_scale", """SELECT cutoff_type, method, arg_min(scale, abs_bad_rate_bias) AS reject_bad_scale,
   round(min(abs_bad_rate_bias), 6) AS abs_bad_rate_bias FROM sens GROUP BY cutoff_type, method""", SENS)
+
+
+# --- the headline document ------------------------------------------------------------------------------
+def section(name: str, of: str, key: str = "''", other: str = "") -> str:
+    """Numeric columns of a query's result as (section, metric, key, value); ``other`` columns are left out."""
+    dropped = f" EXCLUDE ({other})" if other else ""
+    return f"""SELECT '{name}' AS section, metric, who AS key, value FROM (
+      SELECT CAST({key} AS VARCHAR) AS who, CAST(COLUMNS(*{dropped}) AS DOUBLE) FROM ({ORACLES[of]}))
+      UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (who))))"""
+
+
+oracle("headline_metrics", " UNION ALL ".join([
+    section("data", "panel_rates"), section("data", "overlap_share"),
+    section("coverage", "field_coverage", "field", "field"), section("baseline", "evaluate_split", "is_test", "is_test"),
+    section("information_value", "iv_table", "feature", "feature"),
+    section("methods", "method_table", "method", "method"), section("positivity", "positivity"),
+    section("selection", "selection_model", other="converged, rho_significant_5pct"),
+    section("ranking", "method_ranking", "method", "method"),
+    section("null_case", "null_case", "method", "method, hallucinates"), section("yields", "breakeven"),
+    section("economics", "method_economics", "method", "method"),
+    section("sensitivity", "funding_sensitivity", "concat_ws(' ', method, cost_of_funds_annual)", "method, cost_of_funds_annual"),
+    section("regions", "zip_dispersion")]))
