@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from throughdoor.llm.words import mix, trimmed
 
 SEGMENT_BYTES = 4 << 20  # a longer document is a segment of its own
 SEGMENT_DOCS = 1 << 16
-TEXT_BYTES = 4 << 20  # encoded at a time
+TEXT_BYTES = 8 << 20  # encoded at a time
 CACHED_WORDS = 300_000  # per Python worker
 END_ID = 0
 
@@ -52,27 +53,47 @@ SCHEMA = T.StructType([
     T.StructField("index", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
 
+# white space of the pre-tokenizer besides the plain space and the line feed
+OTHER_SPACE = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def gathered(flat: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``wanted`` of ``flat``, one after the other, and where each ends.
+
+    ``size`` is the length of every run; runs follow each other in ``flat``.
+    """
+    n = size[wanted]
+    ends = np.cumsum(n)
+    begin = (np.cumsum(size) - size)[wanted]
+    at = np.repeat(begin - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at], ends
+
+
 class Encoder:
     """Ids of whole texts, word by word through a cache.
 
     The byte-level pre-tokenizer never carries a piece across the start of a
     white-space run, so a text is the concatenation of its words, each encoded
-    with the white space before it. Words come from the cache; new ones of many
-    texts are encoded by the tokenizer in one call, set apart by line feeds,
-    which are an id of their own there. Nor does a piece go from letters to
-    punctuation, so the marks behind a word of letters are encoded once for
-    all words. Texts for which the argument does not hold in full (runs of white
-    space, other separators) are encoded as pieces or whole. The ids are always
-    those of encoding the whole text.
+    with the white space before it. Nor does a piece go from letters to
+    punctuation, so a word of letters is encoded apart from the marks behind it.
+    Arrow splits the texts and finds the distinct words and stems of a call;
+    only those are looked up, only stems not in the cache go to the tokenizer,
+    and numpy lays their ids out in the order of the texts. Texts for which the
+    argument does not hold in full (runs of white space, other separators) are
+    encoded as pieces or whole. The ids are always those of encoding the whole
+    text.
     """
 
-    HARD = re.compile(r"\s\s|[^\S \n]")  # anything but single spaces and line feeds
+    HARD = f"[ \n{OTHER_SPACE}][ \n{OTHER_SPACE}]|[{OTHER_SPACE}]"  # anything but single spaces and line feeds
     ODD = re.compile(r"[^\S \t\n\r]")  # white space other than the four plain kinds
     PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-    MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+    STEM = f"^\n?[{LETTERS}]+$"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -80,10 +101,17 @@ class Encoder:
         probe = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 and probe.count(feed[0]) == 2 else None
         self.feed_bytes = self.packed(feed)
+        # a word of letters is one piece, so the model alone can encode it, in the byte level's letters
+        self.alone = (isinstance(self.tokenizer.model, models.BPE) and self.tokenizer.normalizer is None
+                      and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = lambda c: level.pre_tokenize_str(c)[0][0]
+        self.space = shown(" ")
+        self.level = {c: shown(chr(c)) for c in range(0xC0, 0x100)}
+        self.ltrimmed = "\n" + "".join(filter(re.compile(f"[{LETTERS}]").match, map(chr, range(0x100))))
         # "word" is held as encoded behind a space, "\nword" behind a line feed
         self.held: dict[str, bytes] = {}
-        self.again: set[str] = set()  # held words that a later call asked for
-        self.marks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
@@ -105,64 +133,104 @@ class Encoder:
         begin = [0, *[(c + 1) * size for c in cuts]]
         return [raw[a:b] for a, b in zip(begin, [*[c * size for c in cuts], len(raw)])]
 
-    def learn(self, keys: set[str]) -> None:
-        """Have the ids of ``keys`` in ``held``."""
-        held = self.held
-        new = [k for k in keys if k not in held]
-        self.again.update(k for k in keys if k in held)
-        if len(held) + len(new) > CACHED_WORDS:  # words seen in one call alone go first, and then all but this call's
-            stay = self.again if len(self.again) + len(new) <= CACHED_WORDS else [k for k in keys if k in held]
-            self.held = held = {k: held[k] for k in stay}
-            self.again = set()
-        found = list(map(self.MARKED.fullmatch, new))
-        marked = [(k, m[1], m[2]) for k, m in zip(new, found) if m]
-        plain = {k for k, m in zip(new, found) if not m}
-        plain.update({a for _, a, _ in marked}.difference(held))
-        if "" in plain:
-            plain.remove("")
-            held[""] = self.whole([" "])[0]
-        spaced = [k for k in plain if k[0] != "\n"]
-        lined = [k[1:] for k in plain if k[0] == "\n"]
-        held.update(zip(spaced, self._joined(spaced, " ")))
-        held.update(zip(["\n" + k for k in lined], [self.feed_bytes + x for x in self._joined(lined, "")]))
-        fresh = list({b for _, _, b in marked}.difference(self.marks))
-        self.marks.update(zip(fresh, self.whole(fresh)))
-        marks = self.marks
-        held.update([(k, held[a] + marks[b]) for k, a, b in marked])
-        if len(marks) > CACHED_WORDS:
-            marks.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        cut: dict[int, list[str]] = {}
-        keys: set[str] = set()
-        for i, text in enumerate(texts):
-            if self.feed is None:
-                continue
-            if not self.HARD.search(text):
-                words = text.replace("\n", " \n").split(" ")
-                words[0] = "\n" + words[0]  # the feed before the first word is cut off below
-                keys.update(words)
-                split[i] = words
-            elif not self.ODD.search(text):
-                cut[i] = self.PIECE.findall(text)
-        self.learn(keys)
-        known, skip = self.held.__getitem__, len(self.feed_bytes)
-        for i, words in split.items():
-            out[i] = b"".join(map(known, words))[skip:]
-        if cut:
-            own = {p for words in cut.values() for p in words}
-            new = [p for p in own if p not in self.pieces]
-            if len(self.pieces) + len(new) > CACHED_WORDS:
-                self.pieces, new = {}, list(own)
-            self.pieces.update(zip(new, self.whole(new)))
-            for i, words in cut.items():
-                out[i] = b"".join(map(self.pieces.__getitem__, words))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = x
-        return out
+    def _cut(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[a * width: b * width] for a, b in zip([0, *ends], ends)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each behind a space or its line feed."""
+        tokenize, level, space = self.tokenizer.model.tokenize, self.level, self.space
+        ids, ends = [], []
+        for word in words:
+            shown = word if word.isascii() else word.translate(level)
+            if word[0] == "\n":
+                ids.append(self.feed)
+                shown = shown[1:]
+            else:
+                shown = space + shown
+            ids += [t.id for t in tokenize(shown)]
+            ends.append(len(ids))
+        return self._cut(np.asarray(ids, dtype=self.dtype), ends)
+
+    def words(self, keys: list[str], letters: list[bool]) -> list[bytes]:
+        """Ids of distinct words; ``letters`` tells which have nothing but letters.
+
+        Words asked for lately are held in two dictionaries. Once the newer one
+        has half of ``CACHED_WORDS`` it becomes the older one, which is dropped.
+        """
+        if len(self.held) > CACHED_WORDS // 2:
+            self.held, self.older = {}, self.held
+        found = list(map(self.held.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        known = list(map(self.older.get, [keys[i] for i in missing]))
+        new = [i for i, x in zip(missing, known) if x is None]
+        for i, x in zip(missing, known):
+            found[i] = x
+        alone = [i for i in new if letters[i]] if self.alone else []
+        for i, x in zip(alone, self._letters([keys[i] for i in alone])):
+            found[i] = x
+        spaced = [i for i in new if found[i] is None and keys[i] and keys[i][0] != "\n"]
+        lined = [i for i in new if found[i] is None and keys[i] and keys[i][0] == "\n"]
+        for i, x in zip(spaced, self._joined([keys[i] for i in spaced], " ")):
+            found[i] = x
+        for i, x in zip(lined, self._joined([keys[i][1:] for i in lined], "")):
+            found[i] = self.feed_bytes + x
+        for i in new:
+            if not keys[i]:
+                found[i] = self.whole([" "])[0]
+        self.held.update([(keys[i], found[i]) for i in missing])
+        return found
+
+    def _flat(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(ids), self.dtype), size
+
+    def _split(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose white space is single spaces and line feeds."""
+        # a feed before the first word, cut off below, makes it a word like those behind a feed
+        lines = pc.replace_substring(texts, "\n", " \n")
+        feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        lines = pc.split_pattern(pc.binary_join_element_wise(feed, lines, nothing), " ")
+        place, bounds = lines.values.dictionary_encode(), lines.offsets.to_numpy()
+        words = place.dictionary
+        stems = pc.utf8_rtrim(words, MARKS)
+        letters = pc.match_substring_regex(stems, self.STEM)
+        own = pc.if_else(letters, stems, words).dictionary_encode()
+        tails = pc.if_else(letters, pc.utf8_ltrim(words, self.ltrimmed), nothing).dictionary_encode()
+        keys, marks = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (own, tails))
+        plain = pc.match_substring_regex(own.dictionary, self.STEM).to_numpy(zero_copy_only=False).tolist()
+        ids = self.words(keys, plain) + self.whole(marks)
+        # a word is its stem and its marks, if any
+        parts = np.stack([own.indices.to_numpy(), tails.indices.to_numpy() + len(keys)], axis=1)
+        flat, ends = gathered(*self._flat(ids), parts.ravel())
+        size = np.diff(ends[1::2], prepend=0)
+        flat, ends = gathered(flat, size, place.indices.to_numpy())
+        raw, width = flat.tobytes(), self.dtype.itemsize
+        cuts = (np.concatenate([[0], ends])[bounds] * width).tolist()
+        return [raw[a + width: b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text, none of them null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.cast(pa.large_string())
+        if self.feed is None or not len(texts):
+            return self.whole(texts.to_pylist())
+        hard = pc.match_substring_regex(texts, self.HARD)
+        easy = self._split(texts.filter(pc.invert(hard)))
+        if len(easy) == len(texts):
+            return easy
+        rest = texts.filter(hard).to_pylist()
+        cut = {i: self.PIECE.findall(t) for i, t in enumerate(rest) if not self.ODD.search(t)}
+        odd = [i for i in range(len(rest)) if i not in cut]
+        own = {p for words in cut.values() for p in words}
+        new = [p for p in own if p not in self.pieces]
+        if len(self.pieces) + len(new) > CACHED_WORDS:
+            self.pieces, new = {}, list(own)
+        self.pieces.update(zip(new, self.whole(new)))
+        done = {i: b"".join(map(self.pieces.__getitem__, words)) for i, words in cut.items()}
+        done.update(zip(odd, self.whole([rest[i] for i in odd])))
+        slow, fast = iter([done[i] for i in range(len(rest))]), iter(easy)
+        return [next(slow if h else fast) for h in hard.to_pylist()]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -300,7 +368,7 @@ def segments(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
             step = max(1, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = part.column(1).fill_null("").to_pylist()
+                texts = part.column(1).fill_null("")
                 for k, x in zip(part.column(0).to_pylist(), encode.encode(texts)):
                     x += end
                     if ids and (size + len(x) > SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS):
