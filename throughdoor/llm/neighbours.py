@@ -1,7 +1,9 @@
 """Near-duplicate vectors by NN-descent.
 
 Every vector has a list of neighbours. The lists start from small groups of
-vectors that fall on the same side of random planes. In each round, a vector
+vectors that fall on the same side of random planes; a vector is in as many
+groups as two vectors at the threshold need to meet in one with chance
+``together``, whatever the size of their label. In each round, a vector
 introduces its neighbours, and those that list it, to each other, and a pair
 enters the lists it improves. Pairs above the threshold come before all others
 and, among themselves, in random order, so that a full list is a fair sample of
@@ -11,8 +13,10 @@ A list that is full of pairs above the threshold is saturated. Two saturated
 vectors can both have dropped their pair, so those of different components are
 compared exactly, in blocks that are skipped where their centres and radii rule
 a link out. A component with a saturated vector then has all its pairs counted
-in blocks. A sample of vectors is compared with all others to audit the recall;
-rounds go on until it is reached, and the links that result are audited again.
+in blocks. A sample of vectors is compared with all others to audit the recall of
+each label; rounds go on until it is reached. All vectors of a label that stays
+below are treated like saturated ones, which is exact. The links that result are
+audited again.
 
 Equal vectors are one node with a count. Vectors of a label are never brought
 together in one task: all groups have a bounded size.
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from throughdoor.llm.minhash import binary, matrix
@@ -35,9 +39,9 @@ from throughdoor.llm.stored import Shelf, components
 class Settings:
     threshold: float = 0.93
     listed: int = 16  # neighbours in a list
-    planes: int = 16  # of a starting code, as many of them used as a label's size needs
-    starts: int = 6  # codes per vector
-    group: int = 48  # vectors of a starting group, about
+    planes: int = 24  # of a starting code, as many of them used as a label's size needs
+    together: float = 0.995  # chance that two vectors at the threshold share a code
+    group: int = 48  # vectors of a starting group, about; one of over four times as many is divided
     introduced: int = 4  # new neighbours that one meeting may give a vector
     block: int = 512  # vectors of a counted block
     least_rounds: int = 2
@@ -72,26 +76,45 @@ def _unit(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def coded(nodes: DataFrame, use: Settings) -> DataFrame:
-    """(node, space, half, codes): unit vectors in half precision, and their plane codes."""
+def planes_of(n: Column, group: int, use: Settings) -> Column:
+    """Planes that part ``n`` vectors into groups of about ``group``."""
+    return F.least(F.lit(use.planes), F.greatest(F.lit(0), F.ceil(F.log2(n / group)))).cast("int")
+
+
+def starts(bits: int, use: Settings) -> int:
+    """Codes of ``bits`` planes that two vectors at the threshold need to share one.
+
+    A plane parts them with the chance of their angle over pi.
+    """
+    alike = (1 - np.arccos(use.threshold) / np.pi) ** bits
+    return 1 if bits == 0 else int(np.ceil(np.log(1 - use.together) / np.log(1 - alike)))
+
+
+def coded(shelf: Shelf, nodes: DataFrame, use: Settings) -> DataFrame:
+    """(node, space, half, bits, codes): unit vectors in half precision, and their plane codes."""
+    bits = planes_of(F.col("n"), use.group, use).alias("bits")
+    sizes = shelf.put(nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).select("space", bits), "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(use.planes)
+        most = starts(use.planes, use) * use.planes
         for batch in batches:
             halves, codes = [], []
-            for x in _unit(batch.column(2)):
+            for x, k in zip(_unit(batch.column(2)), batch.column(3).to_pylist()):
                 if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(len(x)).normal(size=(use.starts * use.planes, len(x)))
-                sides = (planes[len(x)] @ x > 0).reshape(use.starts, use.planes)
+                    planes[len(x)] = np.random.default_rng(len(x)).normal(size=(most, len(x)))
+                n = starts(k, use)
+                # the first code has all its planes: blocks are dealt by it
+                sides = (planes[len(x)][: n * use.planes] @ x > 0).reshape(n, use.planes)
                 halves.append(x.astype(np.float16).tobytes())
                 codes.append((sides * weights).sum(axis=1).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(halves, pa.binary()), pa.array(codes, pa.list_(pa.int32()))],
-                names=["node", "space", "half", "codes"])
+                [batch.column(0), batch.column(1), pa.array(halves, pa.binary()), batch.column(3),
+                 pa.array(codes, pa.list_(pa.int32()))], names=["node", "space", "half", "bits", "codes"])
 
-    return nodes.select("node", "space", "embedding").mapInArrow(
-        run, "node long, space string, half binary, codes array<int>")
+    return nodes.join(sizes, "space").select("node", "space", "embedding", "bits").mapInArrow(
+        run, "node long, space string, half binary, bits int, codes array<int>")
 
 
 def _halves(column: pa.Array) -> np.ndarray:
@@ -149,16 +172,12 @@ def best_of(edges: DataFrame, use: Settings) -> DataFrame:
 
 
 def starting(search: DataFrame, use: Settings) -> DataFrame:
-    """Groups of vectors of one label that share a plane code, cut to about ``group``."""
-    sizes = search.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.least(F.lit(use.planes), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / use.group)))).cast("int")
-    width = sizes.select("space", bits.alias("bits"))
-    rows = search.join(width, "space").select(
-        "node", "half", "space", "bits", F.posexplode("codes").alias("number", "code"))
+    """Groups of vectors of one label that share a plane code, the largest divided."""
+    rows = search.select("node", "half", "space", "bits", F.posexplode("codes").alias("number", "code"))
     rows = rows.withColumn("code", F.expr("code & (shiftleft(1, bits) - 1)")).drop("bits")
     key = ["space", "number", "code"]
     crowd = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("crowd"))
-    part = F.pmod(F.xxhash64("node", "number"), F.ceil(F.col("crowd") / use.group))
+    part = F.pmod(F.xxhash64("node", "number"), F.ceil(F.col("crowd") / (4 * use.group)))
     member = F.struct("node", F.lit(-1.0).cast("float").alias("kth"), "half")
     return rows.join(crowd, key).withColumn("part", part).groupBy(*key, "part").agg(
         F.collect_list(member).alias("members"))
@@ -206,7 +225,7 @@ def near_pairs(graph: DataFrame, use: Settings) -> DataFrame:
 
 
 def audit_pairs(nodes: DataFrame, use: Settings) -> DataFrame:
-    """(a, b): all pairs of a fixed sample of ``audited`` nodes with nodes like them."""
+    """(a, b, space): all pairs of a fixed sample of ``audited`` nodes with nodes like them."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(use.audited).select(
         "node", "space", "embedding").toArrow().combine_chunks()
     groups: dict[str, tuple] = {}
@@ -221,16 +240,18 @@ def audit_pairs(nodes: DataFrame, use: Settings) -> DataFrame:
         for batch in batches:
             node, units = batch.column(0).to_numpy(), _unit(batch.column(2))
             spaces = np.array(batch.column(1).to_pylist(), dtype=object)
-            out = [np.zeros((2, 0), np.int64)]
+            out, of = [np.zeros((2, 0), np.int64)], []
             for space, (asked, x) in groups.items():
                 at = np.flatnonzero(spaces == space)
                 if len(at):
                     p, q = np.nonzero(np.stack([units[i] for i in at]) @ x.T >= use.threshold)
                     out.append(np.stack([asked[q], node[at[p]]])[:, asked[q] != node[at[p]]])
+                    of += [space] * out[-1].shape[1]
             found = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[0]), pa.array(found[1]), pa.array(of, pa.string())], names=["a", "b", "space"])
 
-    return nodes.select("node", "space", "embedding").mapInArrow(run, "a long, b long")
+    return nodes.select("node", "space", "embedding").mapInArrow(run, "a long, b long, space string")
 
 
 def saturated(graph: DataFrame, use: Settings) -> DataFrame:
@@ -240,18 +261,19 @@ def saturated(graph: DataFrame, use: Settings) -> DataFrame:
         F.col("near") >= use.listed).select("node")
 
 
-def audited(truth: DataFrame, graph: DataFrame, use: Settings) -> float:
-    """Share of the audit pairs that a list has; saturated nodes are judged by the final links."""
+def below(truth: DataFrame, graph: DataFrame, use: Settings) -> list[str]:
+    """The spaces whose lists miss too many audit pairs; saturated nodes are judged by the final links."""
     full = saturated(graph, use)
     asked = truth.join(full, truth["a"] == full["node"], "left_anti")
-    pairs = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = asked.select("space", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = pairs.join(near_pairs(graph, use).withColumn("there", F.lit(1)), ["a", "b"], "left")
-    n, hit = found.agg(F.count(F.lit(1)), F.count("there")).first()
-    return hit / n if n else 1.0
+    share = found.groupBy("space").agg((F.count("there") / F.count(F.lit(1))).alias("share"))
+    # at most a space for each audited node
+    return sorted(r["space"] for r in share.where(F.col("share") < use.recall).collect())
 
 
-def audited_links(truth: DataFrame, links: DataFrame, inside: DataFrame) -> float:
-    """Share of all audit pairs that are a link or lie in one counted component.
+def audited_links(truth: DataFrame, links: DataFrame, inside: DataFrame) -> tuple[int, int]:
+    """How many audit pairs there are, and how many are a link or lie in one counted component.
 
     ``inside``: (node, component) of the components whose pairs are all counted.
     """
@@ -261,7 +283,7 @@ def audited_links(truth: DataFrame, links: DataFrame, inside: DataFrame) -> floa
         found = found.join(inside.select(F.col("node").alias(end), F.col("component").alias("c" + end)), end, "left")
     there = F.coalesce("there", F.col("ca") == F.col("cb"), F.lit(False))
     n, hit = found.agg(F.count(F.lit(1)), F.count_if(there)).first()
-    return hit / n if n else 1.0
+    return n, hit
 
 
 def bridges(shelf: Shelf, members: DataFrame, use: Settings) -> DataFrame:
@@ -273,8 +295,8 @@ def bridges(shelf: Shelf, members: DataFrame, use: Settings) -> DataFrame:
     threshold's angle.
     """
     sizes = members.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.least(F.lit(use.planes), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / use.block)))).cast("int")
-    coded_ = members.join(sizes.select("space", bits.alias("bits")), "space").withColumn(
+    sizes = shelf.put(sizes.select("space", planes_of(F.col("n"), use.block, use).alias("bits")), "bits")
+    coded_ = members.join(sizes, "space").withColumn(
         "code", F.expr("codes[0] & (shiftleft(1, bits) - 1)"))
     crowd = coded_.groupBy("space", "code").agg(F.count(F.lit(1)).alias("crowd"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / use.block))
@@ -368,30 +390,34 @@ def counted(members: DataFrame, use: Settings) -> DataFrame:
         F.sum("links").alias("links"))
 
 
-def descend(shelf: Shelf, nodes: DataFrame, use: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The neighbour lists, the coded vectors, and the pairs of the audit."""
-    search = shelf.put(coded(nodes, use), "search")
+def descend(shelf: Shelf, nodes: DataFrame, use: Settings) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """The neighbour lists, the coded vectors, the pairs of the audit, and the spaces that stay below it."""
+    search = shelf.put(coded(shelf, nodes, use), "search")
     truth = shelf.put(audit_pairs(nodes, use), "audit")
     graph = shelf.put(best_of(meetings(starting(search, use), use), use), "graph")
+    low: list[str] = []
     for number in range(use.most_rounds):
         found = meetings(introductions(graph, search, use), use, number + 1)
         better = shelf.put(best_of(graph.select("u", "v", "sim").union(found), use), "graph")
         shelf.clear(graph)
         graph = better
-        if number + 1 >= use.least_rounds and audited(truth, graph, use) >= use.recall:
-            break
-    return graph, search, truth
+        if number + 1 >= use.least_rounds:
+            low = below(truth, graph, use)
+            if not low:
+                break
+    return graph, search, truth, low
 
 
 def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame:
-    """vec_id, n_links, component_id, kept, audit_recall for every row of ``vectors``.
+    """vec_id, n_links, component_id, kept, audit_recall, audit_links for every row of ``vectors``.
 
     ``vectors``: vec_id, embedding, label. Vectors of one label and length link
     where their cosine reaches the threshold. A vector that is null, zero or
     holds a null or non-finite component, or has no label, links with nothing
     and is its own component; a null vec_id likewise, with a null component.
-    Rows that repeat are vectors of their own. ``audit_recall`` is the share of
-    a sample's links, compared with all vectors, that the result holds.
+    Rows that repeat are vectors of their own. ``audit_links`` is the number of
+    links of a sample, compared with all vectors, and ``audit_recall`` the share
+    of them that the result holds; null if there are none, which proves nothing.
     """
     shelf = Shelf(vectors.sparkSession, "neighbours")
     rows = nodes_of(vectors)
@@ -399,10 +425,13 @@ def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame
     nodes = shelf.put(rows.where("usable").groupBy(*key).agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("embedding", "vec_id").alias("embedding")),
         "nodes")
-    graph, search, truth = descend(shelf, nodes, use)
+    graph, search, truth, low = descend(shelf, nodes, use)
     links = shelf.put(exact(near_pairs(graph, use), nodes, use), "links")
     label = shelf.put(components(shelf, links), "label")
-    full = shelf.put(saturated(graph, use), "saturated")
+    full = saturated(graph, use)
+    if low:
+        full = full.union(search.where(F.col("space").isin(low)).select("node")).distinct()
+    full = shelf.put(full, "saturated")
     members = full.join(label, "node", "left").join(search.select("node", "space", "codes"), "node").join(
         nodes.select("node", "embedding"), "node").select(
         "node", "space", "codes", F.coalesce("component", "node").alias("component"), "embedding")
@@ -413,7 +442,7 @@ def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame
 
     dense = shelf.put(label.join(full, "node").select("component").distinct(), "dense")
     whole = label.join(dense, "component")
-    recall = audited_links(truth, links, whole)
+    asked, held = audited_links(truth.select("a", "b"), links, whole)
     inside = whole.join(nodes.select("node", "embedding", "copies"), "node")
     in_blocks = counted(inside, use)
     both = links.union(links.select("b", "a")).toDF("node", "other")
@@ -428,5 +457,7 @@ def near_duplicates(vectors: DataFrame, use: Settings = Settings()) -> DataFrame
     good = rows.where("usable").select("vec_id", *key).join(classes, key).select("vec_id", "n_links", "component")
     rest = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
     out = good.union(rest).toDF("vec_id", "n_links", "component_id")
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn(
-        "audit_recall", F.lit(float(recall)))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return out.withColumn("kept", kept).withColumn(
+        "audit_recall", F.lit(held / asked if asked else None).cast("double")).withColumn(
+        "audit_links", F.lit(asked).cast("long"))
