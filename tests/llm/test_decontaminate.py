@@ -1,5 +1,6 @@
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,31 @@ def test_clashing_columns_and_an_item_far_inside(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
 
 
+def test_a_batch_is_searched_in_little_memory():
+    """Two tasks of an executor search at once beside its heap: 8 MB of short texts, far fewer bytes of arrays."""
+    screen = decontaminate.Screen([1], [ITEMS[0][1]], decontaminate.Settings())
+    texts = pa.array([f"{i} " + "plain words of no item " * 90 for i in range(4000)] + [DOCS[0][1]])
+    tracemalloc.start()
+    try:
+        found = [h[:2] for h in screen.hits(texts)]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [(4000, 0)]
+    assert most < 20 << 20
+
+
+def test_workers_hand_their_memory_back(spark, monkeypatch):
+    """Both ways through the documents give freed memory back when a task ends."""
+    runs, plain = [], decontaminate.words.trimmed
+    monkeypatch.setattr(decontaminate.words, "trimmed", lambda run: runs.append(run) or plain(run))
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    decontaminate.clean(docs, items)
+    decontaminate.contaminated(docs, items)
+    assert len(runs) == 2
+
+
 @pytest.mark.parametrize("extra", [150, 300, 1000, 20000])
 def test_a_long_word_at_an_item_does_not_hide_it(extra):
     rng = np.random.default_rng(extra)

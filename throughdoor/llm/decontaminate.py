@@ -41,6 +41,7 @@ class Settings:
 
 
 WIDTH = 16  # bytes of a fingerprint
+TEXT_BYTES = 1 << 18  # text searched at once: its arrays take some thirty times that
 
 
 def shingle_weights(size: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ class Screen:
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, first word, words, distance, similarity): the best window of every pair."""
         k_all = self.use.shingle
-        for piece in words.pieces(column):
+        for piece in words.pieces(column, TEXT_BYTES):
             found = words.split(piece)
             hashes, length = words.word_hashes(piece, found), found.end - found.start
             bounds = found.bounds
@@ -233,6 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, use: Settings = Settings
     types = [pa.int64()] * 5 + [pa.float64()]
 
     def look(screen: Screen):
+        @words.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = list(screen.hits(batch.column(1)))
@@ -253,6 +255,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, use: Settings = Settings()) ->
     """The rows of ``docs`` that hold no benchmark item; same columns."""
 
     def keep(screen: Screen, at: int):
+        @words.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first in range(0, batch.num_rows, 1000):
